@@ -1,0 +1 @@
+"""Independent SQL for every registered query."""

@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 EARTH_KM = 6371.0
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    dlat = F.radians(lat2 - lat1) / 2
-    dlon = F.radians(lon2 - lon1) / 2
-    h = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(
-        dlon
-    ) * F.sin(dlon)
-    return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * F.lit(2 * EARTH_KM)
+def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    half_lat = f"sin(radians({lat2} - {lat1}) / 2D)"
+    half_lon = f"sin(radians({lon2} - {lon1}) / 2D)"
+    squared = (
+        f"{half_lat} * {half_lat} + "
+        f"cos(radians({lat1})) * cos(radians({lat2})) * {half_lon} * {half_lon}"
+    )
+    return f"(asin(sqrt(least({squared}, 1D))) * {2 * EARTH_KM}D)"
 
 
-def unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+def unit_vector(lat: str, lon: str) -> tuple[str, str, str]:
     """Point on the unit sphere; straight-line distance there orders points
     exactly as great-circle distance does, without poles or a date line."""
-    phi, lam = F.radians(lat), F.radians(lon)
-    return F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)
+    phi, lam = f"radians({lat})", f"radians({lon})"
+    return f"cos({phi}) * cos({lam})", f"cos({phi}) * sin({lam})", f"sin({phi})"
 
 
-def chord(ax: Column, ay: Column, az: Column, bx: Column, by: Column, bz: Column) -> Column:
-    dx, dy, dz = ax - bx, ay - by, az - bz
-    return F.sqrt(dx * dx + dy * dy + dz * dz)
+def chord(a: tuple[str, str, str], b: tuple[str, str, str]) -> str:
+    squares = [f"({p} - {q}) * ({p} - {q})" for p, q in zip(a, b)]
+    return f"sqrt({' + '.join(squares)})"

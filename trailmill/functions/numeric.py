@@ -1,35 +1,32 @@
-"""Rounding and exact-sum column helpers."""
+"""Rounding and exact-sum expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def not_nan(x: str) -> str:
+    """NaN becomes NULL; every aggregate then skips it."""
+    return f"nanvl({x}, cast(null as double))"
 
-def not_nan(x: Column) -> Column:
-    """NaN becomes NULL; every aggregate below then skips it."""
-    return F.nanvl(x, F.lit(None).cast("double"))
 
+def half_even(x: str, digits: int = 2) -> str:
+    """Round half-even on the scaled double (``round`` is half-up)."""
+    scale = f"{10**digits}D"
+    return f"(rint(({x}) * {scale}) / {scale})"
 
-def half_even(x: Column, digits: int = 2) -> Column:
-    """Round half-even on the scaled double (``F.round`` is half-up)."""
-    scale = F.lit(float(10**digits))
-    return F.rint(x * scale) / scale
 
-
-def to_units(x: Column, digits: int = 2) -> Column:
+def to_units(x: str, digits: int = 2) -> str:
     """A measure as an integer number of its last kept decimal.
 
     Sums of these are exact, so they do not depend on the order in which
     partitions are merged, and stay primitive longs in the hash aggregate.
     """
-    return F.rint(not_nan(x) * F.lit(float(10**digits))).cast("bigint")
+    return f"cast(rint({not_nan(x)} * {10**digits}D) as bigint)"
 
 
-def from_units(n: Column, digits: int = 2) -> Column:
-    return n.cast("double") / F.lit(float(10**digits))
+def from_units(n: str, digits: int = 2) -> str:
+    return f"(cast({n} as double) / {10**digits}D)"
 
 
-def truncated(x: Column) -> Column:
+def truncated(x: str) -> str:
     """Integer part, towards zero."""
-    return x.cast("bigint")
+    return f"cast({x} as bigint)"

@@ -8,10 +8,6 @@ the session zone to be UTC (``trailmill.session`` pins it).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-SECONDS_PER_DAY = 86400
 SEASON_YEAR = 2025  # Fixed value: the year all months are folded into.
 REFRESH_ZONE = "America/New_York"  # Fixed value.
 MINUTE_LABEL = "yyyy-MM-dd hh:mm a"
@@ -24,117 +20,125 @@ MONTHS = (
 )
 
 
-def wall_clock(iso_text: Column) -> Column:
+def wall_clock(iso_text: str) -> str:
     """ISO text to a naive timestamp; zone and sub-seconds are dropped."""
-    return F.substring(iso_text, 1, 19).try_cast("timestamp_ntz")
+    return f"try_cast(substring({iso_text}, 1, 19) as timestamp_ntz)"
 
 
-def whole_second(ts: Column) -> Column:
-    """Drop sub-seconds of a naive timestamp."""
-    midnight = F.to_date(ts).cast("timestamp_ntz")
-    return F.timestamp_add("SECOND", second_of_day(ts), midnight)
+def second_of_day(ts: str) -> str:
+    return f"(hour({ts}) * 3600 + minute({ts}) * 60 + second({ts}))"
 
 
-def second_of_day(ts: Column) -> Column:
-    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+def whole_second(ts: str) -> str:
+    """Drop sub-seconds of a naive timestamp."""
+    midnight = f"cast(to_date({ts}) as timestamp_ntz)"
+    return f"timestampadd(SECOND, {second_of_day(ts)}, {midnight})"
 
 
-def wrap_day(seconds: Column) -> Column:
+def wrap_day(seconds: str) -> str:
     """Duration modulo 24 h, as a clock face would show it."""
-    return F.pmod(seconds, F.lit(SECONDS_PER_DAY).cast("bigint"))
+    return f"pmod({seconds}, 86400L)"
 
 
-def as_interval(seconds: Column) -> Column:
+def as_interval(seconds: str) -> str:
     """Seconds as DAY TO SECOND interval, for callers that want the type."""
-    return F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return f"make_dt_interval(0, 0, 0, cast({seconds} as decimal(18, 6)))"
 
 
-def nearest_hour(ts: Column) -> Column:
+def nearest_hour(ts: str) -> str:
     """Hour 0-23 nearest to the start; half past goes to the even hour."""
-    return F.pmod(F.rint(second_of_day(ts) / F.lit(3600.0)), F.lit(24.0)).cast("int")
+    return f"cast(pmod(rint({second_of_day(ts)} / 3600D), 24D) as int)"
 
 
-def hour_number(ts: Column) -> Column:
+def hour_number(ts: str) -> str:
     """Whole hours since 1970-01-01 00:00 on the same wall clock."""
-    return (F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)).cast("bigint")
+    return f"(cast(unix_date(to_date({ts})) as bigint) * 24 + hour({ts}))"
 
 
-def clock24(ts: Column) -> Column:
-    return F.date_format(ts, "HH:mm:ss")
+def clock24(ts: str) -> str:
+    return f"date_format({ts}, 'HH:mm:ss')"
 
 
-def clock12(ts: Column) -> Column:
-    return F.date_format(ts, "hh:mm a")
+def clock12(ts: str) -> str:
+    return f"date_format({ts}, 'hh:mm a')"
 
 
-def weekday_name(ts: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), weekday_number(ts) + 1)
+def _named(names: tuple[str, ...], position: str) -> str:
+    texts = ", ".join(f"'{name}'" for name in names)
+    return f"element_at(array({texts}), {position})"
 
 
-def weekday_number(ts: Column) -> Column:
+def weekday_number(ts: str) -> str:
     """Monday is 0."""
-    return F.weekday(ts).cast("int")
+    return f"weekday({ts})"
+
+
+def weekday_name(ts: str) -> str:
+    return _named(WEEKDAYS, f"weekday({ts}) + 1")
+
+
+def month_name(ts: str) -> str:
+    return _named(MONTHS, f"month({ts})")
+
+
+def month_start(ts: str) -> str:
+    return f"trunc({ts}, 'MM')"
+
+
+def season_month(ts: str) -> str:
+    return f"make_date({SEASON_YEAR}, month({ts}), 1)"
 
 
-def month_name(ts: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month(ts))
+def month_label(ts: str) -> str:
+    return f"date_format({ts}, 'MMM yyyy')"
 
 
-def month_start(ts: Column) -> Column:
-    return F.trunc(ts, "MM")
+def day_text(ts: str) -> str:
+    return f"date_format({ts}, 'yyyy-MM-dd')"
 
 
-def season_month(ts: Column) -> Column:
-    return F.make_date(F.lit(SEASON_YEAR), F.month(ts), F.lit(1))
+def iso_text(ts: str) -> str:
+    return f"date_format(cast({ts} as timestamp_ntz), \"yyyy-MM-dd'T'HH:mm:ss\")"
 
 
-def month_label(ts: Column) -> Column:
-    return F.date_format(ts, "MMM yyyy")
+def minute_label(ts: str) -> str:
+    return f"date_format({ts}, '{MINUTE_LABEL}')"
 
 
-def day_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd")
+def minute_label_parsed(label: str) -> str:
+    return f"to_timestamp_ntz({label}, '{MINUTE_LABEL}')"
 
 
-def refresh_stamp(utc: Column) -> Column:
+def refresh_stamp(utc: str) -> str:
     """New York clock label of a naive UTC time."""
-    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(REFRESH_ZONE), utc), MINUTE_LABEL)
+    return minute_label(f"convert_timezone('UTC', '{REFRESH_ZONE}', {utc})")
 
 
-def refresh_time(label: Column) -> Column:
+def refresh_time(label: str) -> str:
     """Naive UTC time behind a refresh stamp."""
-    local = F.to_timestamp_ntz(label, F.lit(MINUTE_LABEL))
-    return F.convert_timezone(F.lit(REFRESH_ZONE), F.lit("UTC"), local)
+    return f"convert_timezone('{REFRESH_ZONE}', 'UTC', {minute_label_parsed(label)})"
 
 
-def utc_now() -> Column:
-    return F.localtimestamp()  # The session zone is UTC.
+UTC_NOW = "localtimestamp()"  # The session zone is UTC.
 
 
-def minute_label_rank(ts: Column) -> Column:
-    """Integer that sorts exactly as the text ``yyyy-MM-dd hh:mm a`` does.
+def minute_label_rank(ts: str) -> str:
+    """Integer that sorts exactly as the minute label's text does.
 
     The text puts 12-hour digits before the AM/PM mark, so "09:00 AM" sorts
     after "02:00 PM". Ranking integers keeps the search for the largest label
     a primitive hash aggregate instead of formatting a string per row.
     """
-    hour = F.hour(ts)
-    hour12 = (hour + 11) % 12 + 1
-    afternoon = F.when(hour >= 12, 1).otherwise(0)
-    day = F.unix_date(F.to_date(ts)).cast("bigint")
-    return day * 2048 + hour12 * 120 + F.minute(ts) * 2 + afternoon
+    hour12 = f"((hour({ts}) + 11) % 12 + 1)"
+    clock = f"{hour12} * 120 + minute({ts}) * 2 + if(hour({ts}) >= 12, 1, 0)"
+    return f"(cast(unix_date(to_date({ts})) as bigint) * 2048 + {clock})"
 
 
-def minute_label_time(rank: Column) -> Column:
+def minute_label_time(rank: str) -> str:
     """The naive timestamp behind a ``minute_label_rank``."""
-    size = F.lit(2048).cast("bigint")
-    clock = F.pmod(rank, size)
-    day = ((rank - clock) / size).cast("int")
-    hour12 = F.floor(clock / 120)
-    minute = F.floor((clock % 120) / 2)
-    hour = hour12 % 12 + (clock % 2) * 12
-    return F.timestamp_add(
-        "MINUTE",
-        (hour * 60 + minute).cast("int"),
-        F.date_from_unix_date(day).cast("timestamp_ntz"),
-    )
+    clock = f"pmod({rank}, 2048L)"
+    day = f"cast(({rank} - {clock}) div 2048 as int)"
+    hour = f"({clock} div 120) % 12 + ({clock} % 2) * 12"
+    minutes = f"cast(({hour}) * 60 + ({clock} % 120) div 2 as int)"
+    midnight = f"cast(date_from_unix_date({day}) as timestamp_ntz)"
+    return f"timestampadd(MINUTE, {minutes}, {midnight})"

@@ -2,55 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from trailmill.functions.numeric import half_even
 
-_DURATION = r"^(?:(\d+) days? ?)?(\d+):(\d+):(\d+)"
+_DURATION = r"^(?:(\\d+) days? ?)?(\\d+):(\\d+):(\\d+)"
 
 
-def hours2(seconds: Column) -> Column:
+def hours2(seconds: str) -> str:
     """Seconds as hours with two decimals."""
-    return half_even(seconds / F.lit(3600.0))
+    return half_even(f"{seconds} / 3600D")
 
 
-def hours_minutes(seconds: Column) -> Column:
+def hours_minutes(seconds: str) -> str:
     """``25 hrs 1 min``; hours are unbounded."""
-    whole = F.floor(seconds / 3600)
-    rest = F.floor((seconds - whole * 3600) / 60)
-    return F.concat(whole.cast("string"), F.lit(" hrs "), rest.cast("string"), F.lit(" min"))
+    return f"concat({seconds} div 3600, ' hrs ', ({seconds} % 3600) div 60, ' min')"
 
 
-def duration_text(seconds: Column) -> Column:
+def duration_text(seconds: str) -> str:
     """``0 days 01:02:03``, the form durations take in stored records."""
-    days = F.floor(seconds / 86400)
-    rest = seconds - days * 86400
-    return F.format_string(
-        "%d days %02d:%02d:%02d",
-        days,
-        F.floor(rest / 3600),
-        F.floor((rest % 3600) / 60),
-        rest % 60,
+    rest = f"{seconds} % 86400"
+    return (
+        f"format_string('%d days %02d:%02d:%02d', {seconds} div 86400, "
+        f"({rest}) div 3600, ({rest} % 3600) div 60, {seconds} % 60)"
     )
 
 
-def duration_seconds(text: Column) -> Column:
+def duration_seconds(text: str) -> str:
     """Seconds behind ``[N days ]HH:MM:SS``; NULL when the text is neither."""
-    part = [F.regexp_extract(text, _DURATION, i).try_cast("bigint") for i in range(1, 5)]
-    return F.coalesce(part[0], F.lit(0)) * 86400 + part[1] * 3600 + part[2] * 60 + part[3]
+    day, hour, minute, second = (
+        f"try_cast(regexp_extract({text}, '{_DURATION}', {i}) as bigint)" for i in range(1, 5)
+    )
+    return f"(coalesce({day}, 0L) * 86400 + {hour} * 3600 + {minute} * 60 + {second})"
 
 
-def grouped_hundredths(units: Column) -> Column:
+def grouped_hundredths(units: str) -> str:
     """Integer hundredths as grouped decimal text, one trailing zero dropped."""
-    value = (units.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(22,2)")
-    return F.regexp_replace(F.format_number(value, 2), "0$", "")
+    value = f"cast(cast({units} as decimal(20, 0)) * 0.01BD as decimal(22, 2))"
+    return f"regexp_replace(format_number({value}, 2), '0$', '')"
 
 
-def grouped_integer(n: Column) -> Column:
-    return F.format_number(n, 0)
+def grouped_integer(n: str) -> str:
+    return f"format_number({n}, 0)"
 
 
-def ordered_weekday(number: Column, name: Column) -> Column:
+def ordered_weekday(number: str, name: str) -> str:
     """``1-Monday``."""
-    return F.concat((number + 1).cast("string"), F.lit("-"), name)
+    return f"concat({number} + 1, '-', {name})"

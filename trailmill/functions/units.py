@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from trailmill.functions.numeric import half_even, not_nan
 
 # Conversion factors.
@@ -13,22 +10,22 @@ MPH_PER_METRE_PER_SECOND = 2.23694
 FEET_PER_METRE = 3.28084
 
 
-def miles(metres: Column) -> Column:
+def miles(metres: str) -> str:
     """Unrounded miles (gear totals)."""
-    return metres / F.lit(METRES_PER_MILE)
+    return f"({metres} / {METRES_PER_MILE}D)"
 
 
-def miles2(metres: Column) -> Column:
-    return half_even(not_nan(metres) / F.lit(METRES_PER_MILE))
+def miles2(metres: str) -> str:
+    return half_even(miles(not_nan(metres)))
 
 
-def mph2(metres_per_second: Column) -> Column:
-    return half_even(not_nan(metres_per_second) * F.lit(MPH_PER_METRE_PER_SECOND))
+def mph2(metres_per_second: str) -> str:
+    return half_even(f"{not_nan(metres_per_second)} * {MPH_PER_METRE_PER_SECOND}D")
 
 
-def feet2(metres: Column) -> Column:
-    return half_even(not_nan(metres) * F.lit(FEET_PER_METRE))
+def feet2(metres: str) -> str:
+    return half_even(f"{not_nan(metres)} * {FEET_PER_METRE}D")
 
 
-def fahrenheit(celsius: Column) -> Column:
-    return celsius * F.lit(9.0) / F.lit(5.0) + F.lit(32.0)
+def fahrenheit(celsius: str) -> str:
+    return f"(({celsius}) * 9D / 5D + 32D)"

@@ -12,15 +12,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmill.functions.numeric import not_nan
 from trailmill.operators.joins import BROADCAST_ROWS
+from trailmill.operators.shape import quoted
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 HUNDREDTHS = (10.24,)  # Two-decimal values: at most 1,024 of them per bin.
 RAW = (10.24, 0.01)  # Unrounded values: bins are opened twice.
 
+LOW_FENCE = "(q1 * 2.5D - q3 * 1.5D)"
+HIGH_FENCE = "(q3 * 2.5D - q1 * 1.5D)"
+
 
 def box_summary(
     df: DataFrame,
@@ -34,45 +39,38 @@ def box_summary(
 ) -> DataFrame:
     """Per key: ``n``, quartiles, whiskers and the number of outliers.
 
-    ``hazen`` takes rank ``p * n - 0.5`` (zero-based) with linear
-    interpolation, the usual box-plot default; ``linear`` takes
-    ``p * (n - 1)``. ``approx`` trades exact quartiles for one pass with a
-    mergeable sketch and is never used unless asked for. ``keys_at_most`` is a
-    bound the caller can prove; it lets the per-key results be broadcast.
+    ``value`` is an expression. ``hazen`` takes rank ``p * n - 0.5``
+    (zero-based) with linear interpolation, the usual box-plot default;
+    ``linear`` takes ``p * (n - 1)``. ``approx`` trades exact quartiles for
+    one pass with a mergeable sketch and is never used unless asked for.
+    ``keys_at_most`` is a bound the caller can prove; it lets the per-key
+    results be broadcast.
     """
     name = name or key
-    counted = (
-        df.select(F.col(key).alias("_key"), F.nanvl(F.col(value), F.lit(None)).alias("_value"))
-        .dropna()
-        .groupBy("_key", "_value")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
+    samples = _samples(df, key, value)
+    counted = samples.groupBy("_key", "_value").agg(F.expr("count(1) AS _rows"))
     if method == "approx":
-        quartiles = _sketched(df, key, value)
+        quartiles = _sketched(samples)
     else:
         quartiles = _ranked(counted, widths, method, keys_at_most)
 
-    low_fence = F.col("q1") * 2.5 - F.col("q3") * 1.5
-    high_fence = F.col("q3") * 2.5 - F.col("q1") * 1.5
-    v = F.col("_value")
     statistics = ["n", *QUARTILES]
+    outside = f"_value < least(q1, {LOW_FENCE}) OR _value > greatest(q3, {HIGH_FENCE})"
     with_whiskers = (
         counted.join(_small(quartiles, keys_at_most), ["_key"])
         .groupBy("_key", *statistics)
         .agg(
-            F.min(F.when(v >= low_fence, v)).alias("_low"),
-            F.max(F.when(v <= high_fence, v)).alias("_high"),
-            F.sum(
-                F.when((v < F.least("q1", low_fence)) | (v > F.greatest("q3", high_fence)), F.col("_rows"))
-            ).alias("_out"),
+            F.expr(f"min(if(_value >= {LOW_FENCE}, _value, NULL)) AS _low"),
+            F.expr(f"max(if(_value <= {HIGH_FENCE}, _value, NULL)) AS _high"),
+            F.expr(f"sum(if({outside}, _rows, 0L)) AS n_outliers"),
         )
     )
-    return with_whiskers.select(
-        F.col("_key").alias(name),
+    return with_whiskers.selectExpr(
+        f"_key AS {quoted(name)}",
         *statistics,
-        F.least("q1", "_low").alias("lower_whisker"),
-        F.greatest("q3", "_high").alias("upper_whisker"),
-        F.coalesce("_out", F.lit(0)).cast("bigint").alias("n_outliers"),
+        "least(q1, _low) AS lower_whisker",
+        "greatest(q3, _high) AS upper_whisker",
+        "n_outliers",
     ).orderBy(name)
 
 
@@ -86,18 +84,23 @@ def box_points(
     keys_at_most: int | None = None,
 ) -> DataFrame:
     """Every sample with a flag for those outside the whiskers."""
-    name = name or key
     whiskers = box_summary(df, key, value, name="_key", widths=widths, keys_at_most=keys_at_most)
-    points = df.select(
-        F.col(key).alias("_key"), F.nanvl(F.col(value), F.lit(None)).alias("value")
-    ).dropna()
     edges = whiskers.select("_key", "lower_whisker", "upper_whisker")
-    outside = (F.col("value") < F.col("lower_whisker")) | (F.col("value") > F.col("upper_whisker"))
-    return points.join(_small(edges, keys_at_most), ["_key"]).select(
-        F.col("_key").alias(name), "value", outside.alias("is_outlier")
+    return (
+        _samples(df, key, value)
+        .join(_small(edges, keys_at_most), ["_key"])
+        .selectExpr(
+            f"_key AS {quoted(name or key)}",
+            "_value AS value",
+            "_value < lower_whisker OR _value > upper_whisker AS is_outlier",
+        )
     )
 
 
+def _samples(df: DataFrame, key: str, value: str) -> DataFrame:
+    return df.selectExpr(f"{key} AS _key", f"{not_nan(value)} AS _value").dropna()
+
+
 def _small(per_key: DataFrame, keys_at_most: int | None, rows_per_key: int = 1) -> DataFrame:
     """Broadcast only behind a proven bound; else adaptive execution decides
     by the measured size."""
@@ -106,64 +109,58 @@ def _small(per_key: DataFrame, keys_at_most: int | None, rows_per_key: int = 1)
     return per_key
 
 
-def _position(p: float, method: str) -> Column:
-    n = F.col("n")
-    raw = {"hazen": n * F.lit(p) - F.lit(0.5), "linear": (n - 1) * F.lit(p)}[method]
-    return F.least(F.greatest(raw, F.lit(0.0)), (n - 1).cast("double"))
+def _position(p: float, method: str) -> str:
+    raw = {"hazen": f"n * {p}D - 0.5D", "linear": f"(n - 1) * {p}D"}[method]
+    return f"least(greatest({raw}, 0D), cast(n - 1 as double))"
 
 
-def _ranks(method: str) -> list[Column]:
+def _ranks(method: str) -> list[str]:
     """The wanted zero-based ranks, two per quartile."""
-    ends = []
-    for p in QUARTILES.values():
-        position = _position(p, method)
-        ends += [F.floor(position), F.ceil(position)]
-    return ends
+    positions = [_position(p, method) for p in QUARTILES.values()]
+    return [f"{end}({position})" for position in positions for end in ("floor", "ceil")]
 
 
-def _holds(rank: Column) -> Column:
-    return (F.col("_lo") <= rank) & (rank < F.col("_hi"))
+def _holds(rank: str) -> str:
+    return f"(_lo <= {rank} AND {rank} < _hi)"
 
 
 def _ranked(
     counted: DataFrame, widths: Sequence[float], method: str, keys_at_most: int | None
 ) -> DataFrame:
     ranks = _ranks(method)
-    wanted = _holds(ranks[0])
-    for rank in ranks[1:]:
-        wanted = wanted | _holds(rank)
+    wanted = " OR ".join(_holds(rank) for rank in ranks)
 
     opened: DataFrame | None = None  # bins that hold a wanted rank: <= 6 per key
-    parents: list[str] = []
+    group = ["_key"]
     for level, width in enumerate(widths):
-        bin_name = f"_bin{level}"
-        counted = counted.withColumn(bin_name, F.floor(F.col("_value") / F.lit(width)))
-        here = ["_key", *parents]
-        binned = _restrict(counted, opened, here, keys_at_most)
+        name = f"_bin{level}"
+        counted = counted.selectExpr("*", f"floor(_value / {width}D) AS {name}")
         carried = [] if opened is None else ["n", "_start"]
-        bins = binned.groupBy(*here, bin_name, *carried).agg(F.sum("_rows").alias("_rows"))
-        group = Window.partitionBy(*here)
+        bins = (
+            _restrict(counted, opened, group, keys_at_most)
+            .groupBy(*group, name, *carried)
+            .agg(F.expr("sum(_rows) AS _rows"))
+        )
         if opened is None:
-            bins = bins.withColumns({"n": F.sum("_rows").over(group), "_start": F.lit(0)})
+            bins = bins.selectExpr("*", "sum(_rows) OVER (PARTITION BY _key) AS n", "0L AS _start")
         opened = (
-            _running(bins, here, bin_name)
+            _numbered(bins, group, name)
             .where(wanted)
-            .select(*here, bin_name, "n", F.col("_lo").cast("bigint").alias("_start"))
+            .selectExpr(*group, name, "n", "_lo AS _start")
         )
-        parents.append(bin_name)
+        group = [*group, name]
 
-    inside = _restrict(counted, opened, ["_key", *parents], keys_at_most)
-    numbered = _running(inside, ["_key", *parents], "_value").where(wanted)
-    found = numbered.groupBy("_key", "n").agg(
-        *[F.max(F.when(_holds(r), F.col("_value"))).alias(f"_r{i}") for i, r in enumerate(ranks)]
+    inside = _restrict(counted, opened, group, keys_at_most)
+    at_ranks = _numbered(inside, group, "_value").where(wanted)
+    found = at_ranks.groupBy("_key", "n").agg(
+        *[F.expr(f"max(if({_holds(r)}, _value, NULL)) AS _r{i}") for i, r in enumerate(ranks)]
     )
     picked = []
     for i, (quartile, p) in enumerate(QUARTILES.items()):
         position = _position(p, method)
-        share = position - F.floor(position)
-        low, high = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
-        picked.append((share * high + (F.lit(1.0) - share) * low).alias(quartile))
-    return found.select("_key", "n", *picked)
+        share = f"({position} - floor({position}))"
+        picked.append(f"{share} * _r{2 * i + 1} + (1D - {share}) * _r{2 * i} AS {quartile}")
+    return found.selectExpr("_key", "n", *picked)
 
 
 def _restrict(
@@ -174,24 +171,15 @@ def _restrict(
     return counted.join(_small(opened, keys_at_most, 6), keys)
 
 
-def _running(frame: DataFrame, group: list[str], order: str) -> DataFrame:
+def _numbered(frame: DataFrame, group: list[str], order: str) -> DataFrame:
     """Add the half-open rank interval ``[_lo, _hi)`` of each row."""
     upto = (
-        Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return frame.withColumn("_hi", F.col("_start") + F.sum("_rows").over(upto)).withColumn(
-        "_lo", F.col("_hi") - F.col("_rows")
+        f"sum(_rows) OVER (PARTITION BY {', '.join(group)} ORDER BY {order} "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
+    return frame.selectExpr("*", f"_start + {upto} AS _hi").selectExpr("*", "_hi - _rows AS _lo")
 
 
-def _sketched(df: DataFrame, key: str, value: str) -> DataFrame:
-    v = F.nanvl(F.col(value), F.lit(None))
-    return (
-        df.select(F.col(key).alias("_key"), v.alias("_value"))
-        .dropna()
-        .groupBy("_key")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.percentile_approx("_value", p, 10000).alias(q) for q, p in QUARTILES.items()],
-        )
-    )
+def _sketched(samples: DataFrame) -> DataFrame:
+    sketches = [f"percentile_approx(_value, {p}D, 10000) AS {q}" for q, p in QUARTILES.items()]
+    return samples.groupBy("_key").agg(F.expr("count(1) AS n"), *map(F.expr, sketches))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmill.operators.shape import quoted
+
 BROADCAST_ROWS = 100_000  # A dimension row is ~100 bytes, so ~10 MB at most.
 HOT_SHARE = 0.001  # At most 1 / HOT_SHARE keys can hold more than this share.
 
@@ -29,13 +31,9 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> Da
 
     Counts combine map-side, so a hot key costs one row per map task here.
     """
-    total = df.agg((F.count(F.lit(1)) * F.lit(share)).alias("bar"))
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("rows_held"))
-        .where(F.col("rows_held") > total.scalar())
-        .select(*keys)
-    )
+    bar = df.agg(F.expr(f"count(1) * {share}D AS bar")).scalar()
+    held = df.groupBy(*keys).agg(F.expr("count(1) AS rows_held"))
+    return held.where(F.col("rows_held") > bar).select(*keys)
 
 
 def left_lookup(
@@ -63,21 +61,21 @@ def spread_left_lookup(
 ) -> DataFrame:
     """The shuffled form of :func:`left_lookup`, safe against hot and NULL keys."""
     keys = list(keys)
-    has_key: Column = F.lit(True)
-    for key in keys:
-        has_key = has_key & F.col(key).isNotNull()
+    has_key = " AND ".join(f"{quoted(key)} IS NOT NULL" for key in keys)
     keyed = left.where(has_key)
     hot = hot_keys(keyed, keys, share)  # fewer than 1/share rows
-    extra = [f for f in right.schema.fields if f.name not in keys]
+    extra = [
+        f"cast(NULL as {f.dataType.simpleString()}) AS {quoted(f.name)}"
+        for f in right.schema.fields
+        if f.name not in keys
+    ]
 
     hot_right = right.join(F.broadcast(hot), keys, "left_semi")
     hot_part = keyed.join(F.broadcast(hot), keys, "left_semi").join(
         F.broadcast(hot_right), keys, "left"
     )
     even_part = keyed.join(F.broadcast(hot), keys, "left_anti").join(right, keys, "left")
-    bare_part = left.where(~has_key).select(
-        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra]
-    )
+    bare_part = left.where(f"NOT ({has_key})").selectExpr("*", *extra)
     return hot_part.unionByName(even_part).unionByName(bare_part)
 
 
@@ -103,12 +101,12 @@ def left_enrich(
     ).withColumnRenamed(right_key, lookup)
     order = left.columns + [c for c in right.columns if c != lookup]
     joined = left_lookup(left, right, [lookup], rows_at_most=rows_at_most, limit=limit)
-    return joined.select(*[F.col(f"`{c}`") for c in order])
+    return joined.selectExpr(*[quoted(c) for c in order])
 
 
 def used_ids(df: DataFrame, column: str) -> DataFrame:
     """Distinct non-null ids."""
-    return df.select(column).where(F.col(column).isNotNull()).distinct()
+    return df.select(column).where(f"{quoted(column)} IS NOT NULL").distinct()
 
 
 def used_dimension(

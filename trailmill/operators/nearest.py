@@ -13,20 +13,21 @@ from functools import reduce
 from itertools import product
 from math import sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmill.functions.geo import chord, haversine_km, unit_vector
 from trailmill.functions.numeric import half_even
 from trailmill.functions.temporal import hour_number
 from trailmill.operators.joins import spread_left_lookup
+from trailmill.operators.shape import quoted
 
 DIRECT_STATIONS = 64  # Up to here a whole hour's stations fit one row's array.
 CELL = 1 / 64  # Cube edge on the unit sphere, about 100 km.
 REACHES = (1 / 16, 1 / 4, 1.0)  # Search edges, about 400, 1,600 and 6,400 km.
 SLACK = 1e-8  # Covers the 1 mm grain distances are compared with.
 
-_OBSERVATION = ["lat", "lon", "station_id", "temp", "rhum"]
+_OBSERVATION = ("lat", "lon", "station_id", "temp", "rhum")
 _CELL_KEYS = ["_hour", "_cx", "_cy", "_cz"]
 
 
@@ -46,52 +47,46 @@ def attach_nearest(
 
     Distances are compared to 1 mm, then by station id. ``stations_at_most``
     is a bound the caller can prove on the number of stations; without a small
-    one, candidates are first narrowed per grid cell.
+    one, candidates are first narrowed per grid cell. Adaptive execution
+    broadcasts the candidates when they measure small and splits a skewed hour
+    otherwise; ``split_hot`` plans the split for hot hours up front.
     """
-    keyed = activities.withColumn("_hour", hour_number(F.col(time)))
-    hourly = observations.select(hour_number(F.col("obs_hour")).alias("_hour"), *_OBSERVATION)
-    if stations_at_most is not None and stations_at_most <= DIRECT_STATIONS:
+    hourly = observations.selectExpr(f"{hour_number('obs_hour')} AS _hour", *_OBSERVATION)
+    extra = [f"{hour_number(time)} AS _hour"]
+    direct = stations_at_most is not None and stations_at_most <= DIRECT_STATIONS
+    if direct:
         keys = ["_hour"]
-        candidates = hourly.groupBy("_hour").agg(
-            F.collect_list(F.struct(*_OBSERVATION)).alias("_near")
-        )
+        packed = f"collect_list(struct({', '.join(_OBSERVATION)})) AS _near"
+        candidates = hourly.groupBy("_hour").agg(F.expr(packed))
+        keyed = activities.selectExpr("*", *extra)
     else:
         keys = _CELL_KEYS
-        keyed = keyed.withColumns(_cells(unit_vector(F.col(lat), F.col(lon)), CELL, "_c"))
+        keyed = activities.selectExpr("*", *extra, *_cells(unit_vector(lat, lon), CELL, "_c"))
         candidates = cell_candidates(keyed.select(*keys), hourly)
 
     if split_hot:
         joined = spread_left_lookup(keyed, candidates, keys)
     else:
         joined = keyed.join(candidates, keys, "left")
-    best = _pick(F.col("_near"), F.col(lat), F.col(lon), max_km)
-    return (
-        joined.withColumn("_best", best)
-        .withColumns({"temp": F.col("_best.temp"), "rhum": F.col("_best.rhum")})
-        .select(*[F.col(f"`{c}`") for c in activities.columns], "temp", "rhum")
+    kept = [quoted(c) for c in activities.columns]
+    return joined.selectExpr(*kept, f"{_pick(lat, lon, max_km)} AS _best").selectExpr(
+        *kept, "_best.temp AS temp", "_best.rhum AS rhum"
     )
 
 
-def _pick(near: Column, lat: Column, lon: Column, max_km: float | None) -> Column:
-    ranked = F.transform(
-        near,
-        lambda o: F.struct(
-            half_even(haversine_km(lat, lon, o["lat"], o["lon"]), 6).alias("km"),
-            o["station_id"].alias("station_id"),
-            o["temp"].alias("temp"),
-            o["rhum"].alias("rhum"),
-        ),
+def _pick(lat: str, lon: str, max_km: float | None) -> str:
+    km = half_even(haversine_km(lat, lon, "o.lat", "o.lon"), 6)
+    ranked = (
+        f"transform(_near, o -> named_struct('km', {km}, 'station_id', o.station_id, "
+        "'temp', o.temp, 'rhum', o.rhum))"
     )
     if max_km is not None:
-        ranked = F.filter(ranked, lambda o: o["km"] <= F.lit(max_km))
-    return F.when(lat.isNotNull() & lon.isNotNull(), F.array_min(ranked))
+        ranked = f"filter({ranked}, o -> o.km <= {float(max_km)}D)"
+    return f"if({lat} IS NOT NULL AND {lon} IS NOT NULL, array_min({ranked}), NULL)"
 
 
-def _cells(point: tuple[Column, Column, Column], edge: float, name: str) -> dict[str, Column]:
-    return {
-        f"{name}{axis}": F.floor(value / F.lit(edge)).cast("int")
-        for axis, value in zip("xyz", point)
-    }
+def _cells(point: tuple[str, str, str], edge: float, name: str) -> list[str]:
+    return [f"cast(floor({p} / {edge!r}D) as int) AS {name}{a}" for p, a in zip(point, "xyz")]
 
 
 def cell_candidates(cells: DataFrame, hourly: DataFrame) -> DataFrame:
@@ -106,70 +101,56 @@ def cell_candidates(cells: DataFrame, hourly: DataFrame) -> DataFrame:
     Unsettled cells try wider cubes and at last the whole hour, so the result
     is exact however sparse the stations are.
     """
-    radius = CELL * sqrt(3) / 2
-    spread = 2 * radius + SLACK
-    x, y, z = unit_vector(F.col("lat"), F.col("lon"))
-    seen = hourly.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
-        "*", x.alias("_x"), y.alias("_y"), z.alias("_z")
-    )
-    centre = tuple((F.col(f"_c{a}") + 0.5) * F.lit(CELL) for a in "xyz")
-    located = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in _CELL_KEYS])
+    spread = CELL * sqrt(3) + SLACK  # 2 * radius
+    point = ("_x", "_y", "_z")
+    vector = [f"{v} AS {n}" for v, n in zip(unit_vector("lat", "lon"), point)]
+    seen = hourly.where("lat IS NOT NULL AND lon IS NOT NULL").selectExpr("*", *vector)
+    centre = tuple(f"(_c{a} + 0.5D) * {CELL!r}D" for a in "xyz")
+    distance = chord(tuple(f"({c})" for c in centre), point)
+    packed = ", ".join(f"'{c}', {c}" for c in _OBSERVATION)
+    unpacked = ", ".join(f"'{c}', o.{c}" for c in _OBSERVATION)
+
     open_cells = (
-        cells.where(located).distinct().join(seen.select("_hour").distinct(), ["_hour"], "left_semi")
+        cells.dropna()
+        .distinct()
+        .join(seen.select("_hour").distinct(), ["_hour"], "left_semi")
     )
     settled: list[DataFrame] = []
     for edge in (*REACHES, None):
         if edge is None:
-            keys, around, probes = ["_hour"], seen, open_cells
+            pairs = open_cells.join(seen, ["_hour"])
         else:
-            keys = ["_hour", "_bx", "_by", "_bz"]
-            around = _neighbourhood(seen, edge)
-            probes = open_cells.withColumns(_cells(centre, edge, "_b"))
-        distance = chord(*centre, F.col("_x"), F.col("_y"), F.col("_z"))
+            probes = open_cells.selectExpr("*", *_cells(centre, edge, "_b"))
+            pairs = probes.join(
+                _neighbourhood(seen, edge), ["_hour", "_bx", "_by", "_bz"], "left"
+            )
         found = (
-            probes.join(around, keys, "inner" if edge is None else "left")
-            .groupBy(*_CELL_KEYS)
-            .agg(
-                F.min(distance).alias("_d"),
-                F.collect_list(
-                    F.when(
-                        F.col("station_id").isNotNull(),
-                        F.struct(distance.alias("d"), *_OBSERVATION),
-                    )
-                ).alias("_all"),
+            pairs.selectExpr(
+                *_CELL_KEYS,
+                f"if(station_id IS NULL, NULL, named_struct('d', {distance}, {packed})) AS _o",
             )
+            .groupBy(*_CELL_KEYS)
+            .agg(F.expr("min(_o.d) AS _d"), F.expr("collect_list(_o) AS _all"))
         )
-        bound = F.col("_d") + F.lit(spread)
-        near = F.transform(
-            F.filter("_all", lambda o: o["d"] <= bound),
-            lambda o: F.struct(*[o[c].alias(c) for c in _OBSERVATION]),
-        )
+        narrowed = f"filter(_all, o -> o.d <= _d + {spread!r}D)"
+        near = f"transform({narrowed}, o -> named_struct({unpacked})) AS _near"
         if edge is None:
-            settled.append(found.select(*_CELL_KEYS, near.alias("_near")))
+            settled.append(found.selectExpr(*_CELL_KEYS, near))
         else:
-            done = F.coalesce(bound <= F.lit(edge), F.lit(False))
-            settled.append(found.where(done).select(*_CELL_KEYS, near.alias("_near")))
-            open_cells = found.where(~done).select(*_CELL_KEYS)
+            done = f"coalesce(_d + {spread!r}D <= {edge!r}D, false)"
+            settled.append(found.where(done).selectExpr(*_CELL_KEYS, near))
+            open_cells = found.where(f"NOT {done}").select(*_CELL_KEYS)
     return reduce(DataFrame.unionByName, settled)
 
 
 def _neighbourhood(seen: DataFrame, edge: float) -> DataFrame:
-    steps = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"))
-            for i, j, k in product((-1, 0, 1), repeat=3)
-        ]
-    )
-    own = _cells((F.col("_x"), F.col("_y"), F.col("_z")), edge, "_b")
+    """Each observation once per cube of the 27 around its own."""
+    cubes = product((-1, 0, 1), repeat=3)
+    steps = ", ".join(f"struct({i} AS i, {j} AS j, {k} AS k)" for i, j, k in cubes)
     return (
-        seen.withColumns(own)
-        .withColumn("_s", F.explode(steps))
-        .withColumns(
-            {
-                "_bx": F.col("_bx") + F.col("_s.i"),
-                "_by": F.col("_by") + F.col("_s.j"),
-                "_bz": F.col("_bz") + F.col("_s.k"),
-            }
+        seen.selectExpr("*", *_cells(("_x", "_y", "_z"), edge, "_o"))
+        .selectExpr("*", f"explode(array({steps})) AS _s")
+        .selectExpr(
+            *seen.columns, "_ox + _s.i AS _bx", "_oy + _s.j AS _by", "_oz + _s.k AS _bz"
         )
-        .drop("_s")
     )

@@ -5,65 +5,69 @@ sums of nothing are zero, means skip missing values, and results come ordered
 by key or by first activity. All aggregates keep primitive buffers, so Spark
 combines them map-side in the hash aggregate and a hot month or gear costs one
 row per task in the shuffle.
+
+A measure is an aggregate expression with its alias, as SQL text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmill.functions.numeric import from_units, half_even, to_units, truncated
 from trailmill.functions.text import hours2
+from trailmill.operators.shape import quoted
 
 FIRST_SEEN = "_first_seen"
 
 
-def rows(name: str) -> Column:
-    return F.count(F.lit(1)).alias(name)
+def rows(name: str) -> str:
+    return f"count(1) AS {quoted(name)}"
 
 
-def filled(column: str, name: str) -> Column:
+def filled(column: str, name: str) -> str:
     """Non-null values."""
-    return F.count(column).alias(name)
+    return f"count({column}) AS {quoted(name)}"
 
 
-def unit_total(column: str) -> Column:
+def unit_total(column: str) -> str:
     """Exact sum in hundredths."""
-    return F.coalesce(F.sum(to_units(F.col(column))), F.lit(0))
+    return f"coalesce(sum({to_units(column)}), 0L)"
 
 
-def total(column: str, name: str) -> Column:
-    return from_units(unit_total(column)).alias(name)
+def total(column: str, name: str) -> str:
+    return f"{from_units(unit_total(column))} AS {quoted(name)}"
 
 
-def whole_total(column: str, name: str) -> Column:
+def whole_total(column: str, name: str) -> str:
     """Rounded to two decimals, then cut to an integer."""
-    return truncated(half_even(from_units(unit_total(column)))).alias(name)
+    return f"{truncated(half_even(from_units(unit_total(column))))} AS {quoted(name)}"
 
 
-def second_total(column: str) -> Column:
-    return F.coalesce(F.sum(column), F.lit(0))
+def second_total(column: str) -> str:
+    return f"coalesce(sum({column}), 0L)"
 
 
-def hour_total(column: str, name: str) -> Column:
-    return hours2(second_total(column)).alias(name)
+def hour_total(column: str, name: str) -> str:
+    return f"{hours2(second_total(column))} AS {quoted(name)}"
 
 
-def mean(column: str, name: str) -> Column:
+def mean(column: str, name: str) -> str:
     """Mean of the two-decimal values, rounded to two decimals.
 
     The sum is exact, so the last digit does not depend on partitioning.
     """
-    units = to_units(F.col(column))
-    return half_even(from_units(F.sum(units)) / F.nullif(F.count(units), F.lit(0))).alias(name)
+    units = to_units(column)
+    average = f"{from_units(f'sum({units})')} / nullif(count({units}), 0L)"
+    return f"{half_even(average)} AS {quoted(name)}"
 
 
 def rollup(
     df: DataFrame,
     keys: Mapping[str, str],
-    measures: Sequence[Column],
+    measures: Sequence[str],
     *,
     first_seen: bool = False,
     time: str = "start_date_local",
@@ -73,34 +77,32 @@ def rollup(
     ``first_seen`` orders groups by their first activity, else by key.
     """
     present = df.dropna(subset=list(keys.values()))
-    grouped = present.groupBy(*[F.col(c).alias(n) for n, c in keys.items()])
+    grouped = present.groupBy(*[F.expr(f"{quoted(c)} AS {quoted(n)}") for n, c in keys.items()])
     if not first_seen:
-        return grouped.agg(*measures).orderBy(*keys)
-    return (
-        grouped.agg(*measures, F.min(time).alias(FIRST_SEEN))
-        .orderBy(FIRST_SEEN, *keys)
-        .drop(FIRST_SEEN)
-    )
+        return grouped.agg(*map(F.expr, measures)).orderBy(*keys)
+    first = F.expr(f"min({time}) AS {FIRST_SEEN}")
+    return grouped.agg(*map(F.expr, measures), first).orderBy(FIRST_SEEN, *keys).drop(FIRST_SEEN)
 
 
 def fused_rollup(
-    df: DataFrame, outer: tuple[str, str], inner: tuple[str, str], measures: Sequence[Column]
+    df: DataFrame, outer: tuple[str, str], inner: tuple[str, str], measures: Sequence[str]
 ) -> DataFrame:
     """Totals by ``outer`` and by ``outer`` and ``inner`` in one scan.
 
     ``level`` is ``total`` or ``split``. A missing inner key still counts in
     the total, and is left out of the split.
     """
-    (outer_name, outer_column), (inner_name, inner_column) = outer, inner
-    frame = df.dropna(subset=[outer_column]).withColumns(
-        {outer_name: F.col(outer_column), inner_name: F.col(inner_column)}
-    )
-    a, b = F.col(f"`{outer_name}`"), F.col(f"`{inner_name}`")
-    fused = frame.groupingSets([[a], [a, b]], a, b).agg(
-        F.grouping_id().alias("_level"), *measures
+    a, b = F.col(quoted(outer[1])), F.col(quoted(inner[1]))
+    fused = (
+        df.dropna(subset=[outer[1]])
+        .groupingSets([[a], [a, b]], a, b)
+        .agg(F.expr("grouping_id() AS _level"), *map(F.expr, measures))
+        .where(f"_level = 1 OR {quoted(inner[1])} IS NOT NULL")
     )
-    split = F.col("_level") == 0
-    return fused.where(~split | b.isNotNull()).select(
-        F.when(split, "split").otherwise("total").alias("level"),
-        *[F.col(f"`{c}`") for c in fused.columns if c != "_level"],
+    values = [quoted(c) for c in fused.columns[3:]]
+    return fused.selectExpr(
+        "if(_level = 0, 'split', 'total') AS level",
+        f"{quoted(outer[1])} AS {quoted(outer[0])}",
+        f"{quoted(inner[1])} AS {quoted(inner[0])}",
+        *values,
     )

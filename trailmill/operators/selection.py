@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.functions.temporal import MINUTE_LABEL, minute_label_rank, minute_label_time
+from trailmill.functions.temporal import minute_label, minute_label_rank, minute_label_time
+from trailmill.operators.shape import quoted
 
 # The year choices besides a calendar year, and the types
 # selected before the user chooses.
@@ -25,15 +26,14 @@ def latest_minute(df: DataFrame, time: str = "start_date_local", strict: bool =
     anchor; ``strict`` takes the true latest time instead.
     """
     if strict:
-        return df.agg(F.max(time).alias("anchor"))
-    return df.agg(F.max(minute_label_rank(F.col(time))).alias("r")).select(
-        minute_label_time(F.col("r")).alias("anchor")
-    )
+        return df.agg(F.expr(f"max({time}) AS anchor"))
+    ranked = df.agg(F.expr(f"max({minute_label_rank(time)}) AS r"))
+    return ranked.selectExpr(f"{minute_label_time('r')} AS anchor")
 
 
 def latest_label(df: DataFrame, time: str = "start_date_local") -> DataFrame:
     """One row, ``label``: the largest minute label."""
-    return latest_minute(df, time).select(F.date_format("anchor", MINUTE_LABEL).alias("label"))
+    return latest_minute(df, time).selectExpr(f"{minute_label('anchor')} AS label")
 
 
 @dataclass(frozen=True)
@@ -52,29 +52,31 @@ class Selection:
     time: str = "start_date_local"
 
     def predicates(self, df: DataFrame) -> list[Column]:
-        conditions = [F.col("type").isin(list(self.types))]
-        conditions += self._year_conditions(df)
         brand = F.col("brand_name")
-        conditions.append(brand.isNotNull() if self.brands is None else brand.isin(list(self.brands)))
-        return conditions
+        return [
+            F.col("type").isin(list(self.types)),
+            *self._year_conditions(df),
+            brand.isNotNull() if self.brands is None else brand.isin(list(self.brands)),
+        ]
 
     def _year_conditions(self, df: DataFrame) -> list[Column]:
-        time = F.col(self.time)
         if self.years == ALL_YEARS:
             return []
         if self.years == ROLLING:
             # A scalar subquery: evaluated once, then an ordinary comparison
             # that can be pushed into a Parquet scan of a stored table.
-            start = latest_minute(df, self.time, self.strict_anchor).select(
-                F.expr("anchor - INTERVAL 12 MONTH")
+            start = latest_minute(df, self.time, self.strict_anchor).selectExpr(
+                "anchor - INTERVAL 12 MONTH AS start"
             )
-            return [time >= start.scalar()]
+            return [F.col(self.time) >= start.scalar()]
         # A range on the stored time can be pushed down; year(time) cannot.
+        # On a table partitioned by year the last part prunes directories.
         year = int(self.years)
-        first, after = (F.lit(f"{y:04d}-01-01").cast("timestamp_ntz") for y in (year, year + 1))
-        bounds = [time >= first, time < after]
-        # On a table partitioned by year the same choice prunes directories.
-        return bounds + ([F.col("year") == year] if "year" in df.columns else [])
+        in_range = (
+            f"{self.time} >= TIMESTAMP_NTZ'{year:04d}-01-01' "
+            f"AND {self.time} < TIMESTAMP_NTZ'{year + 1:04d}-01-01'"
+        )
+        return [F.expr(in_range + (f" AND year = {year}" if "year" in df.columns else ""))]
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.where(reduce(lambda a, b: a & b, self.predicates(df)))
@@ -82,12 +84,8 @@ class Selection:
 
 def frequency_domain(df: DataFrame, column: str) -> DataFrame:
     """Distinct values, most frequent first; equal counts by value."""
-    return (
-        df.where(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), column)
-    )
+    counted = df.where(f"{quoted(column)} IS NOT NULL").groupBy(column).agg(F.expr("count(1) AS n"))
+    return counted.orderBy(F.desc("n"), column)
 
 
 def year_domain(df: DataFrame) -> DataFrame:
@@ -95,13 +93,13 @@ def year_domain(df: DataFrame) -> DataFrame:
 
     ``position`` carries the order and is not the row number.
     """
-    literals = df.sparkSession.createDataFrame(
-        [(ALL_YEARS, -2), (ROLLING, -1)], "label string, position int"
+    literals = df.sparkSession.sql(
+        f"SELECT * FROM VALUES ('{ALL_YEARS}', -2), ('{ROLLING}', -1) AS t(label, position)"
     )
     years = (
-        df.select("year")
-        .where(F.col("year").isNotNull())
+        df.where("year IS NOT NULL")
+        .select("year")
         .distinct()
-        .select(F.col("year").cast("string").alias("label"), (9999 - F.col("year")).alias("position"))
+        .selectExpr("cast(year as string) AS label", "9999 - year AS position")
     )
     return literals.unionByName(years).orderBy("position")

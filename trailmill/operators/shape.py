@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from trailmill.functions.numeric import not_nan
 
-def _quoted(path: tuple[str, ...]) -> str:
+
+def quoted(*path: str) -> str:
     return ".".join(f"`{part}`" for part in path)
 
 
-def _leaves(
-    schema: T.StructType, prefix: tuple[str, ...] = ()
-) -> Iterator[tuple[str, ...]]:
+def derive(df: DataFrame, new: Mapping[str, str]) -> DataFrame:
+    """Columns of ``df`` with those in ``new`` replaced or appended.
+
+    One projection: every expression sees the columns as they were.
+    """
+    kept = [f"{new[c]} AS {quoted(c)}" if c in new else quoted(c) for c in df.columns]
+    added = [f"{x} AS {quoted(c)}" for c, x in new.items() if c not in df.columns]
+    return df.selectExpr(*kept, *added)
+
+
+def _leaves(schema: T.StructType, prefix: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
     for field in schema.fields:
         path = (*prefix, field.name)
         if isinstance(field.dataType, T.StructType):
@@ -27,15 +36,13 @@ def _leaves(
 
 def flatten_structs(df: DataFrame, separator: str = ".") -> DataFrame:
     """Every nested struct field as its own column; arrays stay as they are."""
-    return df.select(
-        *[F.col(_quoted(path)).alias(separator.join(path)) for path in _leaves(df.schema)]
+    return df.selectExpr(
+        *[f"{quoted(*path)} AS {quoted(separator.join(path))}" for path in _leaves(df.schema)]
     )
 
 
-def drop_suffixed(df: DataFrame, suffix: str = "_str", keep: Iterable[str] = ()) -> DataFrame:
-    kept = set(keep)
-    names = [c for c in df.columns if not c.endswith(suffix) or c in kept]
-    return df.select(*[F.col(f"`{c}`") for c in names])
+def drop_suffixed(df: DataFrame, suffix: str = "_str") -> DataFrame:
+    return df.selectExpr(*[quoted(c) for c in df.columns if not c.endswith(suffix)])
 
 
 def title_headers(df: DataFrame) -> DataFrame:
@@ -45,15 +52,12 @@ def title_headers(df: DataFrame) -> DataFrame:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN to NULL in every floating-point column; other columns untouched."""
-
-    def clean(field: T.StructField) -> Column:
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            missing = F.lit(None).cast(field.dataType)
-            return F.nanvl(column, missing).alias(field.name)
-        return column
-
-    return df.select(*[clean(field) for field in df.schema.fields])
+    floating = {
+        f.name: f.dataType.simpleString()
+        for f in df.schema.fields
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+    }
+    return derive(df, {c: f"cast({not_nan(quoted(c))} as {kind})" for c, kind in floating.items()})
 
 
 def append(pages: Iterable[DataFrame]) -> DataFrame:
@@ -61,7 +65,13 @@ def append(pages: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pages)
 
 
-def conform(df: DataFrame, target_columns: Iterable[str]) -> DataFrame:
-    """Only the columns the target table has, in the target's order."""
+def conform(df: DataFrame, target: T.StructType) -> DataFrame:
+    """Only the columns the target table has, in its order and types."""
     present = set(df.columns)
-    return df.select(*[F.col(f"`{c}`") for c in target_columns if c in present])
+    return df.selectExpr(
+        *[
+            f"cast({quoted(f.name)} as {f.dataType.simpleString()}) AS {quoted(f.name)}"
+            for f in target.fields
+            if f.name in present
+        ]
+    )

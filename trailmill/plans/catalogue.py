@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmill.functions import numeric, temporal, text, units
+from trailmill.functions import numeric, temporal, text
 from trailmill.operators import joins, shape
 from trailmill.operators.nearest import attach_nearest
 from trailmill.operators.selection import (
@@ -22,7 +22,6 @@ from trailmill.operators.selection import (
 from trailmill.plans import enrich as e
 from trailmill.plans import reports
 from trailmill.sources import landing, samples, table
-from trailmill.sources.schemas import TABLE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,7 +55,7 @@ class Samples:
     def refreshed(self) -> Column:
         """A snapshot time the data fixes: a day after the last activity."""
         latest = latest_minute(self.raw(), strict=True)
-        return latest.select(F.col("anchor") + F.expr("INTERVAL 1 DAY")).scalar()
+        return latest.selectExpr("anchor + INTERVAL 1 DAY AS refreshed").scalar()
 
 
 def _selected(frame: reports.Frame, selection: Selection = Selection(), **options: object) -> Query:
@@ -79,8 +78,7 @@ def report_queries() -> dict[str, Query]:
     for m in ("activities", "distance", "elevation", "time"):
         found[f"overview_{m}_by_month"] = _selected(reports.overview_series(m, False))
         found[f"overview_{m}_by_month_type"] = _selected(reports.overview_series(m, True))
-        suffix = "" if m == "activities" else ""
-        found[f"gear_{m}{suffix}"] = _selected(reports.gear_totals(m))
+        found[f"gear_{m}"] = _selected(reports.gear_totals(m))
         found[f"timing_month_{m}"] = _selected(reports.timing_month(m))
         found[f"timing_weekday_{m}"] = _selected(reports.timing_weekday(m))
         found[f"timing_hour_{m}"] = _selected(reports.timing_hour(m))
@@ -138,14 +136,12 @@ SELECTED = ("id_activity", "type", "start_date_local", "brand_name")
 
 def _pages(s: Samples) -> DataFrame:
     """Activities re-encoded as landed page payloads, one page per line."""
-    iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-    raw = s.raw().withColumns(
-        {n: F.date_format(n, iso) for n in ("start_date", "start_date_local")}
-        | {"gear_id": F.col("gear_id").cast("string")}
+    iso = {n: f"concat({temporal.iso_text(n)}, 'Z')" for n in e.TIMES}
+    raw = shape.derive(s.raw(), iso | {"gear_id": "cast(gear_id as string)"})
+    failed = "to_json(named_struct('errors', array('Rate limit')))"
+    return raw.selectExpr(
+        f"if(upload_id % 10 = 7, {failed}, to_json(array(struct(*)))) AS payload"
     )
-    good = F.to_json(F.array(F.struct("*")))
-    failed = F.to_json(F.struct(F.array(F.lit("Rate limit")).alias("errors")))
-    return raw.select(F.when(F.col("upload_id") % 10 == 7, failed).otherwise(good).alias("payload"))
 
 
 def _landed(s: Samples) -> DataFrame:
@@ -161,14 +157,24 @@ def _record_round_trip(s: Samples) -> DataFrame:
         s.enriched(refreshed=s.refreshed()).withColumnRenamed("athlete.id", "athlete.id_str")
     )
     again = table.retype(table.to_records(stored))
-    return again.select(
-        F.col("`athlete.id`").alias("athlete_id"), *CALENDAR, "distance_activity", "name_gear"
-    )
+    shown = (*CALENDAR, "distance_activity", "name_gear", "refresh_date")
+    return again.selectExpr("`athlete.id` AS athlete_id", *shown)
+
+
+GEARED = ("id_activity", "gear_id", "name_activity", "name_gear", "brand_name", "retired")
+
+
+def _duration_texts(df: DataFrame) -> DataFrame:
+    return df.selectExpr(
+        "id_activity",
+        f"{text.duration_text('elapsed_time')} AS duration",
+        f"{text.hours_minutes('elapsed_time')} AS label",
+        f"{text.hours2('elapsed_time')} AS hours",
+    ).selectExpr("*", f"{text.duration_seconds('duration')} AS seconds")
 
 
 def stage_queries() -> dict[str, Query]:
     """Pipeline stages and single operators."""
-    c = F.col
     run_2000 = Selection(2000, ("Run",), ("Brand#1", "Brand#2", "Brand#3"))
     selections = {
         "select_rolling_default": Selection(),
@@ -207,20 +213,11 @@ def stage_queries() -> dict[str, Query]:
         "activities_season": _whole(
             lambda df: df.select("id_activity", "monthly_date"), month_mode="seasonal"
         ),
-        "durations_text": _whole(
-            lambda df: df.select(
-                "id_activity",
-                text.duration_text(c("elapsed_time")).alias("duration"),
-                text.duration_seconds(text.duration_text(c("elapsed_time"))).alias("seconds"),
-                text.hours_minutes(c("elapsed_time")).alias("label"),
-                text.hours2(c("elapsed_time")).alias("hours"),
-            ),
-            wrap_24h=False,
-        ),
+        "durations_text": _whole(_duration_texts, wrap_24h=False),
         "records_round_trip": _stage(_record_round_trip),
         "gear_converted": _stage(
-            lambda s: e.convert_gear(s.gear()).select(
-                "id", "name", "brand_name", "retired", numeric.half_even(c("distance"), 6).alias("distance")
+            lambda s: shape.derive(
+                e.convert_gear(s.gear()), {"distance": numeric.half_even("distance", 6)}
             )
         ),
         "gear_ids": _stage(lambda s: joins.used_ids(s.raw(), "gear_id")),
@@ -229,13 +226,11 @@ def stage_queries() -> dict[str, Query]:
                 "id", "name", "brand_name"
             )
         ),
-        "gear_join": _whole(
-            lambda df: df.select("id_activity", "gear_id", "name_activity", "name_gear", "brand_name", "retired")
-        ),
+        "gear_join": _whole(lambda df: df.select(*GEARED)),
         "gear_join_spread": _stage(
             lambda s: joins.spread_left_lookup(
                 s.raw().select("id", "gear_id"),
-                s.gear().select(c("id").alias("gear_id"), "name", "brand_name"),
+                s.gear().selectExpr("id AS gear_id", "name", "brand_name"),
                 ["gear_id"],
             )
         ),
@@ -253,35 +248,25 @@ def stage_queries() -> dict[str, Query]:
         "pages_appended": _stage(
             lambda s: shape.append(
                 [
-                    s.raw().where(c("gear_id").isNull()).select("id", "type", "distance"),
-                    s.raw().where(c("gear_id").isNotNull()).select("id", "type", "gear_id"),
+                    s.raw().where("gear_id IS NULL").select("id", "type", "distance"),
+                    s.raw().where("gear_id IS NOT NULL").select("id", "type", "gear_id"),
                 ]
             )
         ),
         "nan_cleaned": _stage(
             lambda s: shape.nan_to_null(
-                s.raw().select(
-                    "id",
-                    F.when(c("distance") < 20000, F.lit(float("nan")))
-                    .otherwise(c("distance"))
-                    .alias("distance"),
-                )
+                s.raw().selectExpr("id", "if(distance < 20000, double('NaN'), distance) AS distance")
             )
         ),
         "rolling_anchor": _whole(
-            lambda df: latest_minute(df).select(
-                "anchor", F.expr("anchor - INTERVAL 12 MONTH").alias("window_start")
+            lambda df: latest_minute(df).selectExpr(
+                "anchor", "anchor - INTERVAL 12 MONTH AS window_start"
             )
         ),
         "table_columns": _stage(
-            lambda s: shape.conform(
-                s.enriched().withColumn("not_in_table", F.lit(1)), TABLE.names
-            ).select("id_activity", "type", "distance_activity", "distance_gear", "year")
-        ),
-        "overview_distinct_by_month": _selected(
-            lambda df: df.groupBy(c("month_year").alias("Month")).agg(
-                F.countDistinct("upload_id").alias("Activities")
-            )
+            lambda s: table.storable(
+                s.enriched(refreshed=s.refreshed()).selectExpr("*", "1 AS not_in_table")
+            ).drop("athlete.id")
         ),
     }
     return found

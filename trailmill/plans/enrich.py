@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmill.functions import temporal as t
@@ -11,59 +10,46 @@ from trailmill.functions import units
 from trailmill.functions.numeric import not_nan
 from trailmill.operators.joins import left_enrich
 from trailmill.operators.nearest import attach_nearest
-from trailmill.operators.shape import drop_suffixed, flatten_structs
+from trailmill.operators.shape import derive, drop_suffixed, flatten_structs
 
 SENSOR = ("average_heartrate", "max_heartrate", "suffer_score")
+TIMES = ("start_date", "start_date_local")
+DURATIONS = ("moving_time", "elapsed_time")
 TRANSIENT = ("start_latlng", "end_latlng", "start_latitude", "start_longitude")
 
 
 def convert_activities(flat: DataFrame) -> DataFrame:
     """Metric to imperial, NaN sensor values to NULL."""
-    c = F.col
-    return flat.withColumns(
-        {
-            "distance": units.miles2(c("distance")),
-            "average_speed": units.mph2(c("average_speed")),
-            "max_speed": units.mph2(c("max_speed")),
-            "total_elevation_gain": units.feet2(c("total_elevation_gain")),
-            "elev_high": units.feet2(c("elev_high")),
-            "elev_low": units.feet2(c("elev_low")),
-            **{name: not_nan(c(name)) for name in SENSOR},
-        }
-    )
+    converted = {
+        "distance": units.miles2("distance"),
+        "average_speed": units.mph2("average_speed"),
+        "max_speed": units.mph2("max_speed"),
+        "total_elevation_gain": units.feet2("total_elevation_gain"),
+        "elev_high": units.feet2("elev_high"),
+        "elev_low": units.feet2("elev_low"),
+    }
+    return derive(flat, converted | {name: not_nan(name) for name in SENSOR})
 
 
 def convert_gear(gear: DataFrame) -> DataFrame:
-    return gear.withColumn("distance", units.miles(F.col("distance"))).drop("converted_distance")
+    return derive(gear, {"distance": units.miles("distance")}).drop("converted_distance")
 
 
 def split_position(df: DataFrame) -> DataFrame:
     """``[lat, lon]`` to two columns; NULL when the array is empty."""
-    return df.withColumns(
-        {
-            "start_latitude": F.get("start_latlng", F.lit(0)),
-            "start_longitude": F.get("start_latlng", F.lit(1)),
-        }
-    )
+    ends = {"start_latitude": "get(start_latlng, 0)", "start_longitude": "get(start_latlng, 1)"}
+    return derive(df, ends)
 
 
 def naive_times(df: DataFrame) -> DataFrame:
     """Start times as whole-second wall clocks, from ISO text or timestamps."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-
-    def naive(name: str) -> Column:
-        if isinstance(kinds[name], T.StringType):
-            return t.wall_clock(F.col(name))
-        return t.whole_second(F.col(name))
-
-    return df.withColumns({n: naive(n) for n in ("start_date", "start_date_local")})
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    return derive(df, {n: (t.wall_clock if n in text else t.whole_second)(n) for n in TIMES})
 
 
 def wrap_durations(df: DataFrame, wrap_24h: bool = True) -> DataFrame:
     """Durations as a clock face shows them; ``wrap_24h=False`` keeps them whole."""
-    if not wrap_24h:
-        return df
-    return df.withColumns({n: t.wrap_day(F.col(n)) for n in ("moving_time", "elapsed_time")})
+    return derive(df, {n: t.wrap_day(n) for n in DURATIONS}) if wrap_24h else df
 
 
 def calendar(df: DataFrame, month_mode: str = "calendar") -> DataFrame:
@@ -71,9 +57,10 @@ def calendar(df: DataFrame, month_mode: str = "calendar") -> DataFrame:
 
     ``month_mode`` is ``calendar`` or ``seasonal`` (all years folded into one).
     """
-    start = F.col("start_date_local")
+    start = "start_date_local"
     monthly = {"calendar": t.month_start, "seasonal": t.season_month}[month_mode]
-    return df.withColumns(
+    return derive(
+        df,
         {
             "start_time_local_24h": t.clock24(start),
             "start_time_local_24h_hour": t.nearest_hour(start),
@@ -81,15 +68,23 @@ def calendar(df: DataFrame, month_mode: str = "calendar") -> DataFrame:
             "weekday": t.weekday_name(start),
             "weekday_num": t.weekday_number(start),
             "month": t.month_name(start),
-            "month_num": F.month(start),
+            "month_num": f"month({start})",
             "monthly_date": monthly(start),
             "month_year": t.month_start(start),
             "month_year_name": t.month_label(start),
-            "year": F.year(start),
-        }
+            "year": f"year({start})",
+        },
     )
 
 
+def stamp(df: DataFrame, refreshed: Column | None = None) -> DataFrame:
+    """Add ``refresh_date``; ``refreshed`` is naive UTC, now by default."""
+    if refreshed is None:
+        return derive(df, {"refresh_date": t.refresh_stamp(t.UTC_NOW)})
+    timed = df.withColumn("_refreshed", refreshed)
+    return derive(timed, {"refresh_date": t.refresh_stamp("_refreshed")}).drop("_refreshed")
+
+
 def enrich(
     raw: DataFrame,
     gear: DataFrame,
@@ -106,11 +101,9 @@ def enrich(
     Every step is a projection except the gear lookup (broadcast when gear is
     provably or measurably small) and the weather lookup; leave
     ``observations`` out when no weather column is needed, as a left join
-    under a sum cannot be pruned away. ``refreshed`` is the naive UTC time of
-    the snapshot, now by default.
+    under a sum cannot be pruned away.
     """
-    flat = naive_times(convert_activities(flatten_structs(raw)))
-    placed = split_position(flat)
+    placed = split_position(naive_times(convert_activities(flatten_structs(raw))))
     if observations is not None:
         placed = attach_nearest(placed, observations, stations_at_most=stations_at_most)
     geared = left_enrich(
@@ -121,8 +114,5 @@ def enrich(
         ("_activity", "_gear"),
         rows_at_most=gear_rows_at_most,
     )
-    if "id_activity" not in geared.columns:
-        geared = geared.withColumnRenamed("id", "id_activity")
     dated = calendar(wrap_durations(geared, wrap_24h), month_mode)
-    stamp = t.refresh_stamp(t.utc_now() if refreshed is None else refreshed)
-    return drop_suffixed(dated.withColumn("refresh_date", stamp).drop(*TRANSIENT))
+    return drop_suffixed(stamp(dated, refreshed).drop(*TRANSIENT))

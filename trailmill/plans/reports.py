@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmill.functions.numeric import half_even, truncated
-from trailmill.functions.temporal import day_text, refresh_time, utc_now
+from trailmill.functions.temporal import UTC_NOW, day_text, refresh_time
 from trailmill.functions.text import (
     grouped_hundredths,
     grouped_integer,
@@ -27,7 +27,7 @@ from trailmill.operators import rollup as r
 from trailmill.operators.boxes import box_points, box_summary
 from trailmill.operators.rollup import fused_rollup, rollup
 from trailmill.operators.selection import latest_label
-from trailmill.operators.shape import title_headers
+from trailmill.operators.shape import derive, quoted, title_headers
 
 Frame = Callable[[DataFrame], DataFrame]
 
@@ -43,79 +43,78 @@ CALENDAR_MONTHS = 1_200  # A century of months; bounds per-month results.
 def overview_kpis(df: DataFrame) -> DataFrame:
     """One row: distinct activities and three totals as text, in one pass."""
     totals = df.agg(
-        F.countDistinct("upload_id").alias("Activities"),
-        r.unit_total("distance_activity").alias("_distance"),
-        r.total("total_elevation_gain", "_elevation"),
-        r.second_total("moving_time").alias("_seconds"),
+        F.expr("count(distinct upload_id) AS Activities"),
+        F.expr(f"{r.unit_total('distance_activity')} AS _distance"),
+        F.expr(r.total("total_elevation_gain", "_elevation")),
+        F.expr(f"{r.second_total('moving_time')} AS _seconds"),
     )
-    elevation = truncated(F.rint("_elevation"))
-    return totals.select(
+    return totals.selectExpr(
         "Activities",
-        F.concat(grouped_hundredths(F.col("_distance")), F.lit(" mi")).alias("Distance"),
-        F.concat(grouped_integer(elevation), F.lit(" ft")).alias("Elevation"),
-        hours_minutes(F.col("_seconds")).alias("Time"),
+        f"concat({grouped_hundredths('_distance')}, ' mi') AS Distance",
+        f"concat({grouped_integer(truncated('rint(_elevation)'))}, ' ft') AS Elevation",
+        f"{hours_minutes('_seconds')} AS Time",
     )
 
 
 def overview_kpis_approx(df: DataFrame, error: float = 0.01) -> DataFrame:
     """Activities by sketch, for interactive use on very large selections."""
-    return df.agg(F.approx_count_distinct("upload_id", error).alias("Activities"))
+    return df.agg(F.expr(f"approx_count_distinct(upload_id, {error}D) AS Activities"))
 
 
-def _overview_measures() -> dict[str, Column]:
-    return {
-        "activities": r.rows("Activities"),
-        "distance": r.total("distance_activity", "Distance"),
-        "elevation": r.whole_total("total_elevation_gain", "Elevation"),
-        "time": r.hour_total("moving_time", "Time"),
-    }
+OVERVIEW = {
+    "activities": r.rows("Activities"),
+    "distance": r.total("distance_activity", "Distance"),
+    "elevation": r.whole_total("total_elevation_gain", "Elevation"),
+    "time": r.hour_total("moving_time", "Time"),
+}
 
 
 def overview_series(measure: str, by_type: bool) -> Frame:
     keys = MONTH | TYPE if by_type else MONTH
-    return lambda df: rollup(df, keys, [_overview_measures()[measure]], first_seen=True)
+    return lambda df: rollup(df, keys, [OVERVIEW[measure]], first_seen=True)
 
 
 def overview_fused(df: DataFrame) -> DataFrame:
     """All eight overview series from one scan and one shuffle."""
     (month,), (kind,) = MONTH.items(), TYPE.items()
-    return fused_rollup(df, month, kind, list(_overview_measures().values()))
+    return fused_rollup(df, month, kind, list(OVERVIEW.values()))
 
 
 # Gear ----------------------------------------------------------------------
 
-def _totals(activities: Callable[[], Column]) -> dict[str, Column]:
+def _totals(activities: str) -> dict[str, str]:
     return {
-        "activities": activities(),
+        "activities": activities,
         "distance": r.total("distance_activity", "Distance"),
         "elevation": r.total("total_elevation_gain", "Elevation"),
         "time": r.hour_total("moving_time", "Time"),
     }
 
 
+UPLOAD_TOTALS = _totals(r.filled("upload_id", "Activities"))
+
+
 def gear_totals(measure: str) -> Frame:
     """By brand and gear; the brand chart and the gear chart share it."""
-    measures = lambda: _totals(lambda: r.filled("upload_id", "Activities"))
-    return lambda df: rollup(df, BRAND_GEAR, [measures()[measure]])
+    return lambda df: rollup(df, BRAND_GEAR, [UPLOAD_TOTALS[measure]])
 
 
-def gear_monthly(measure: str) -> Frame:
-    def frame(df: DataFrame) -> DataFrame:
-        measures = _totals(lambda: r.rows("Activities")) | {
-            "avg_speed": r.mean("average_speed", "Avg Speed"),
-            "avg_heartrate": r.mean("average_heartrate", "Avg Heart Rate"),
-            "avg_effort": r.mean("suffer_score", "Avg Relative Effort"),
-        }
-        return rollup(df, MONTH | GEAR, [measures[measure]], first_seen=True)
+GEAR_MONTHLY = _totals(r.rows("Activities")) | {
+    "avg_speed": r.mean("average_speed", "Avg Speed"),
+    "avg_heartrate": r.mean("average_heartrate", "Avg Heart Rate"),
+    "avg_effort": r.mean("suffer_score", "Avg Relative Effort"),
+}
 
-    return frame
 
+def gear_monthly(measure: str) -> Frame:
+    return lambda df: rollup(df, MONTH | GEAR, [GEAR_MONTHLY[measure]], first_seen=True)
 
-# Value column and bin widths of each box measure.
+
+# Value expression and bin widths of each box measure.
 BOXES = {
     "distance": ("distance_activity", boxes.HUNDREDTHS),
     "elevation": ("total_elevation_gain", boxes.HUNDREDTHS),
-    "time": ("_hours", boxes.HUNDREDTHS),
+    "time": (hours2("moving_time"), boxes.HUNDREDTHS),  # rounded per row
     "avg_speed": ("average_speed", boxes.HUNDREDTHS),
     "max_speed": ("max_speed", boxes.HUNDREDTHS),
     "avg_heartrate": ("average_heartrate", boxes.RAW),
@@ -128,12 +127,7 @@ def _box(
     build: Callable[..., DataFrame], measure: str, key: str, name: str, keys_at_most: int | None
 ) -> Frame:
     value, widths = BOXES[measure]
-
-    def frame(df: DataFrame) -> DataFrame:
-        ready = df.withColumn("_hours", hours2(F.col("moving_time")))  # rounded per row
-        return build(ready, key, value, name=name, widths=widths, keys_at_most=keys_at_most)
-
-    return frame
+    return lambda df: build(df, key, value, name=name, widths=widths, keys_at_most=keys_at_most)
 
 
 def gear_box(measure: str, gear_at_most: int | None = None) -> Frame:
@@ -155,31 +149,30 @@ def month_points(measure: str) -> Frame:
 def gear_summary(df: DataFrame) -> DataFrame:
     """Thirteen measures per gear over the unfiltered frame, most recently
     used first within active and retired gear."""
-    time = "start_date_local"
-    keys = {"brand_name": "brand_name", "name_gear": "name_gear", "retired": "retired"}
-    present = df.dropna(subset=list(keys))
-
-    def top(column: str, name: str) -> Column:
-        return half_even(F.max(column)).alias(name)
-
-    measured = present.groupBy(*keys).agg(
+    keys = ["brand_name", "name_gear", "retired"]
+    measures = [
         r.filled("upload_id", "Total_Activities"),
         r.total("distance_activity", "Total_Distance"),
-        top("distance_activity", "Max_Distance"),
+        _top("distance_activity", "Max_Distance"),
         r.total("total_elevation_gain", "Total_Elevation"),
-        top("total_elevation_gain", "Max_Elevation"),
+        _top("total_elevation_gain", "Max_Elevation"),
         r.hour_total("moving_time", "Total_Time"),
-        hours2(F.max("moving_time")).alias("Max_Time"),
+        f"{hours2('max(moving_time)')} AS Max_Time",
         r.mean("average_speed", "Avg_Speed"),
-        top("max_speed", "Max_Speed"),
+        _top("max_speed", "Max_Speed"),
         r.mean("average_heartrate", "Avg_Heart_Rate"),
-        top("max_heartrate", "Max_Heart_Rate"),
-        F.min(time).alias("First_Activity_Date"),
-        F.max(time).alias("Last_Activity_Date"),
-    )
+        _top("max_heartrate", "Max_Heart_Rate"),
+        "min(start_date_local) AS First_Activity_Date",
+        "max(start_date_local) AS Last_Activity_Date",
+    ]
+    measured = df.dropna(subset=keys).groupBy(*keys).agg(*map(F.expr, measures))
     ordered = measured.orderBy("retired", F.desc("Last_Activity_Date"), "brand_name", "name_gear")
-    dates = {c: day_text(F.col(c)) for c in ("First_Activity_Date", "Last_Activity_Date")}
-    return title_headers(ordered.withColumns(dates).withColumnRenamed("name_gear", "Gear"))
+    dates = {c: day_text(c) for c in ("First_Activity_Date", "Last_Activity_Date")}
+    return title_headers(derive(ordered, dates).withColumnRenamed("name_gear", "Gear"))
+
+
+def _top(column: str, name: str) -> str:
+    return f"{half_even(f'max({column})')} AS {name}"
 
 
 # Weather -------------------------------------------------------------------
@@ -189,7 +182,7 @@ HUMIDITY = ("rhum", "Relative Humidity (%)")
 SCATTER = {
     "distance": ("distance_activity", "Distance (mi)"),
     "elevation": ("total_elevation_gain", "Elevation (ft)"),
-    "time": ("_hours", "Time (hrs)"),
+    "time": (hours2("moving_time"), "Time (hrs)"),  # rounded per row
     "avg_speed": ("average_speed", "Avg speed (mph)"),
     "avg_heartrate": ("average_heartrate", "Avg Heart Rate"),
     "effort": ("suffer_score", "Relative Effort"),
@@ -199,12 +192,8 @@ SCATTER = {
 def scatter(x: tuple[str, str], y: tuple[str, str]) -> Frame:
     """Every activity as a point; a narrow projection, no shuffle of its own."""
 
-    def frame(df: DataFrame) -> DataFrame:
-        ready = df.withColumn("_hours", hours2(F.col("moving_time")))
-        chosen = [x, y, ("type", "Activity Type")]
-        return ready.select(*[F.col(column).alias(label) for column, label in chosen])
-
-    return frame
+    chosen = [x, y, ("type", "Activity Type")]
+    return lambda df: df.selectExpr(*[f"{value} AS {quoted(label)}" for value, label in chosen])
 
 
 # Performance ---------------------------------------------------------------
@@ -233,14 +222,13 @@ def timing_hour(measure: str) -> Frame:
 
 
 def _timing(keys: dict[str, str], measure: str) -> Frame:
-    measures = lambda: _totals(lambda: r.filled("upload_id", "Activities"))
-    return lambda df: rollup(df, keys, [measures()[measure]])
+    return lambda df: rollup(df, keys, [UPLOAD_TOTALS[measure]])
 
 
 def timing_weekday(measure: str) -> Frame:
     keys = {"weekday_num": "weekday_num", "Weekday": "weekday"} | TYPE
-    label = ordered_weekday(F.col("weekday_num"), F.col("Weekday"))
-    return lambda df: _timing(keys, measure)(df).withColumn("Weekday", label)
+    label = {"Weekday": ordered_weekday("weekday_num", "Weekday")}
+    return lambda df: derive(_timing(keys, measure)(df), label)
 
 
 # Tables and status ---------------------------------------------------------
@@ -256,28 +244,28 @@ DETAIL = (
 def activity_detail(df: DataFrame) -> DataFrame:
     """Nineteen columns of every activity, unfiltered."""
     shown = {
-        "moving_time": hours2(F.col("moving_time")),
-        "start_date_local": day_text(F.col("start_date_local")),
+        "moving_time": hours2("moving_time"),
+        "start_date_local": day_text("start_date_local"),
     }
-    return df.select(*[shown.get(c, F.col(c)).alias(c) for c in DETAIL])
+    return df.selectExpr(*[f"{shown.get(c, c)} AS {c}" for c in DETAIL])
 
 
 def status_latest(df: DataFrame) -> DataFrame:
     """One row: the latest refresh stamp and the latest activity label."""
-    activity = latest_label(df).select("label").scalar()
-    return df.agg(F.max("refresh_date").alias("last_refresh")).select(
-        "last_refresh", activity.alias("last_activity")
+    return df.agg(F.expr("max(refresh_date) AS last_refresh")).select(
+        "last_refresh", latest_label(df).scalar().alias("last_activity")
     )
 
 
 def status_freshness(df: DataFrame, now: Column | None = None) -> DataFrame:
     """One row: whole days since the last refresh and what to tell the user.
 
-    Under 7 days is ``ok``, up to 14 ``warn``, beyond that ``error``.
+    Under 7 days is ``ok``, up to 14 ``warn``, beyond that ``error``. ``now``
+    is naive UTC.
     """
-    now = utc_now() if now is None else now
-    stamped = df.agg(F.max("refresh_date").alias("last_refresh"))
-    seconds = F.timestamp_diff("SECOND", refresh_time(F.col("last_refresh")), now)
-    age = F.floor(seconds / 86400)
-    status = F.when(age < 7, "ok").when(age <= 14, "warn").otherwise("error")
-    return stamped.select("last_refresh", age.alias("age_days"), status.alias("status"))
+    now = F.expr(UTC_NOW) if now is None else now
+    stamped = df.agg(F.expr("max(refresh_date) AS last_refresh")).withColumn("_now", now)
+    seconds = f"timestampdiff(SECOND, {refresh_time('last_refresh')}, _now)"
+    aged = stamped.selectExpr("last_refresh", f"floor({seconds} / 86400D) AS age_days")
+    status = "CASE WHEN age_days < 7 THEN 'ok' WHEN age_days <= 14 THEN 'warn' ELSE 'error' END"
+    return aged.selectExpr("*", f"{status} AS status")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmill.functions.units import fahrenheit
+from trailmill.operators.shape import derive
 from trailmill.sources.schemas import ACTIVITY, CORRUPT, ERRORS, GEAR, OBSERVATION
 
 
@@ -40,18 +41,17 @@ def parse_activity_pages(pages: DataFrame, payload: str) -> DataFrame:
     return pages.select(F.inline(records))
 
 
-def _rejected() -> Column:
-    return F.col("errors").isNotNull() | F.col(CORRUPT).isNotNull() | F.col("id").isNull()
+_REJECTED = f"errors IS NOT NULL OR {CORRUPT} IS NOT NULL OR id IS NULL"
 
 
 def accepted(pages: DataFrame) -> DataFrame:
     """Proper records only, in the activity schema. Empty pages yield none."""
-    return pages.where(~_rejected()).drop("errors", CORRUPT)
+    return pages.where(f"NOT ({_REJECTED})").drop("errors", CORRUPT)
 
 
 def rejected(pages: DataFrame) -> DataFrame:
     """Error payloads and malformed pages, for a reject table."""
-    return pages.where(_rejected())
+    return pages.where(_REJECTED)
 
 
 def read_gear(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -63,4 +63,4 @@ def read_observations(
 ) -> DataFrame:
     """Hourly station observations; metric feeds are converted to Fahrenheit."""
     read = spark.read.schema(OBSERVATION).format(form).load(path)
-    return read.withColumn("temp", fahrenheit(F.col("temp"))) if metric else read
+    return derive(read, {"temp": fahrenheit("temp")}) if metric else read

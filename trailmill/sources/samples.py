@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmill.functions.units import fahrenheit
@@ -11,102 +11,112 @@ from trailmill.functions.units import fahrenheit
 GEAR_ROWS = 200  # part keys below 200
 STATIONS = 10  # customer key modulo 10
 
-
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+# Read with a schema, no footer has to be opened to plan a query.
+SCHEMAS = {
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+        "p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+        "props string"
+    ),
+}
 
 
-def _type(code: Column) -> Column:
-    return (
-        F.when(code == "RO", "Run")
-        .when(code == "RF", "Ride")
-        .when(code == "NO", "Walk")
-        .when(code == "NF", "Hike")
-        .when(code == "AF", "Swim")
-        .otherwise("Yoga")
-    )
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One activity per line item."""
-    c = F.col
-    upload = c("l_orderkey") * 10 + c("l_linenumber")
-    moving = (c("l_quantity") * 1800).cast("bigint")
-    second = (c("l_orderkey") * 7919 + c("l_linenumber") * 104729) % 86400
-    start = F.timestamp_add("SECOND", second.cast("int"), c("l_shipdate"))
-    speed = c("l_extendedprice") / (c("l_quantity") * 1800)
-    has_heart = c("l_linenumber") != 7
-    lat = ((c("l_orderkey") * 37) % 18001).cast("double") / 100 - 90
-    lon = ((c("l_orderkey") * 101) % 36001).cast("double") / 100 - 180
-    place = F.array(lat, lon)
-    return _read(spark, sf_dir, "lineitem").select(
-        (upload * 100000 + c("l_partkey")).alias("id"),
-        upload.alias("upload_id"),
-        F.struct(c("l_suppkey").alias("id")).alias("athlete"),
-        F.concat(F.lit("Activity "), upload.cast("string")).alias("name"),
-        _type(F.concat("l_returnflag", "l_linestatus")).alias("type"),
-        F.when(c("l_partkey") % 11 != 0, c("l_partkey") % 200).alias("gear_id"),
-        c("l_extendedprice").alias("distance"),
-        speed.alias("average_speed"),
-        (speed * (1 + c("l_discount") * 5)).alias("max_speed"),
-        (c("l_quantity") * c("l_linenumber")).alias("total_elevation_gain"),
-        (c("l_quantity") * 20).alias("elev_high"),
-        (c("l_quantity") * 10).alias("elev_low"),
-        moving.alias("moving_time"),
-        (moving + c("l_linenumber") * 60).alias("elapsed_time"),
-        start.alias("start_date"),
-        start.alias("start_date_local"),
-        place.alias("start_latlng"),
-        place.alias("end_latlng"),
-        F.when(has_heart, 100 + c("l_quantity")).alias("average_heartrate"),
-        F.when(has_heart, 100 + c("l_quantity") + c("l_tax") * 500).alias("max_heartrate"),
-        F.when(c("l_tax") != 0, c("l_quantity") * (1 + c("l_tax"))).alias("suffer_score"),
-        upload.cast("string").alias("upload_id_str"),
+    upload = "l_orderkey * 10 + l_linenumber"
+    moving = "cast(l_quantity * 1800 as bigint)"
+    second = "cast((l_orderkey * 7919 + l_linenumber * 104729) % 86400 as int)"
+    start = f"timestampadd(SECOND, {second}, l_shipdate)"
+    speed = "l_extendedprice / (l_quantity * 1800D)"
+    lat = "cast((l_orderkey * 37) % 18001 as double) / 100D - 90D"
+    lon = "cast((l_orderkey * 101) % 36001 as double) / 100D - 180D"
+    return _read(spark, sf_dir, "lineitem").selectExpr(
+        f"({upload}) * 100000 + l_partkey AS id",
+        f"{upload} AS upload_id",
+        "named_struct('id', l_suppkey) AS athlete",
+        f"concat('Activity ', {upload}) AS name",
+        "CASE concat(l_returnflag, l_linestatus) WHEN 'RO' THEN 'Run' WHEN 'RF' THEN 'Ride' "
+        "WHEN 'NO' THEN 'Walk' WHEN 'NF' THEN 'Hike' WHEN 'AF' THEN 'Swim' ELSE 'Yoga' END AS type",
+        "if(l_partkey % 11 = 0, NULL, l_partkey % 200) AS gear_id",
+        "l_extendedprice AS distance",
+        f"{speed} AS average_speed",
+        f"{speed} * (1D + l_discount * 5D) AS max_speed",
+        "l_quantity * l_linenumber AS total_elevation_gain",
+        "l_quantity * 20D AS elev_high",
+        "l_quantity * 10D AS elev_low",
+        f"{moving} AS moving_time",
+        f"{moving} + l_linenumber * 60 AS elapsed_time",
+        f"{start} AS start_date",
+        f"{start} AS start_date_local",
+        f"array({lat}, {lon}) AS start_latlng",
+        f"array({lat}, {lon}) AS end_latlng",
+        "if(l_linenumber = 7, NULL, 100D + l_quantity) AS average_heartrate",
+        "if(l_linenumber = 7, NULL, 100D + l_quantity + l_tax * 500D) AS max_heartrate",
+        "if(l_tax = 0D, NULL, l_quantity * (1D + l_tax)) AS suffer_score",
+        f"cast({upload} as string) AS upload_id_str",
     )
 
 
 def gear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
     return (
         _read(spark, sf_dir, "part")
-        .where(c("p_partkey") < GEAR_ROWS)
-        .select(
-            c("p_partkey").alias("id"),
-            F.concat(c("p_name"), F.lit(" #"), c("p_partkey").cast("string")).alias("name"),
-            c("p_brand").alias("brand_name"),
-            (c("p_size") > 25).alias("retired"),
-            (c("p_retailprice") * 1000).alias("distance"),
-            (c("p_retailprice") * 1000 / 1609.34).alias("converted_distance"),
+        .where(f"p_partkey < {GEAR_ROWS}")
+        .selectExpr(
+            "p_partkey AS id",
+            "concat(p_name, ' #', p_partkey) AS name",
+            "p_brand AS brand_name",
+            "p_size > 25 AS retired",
+            "p_retailprice * 1000D AS distance",
+            "p_retailprice * 1000D / 1609.34D AS converted_distance",
         )
     )
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One observation per station and hour: that of the lowest order key."""
-    c = F.col
-    celsius = F.floor("o_totalprice") % 45 - 5
-    hour = F.timestamp_add("HOUR", (c("o_orderkey") % 24).cast("int"), c("o_orderdate"))
-    station = c("o_custkey") % STATIONS
+    celsius = "cast(cast(floor(o_totalprice) as bigint) % 45 - 5 as double)"
     return (
         _read(spark, sf_dir, "orders")
-        .groupBy(station.alias("station_id"), hour.alias("obs_hour"))
+        .selectExpr(
+            f"o_custkey % {STATIONS} AS station_id",
+            "timestampadd(HOUR, cast(o_orderkey % 24 as int), o_orderdate) AS obs_hour",
+            "o_orderkey",
+            f"{celsius} AS celsius",
+        )
+        .groupBy("station_id", "obs_hour")
         .agg(
-            F.min_by(celsius.cast("double"), "o_orderkey").alias("celsius"),
-            F.min("o_orderkey").alias("first_order"),
+            F.expr("min_by(celsius, o_orderkey) AS celsius"),
+            F.expr("min(o_orderkey) AS first_order"),
         )
-        .select(
+        .selectExpr(
             "station_id",
-            (c("station_id") * 15 - 67).cast("double").alias("lat"),
-            (c("station_id") * 36 - 162).cast("double").alias("lon"),
+            "cast(station_id * 15 - 67 as double) AS lat",
+            "cast(station_id * 36 - 162 as double) AS lon",
             "obs_hour",
-            fahrenheit(c("celsius")).alias("temp"),
-            (c("first_order") % 101).cast("double").alias("rhum"),
+            f"{fahrenheit('celsius')} AS temp",
+            "cast(first_order % 101 as double) AS rhum",
         )
     )
 
 
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their JSON property text parsed to a struct."""
-    return _read(spark, sf_dir, "events").select(
-        "event_id", F.from_json("props", "k bigint").alias("props")
+    return _read(spark, sf_dir, "events").selectExpr(
+        "event_id", "from_json(props, 'k bigint') AS props"
     )

@@ -5,24 +5,17 @@ from __future__ import annotations
 from uuid import uuid4
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from trailmill.functions.temporal import (
-    MINUTE_LABEL,
-    clock12,
-    clock24,
-    month_start,
-    wall_clock,
-    whole_second,
-)
+from trailmill.functions import temporal as t
 from trailmill.functions.text import duration_seconds, duration_text
-from trailmill.operators.shape import conform, drop_suffixed, nan_to_null
+from trailmill.operators.shape import conform, derive, drop_suffixed, nan_to_null
 from trailmill.sources.schemas import TABLE
 
 DURATIONS = ("moving_time", "elapsed_time")
 TIMES = ("start_date", "start_date_local")
+DATES = ("monthly_date", "month_year")
 
 
 def storable(df: DataFrame, target: T.StructType = TABLE) -> DataFrame:
@@ -33,10 +26,7 @@ def storable(df: DataFrame, target: T.StructType = TABLE) -> DataFrame:
     """
     if "athlete.id_str" in df.columns and "athlete.id" not in df.columns:
         df = df.withColumnRenamed("athlete.id_str", "athlete.id")
-    df = nan_to_null(drop_suffixed(df))
-    types = {f.name: f.dataType for f in target.fields}
-    kept = conform(df, target.names)
-    return kept.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) for c in kept.columns])
+    return conform(nan_to_null(drop_suffixed(df)), target)
 
 
 def full_refresh(df: DataFrame, path: str) -> None:
@@ -83,28 +73,17 @@ def retype(df: DataFrame) -> DataFrame:
 
     Works on stored rows and on rows in record form alike.
     """
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-
-    def seconds(name: str) -> Column:
-        text = isinstance(kinds[name], T.StringType)
-        return duration_seconds(F.col(name)) if text else F.col(name).cast("bigint")
-
-    def time(name: str) -> Column:
-        if isinstance(kinds[name], T.StringType):
-            return wall_clock(F.col(name))
-        return whole_second(F.col(name))
-
-    typed = df.withColumns(
-        {n: seconds(n) for n in DURATIONS if n in kinds} | {n: time(n) for n in TIMES if n in kinds}
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    typed = derive(
+        df,
+        {n: duration_seconds(n) if n in text else f"cast({n} as bigint)" for n in DURATIONS}
+        | {n: t.wall_clock(n) if n in text else t.whole_second(n) for n in TIMES},
     )
-    start = F.col("start_date_local")
-    return typed.withColumns(
-        {
-            "start_time_local_24h": clock24(start),
-            "start_time_local_12h": clock12(start),
-            "monthly_date": month_start(start),
-            "month_year": month_start(start),
-        }
+    start = "start_date_local"
+    return derive(
+        typed,
+        {"start_time_local_24h": t.clock24(start), "start_time_local_12h": t.clock12(start)}
+        | {n: t.month_start(start) for n in DATES},
     )
 
 
@@ -116,18 +95,13 @@ def usable(new: DataFrame, last_good: DataFrame) -> DataFrame:
 def load(spark: SparkSession, path: str) -> DataFrame:
     """The table for analysis, cached across reports; ``unpersist`` to refresh."""
     table = read_table(spark, path)
-    stamp = F.date_format(F.to_timestamp_ntz("refresh_date", F.lit(MINUTE_LABEL)), MINUTE_LABEL)
-    return table.withColumn("refresh_date", stamp).persist(StorageLevel.MEMORY_AND_DISK)
+    label = t.minute_label(t.minute_label_parsed("refresh_date"))
+    return derive(table, {"refresh_date": label}).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def to_records(df: DataFrame) -> DataFrame:
     """Record form for row-oriented sinks: durations, times and dates as text,
     NaN as NULL."""
     present = set(df.columns)
-    durations = {c: duration_text(F.col(c)) for c in DURATIONS if c in present}
-    iso = {
-        c: F.date_format(F.col(c).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")
-        for c in (*TIMES, "monthly_date", "month_year")
-        if c in present
-    }
-    return nan_to_null(df.withColumns(durations | iso))
+    text = {c: duration_text(c) for c in DURATIONS} | {c: t.iso_text(c) for c in TIMES + DATES}
+    return nan_to_null(derive(df, {c: x for c, x in text.items() if c in present}))
