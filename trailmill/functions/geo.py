@@ -5,16 +5,6 @@ from __future__ import annotations
 EARTH_KM = 6371.0
 
 
-def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    half_lat = f"sin(radians({lat2} - {lat1}) / 2D)"
-    half_lon = f"sin(radians({lon2} - {lon1}) / 2D)"
-    squared = (
-        f"{half_lat} * {half_lat} + "
-        f"cos(radians({lat1})) * cos(radians({lat2})) * {half_lon} * {half_lon}"
-    )
-    return f"(asin(sqrt(least({squared}, 1D))) * {2 * EARTH_KM}D)"
-
-
 def unit_vector(lat: str, lon: str) -> tuple[str, str, str]:
     """Point on the unit sphere; straight-line distance there orders points
     exactly as great-circle distance does, without poles or a date line."""
@@ -25,3 +15,8 @@ def unit_vector(lat: str, lon: str) -> tuple[str, str, str]:
 def chord(a: tuple[str, str, str], b: tuple[str, str, str]) -> str:
     squares = [f"({p} - {q}) * ({p} - {q})" for p, q in zip(a, b)]
     return f"sqrt({' + '.join(squares)})"
+
+
+def arc_km(chord_length: str) -> str:
+    """Great-circle distance behind a straight line on the unit sphere."""
+    return f"(asin(least({chord_length} / 2D, 1D)) * {2 * EARTH_KM}D)"

@@ -31,8 +31,7 @@ def second_of_day(ts: str) -> str:
 
 def whole_second(ts: str) -> str:
     """Drop sub-seconds of a naive timestamp."""
-    midnight = f"cast(to_date({ts}) as timestamp_ntz)"
-    return f"timestampadd(SECOND, {second_of_day(ts)}, {midnight})"
+    return f"cast(date_trunc('SECOND', {ts}) as timestamp_ntz)"
 
 
 def wrap_day(seconds: str) -> str:

@@ -71,7 +71,7 @@ def box_summary(
         "least(q1, _low) AS lower_whisker",
         "greatest(q3, _high) AS upper_whisker",
         "n_outliers",
-    ).orderBy(name)
+    )
 
 
 def box_points(

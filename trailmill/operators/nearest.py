@@ -16,7 +16,7 @@ from math import sqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.functions.geo import chord, haversine_km, unit_vector
+from trailmill.functions.geo import arc_km, chord, unit_vector
 from trailmill.functions.numeric import half_even
 from trailmill.functions.temporal import hour_number
 from trailmill.operators.joins import spread_left_lookup
@@ -24,10 +24,11 @@ from trailmill.operators.shape import quoted
 
 DIRECT_STATIONS = 64  # Up to here a whole hour's stations fit one row's array.
 CELL = 1 / 64  # Cube edge on the unit sphere, about 100 km.
-REACHES = (1 / 16, 1 / 4, 1.0)  # Search edges, about 400, 1,600 and 6,400 km.
+REACHES = (1 / 16, 1 / 4)  # Search edges, about 400 and 1,600 km.
 SLACK = 1e-8  # Covers the 1 mm grain distances are compared with.
 
-_OBSERVATION = ("lat", "lon", "station_id", "temp", "rhum")
+_POINT = ("_x", "_y", "_z")
+_OBSERVATION = (*_POINT, "station_id", "temp", "rhum")
 _CELL_KEYS = ["_hour", "_cx", "_cy", "_cz"]
 
 
@@ -51,17 +52,21 @@ def attach_nearest(
     broadcasts the candidates when they measure small and splits a skewed hour
     otherwise; ``split_hot`` plans the split for hot hours up front.
     """
-    hourly = observations.selectExpr(f"{hour_number('obs_hour')} AS _hour", *_OBSERVATION)
-    extra = [f"{hour_number(time)} AS _hour"]
-    direct = stations_at_most is not None and stations_at_most <= DIRECT_STATIONS
-    if direct:
+    hourly = observations.where("lat IS NOT NULL AND lon IS NOT NULL").selectExpr(
+        f"{hour_number('obs_hour')} AS _hour",
+        *_aliased(unit_vector("lat", "lon"), _POINT),
+        "station_id", "temp", "rhum",
+    )
+    keyed = activities.selectExpr(
+        "*", f"{hour_number(time)} AS _hour", *_aliased(unit_vector(lat, lon), _POINT)
+    )
+    if stations_at_most is not None and stations_at_most <= DIRECT_STATIONS:
         keys = ["_hour"]
         packed = f"collect_list(struct({', '.join(_OBSERVATION)})) AS _near"
         candidates = hourly.groupBy("_hour").agg(F.expr(packed))
-        keyed = activities.selectExpr("*", *extra)
     else:
         keys = _CELL_KEYS
-        keyed = activities.selectExpr("*", *extra, *_cells(unit_vector(lat, lon), CELL, "_c"))
+        keyed = keyed.selectExpr("*", *_cells(_POINT, CELL, "_c"))
         candidates = cell_candidates(keyed.select(*keys), hourly)
 
     if split_hot:
@@ -69,20 +74,25 @@ def attach_nearest(
     else:
         joined = keyed.join(candidates, keys, "left")
     kept = [quoted(c) for c in activities.columns]
-    return joined.selectExpr(*kept, f"{_pick(lat, lon, max_km)} AS _best").selectExpr(
+    return joined.selectExpr(*kept, f"{_pick(max_km)} AS _best").selectExpr(
         *kept, "_best.temp AS temp", "_best.rhum AS rhum"
     )
 
 
-def _pick(lat: str, lon: str, max_km: float | None) -> str:
-    km = half_even(haversine_km(lat, lon, "o.lat", "o.lon"), 6)
+def _aliased(values: tuple[str, ...], names: tuple[str, ...]) -> list[str]:
+    return [f"{value} AS {name}" for value, name in zip(values, names)]
+
+
+def _pick(max_km: float | None) -> str:
+    """The candidate with the smallest (distance, station id)."""
+    km = half_even(arc_km(chord(_POINT, ("o._x", "o._y", "o._z"))), 6)
     ranked = (
         f"transform(_near, o -> named_struct('km', {km}, 'station_id', o.station_id, "
         "'temp', o.temp, 'rhum', o.rhum))"
     )
     if max_km is not None:
         ranked = f"filter({ranked}, o -> o.km <= {float(max_km)}D)"
-    return f"if({lat} IS NOT NULL AND {lon} IS NOT NULL, array_min({ranked}), NULL)"
+    return f"if(_z IS NOT NULL AND _x IS NOT NULL, array_min({ranked}), NULL)"
 
 
 def _cells(point: tuple[str, str, str], edge: float, name: str) -> list[str]:
@@ -102,27 +112,24 @@ def cell_candidates(cells: DataFrame, hourly: DataFrame) -> DataFrame:
     is exact however sparse the stations are.
     """
     spread = CELL * sqrt(3) + SLACK  # 2 * radius
-    point = ("_x", "_y", "_z")
-    vector = [f"{v} AS {n}" for v, n in zip(unit_vector("lat", "lon"), point)]
-    seen = hourly.where("lat IS NOT NULL AND lon IS NOT NULL").selectExpr("*", *vector)
-    centre = tuple(f"(_c{a} + 0.5D) * {CELL!r}D" for a in "xyz")
-    distance = chord(tuple(f"({c})" for c in centre), point)
+    centre = tuple(f"((_c{a} + 0.5D) * {CELL!r}D)" for a in "xyz")
+    distance = chord(centre, _POINT)
     packed = ", ".join(f"'{c}', {c}" for c in _OBSERVATION)
     unpacked = ", ".join(f"'{c}', o.{c}" for c in _OBSERVATION)
 
     open_cells = (
         cells.dropna()
         .distinct()
-        .join(seen.select("_hour").distinct(), ["_hour"], "left_semi")
+        .join(hourly.select("_hour").distinct(), ["_hour"], "left_semi")
     )
     settled: list[DataFrame] = []
     for edge in (*REACHES, None):
         if edge is None:
-            pairs = open_cells.join(seen, ["_hour"])
+            pairs = open_cells.join(hourly, ["_hour"])
         else:
             probes = open_cells.selectExpr("*", *_cells(centre, edge, "_b"))
             pairs = probes.join(
-                _neighbourhood(seen, edge), ["_hour", "_bx", "_by", "_bz"], "left"
+                _neighbourhood(hourly, edge), ["_hour", "_bx", "_by", "_bz"], "left"
             )
         found = (
             pairs.selectExpr(
@@ -143,14 +150,14 @@ def cell_candidates(cells: DataFrame, hourly: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, settled)
 
 
-def _neighbourhood(seen: DataFrame, edge: float) -> DataFrame:
+def _neighbourhood(hourly: DataFrame, edge: float) -> DataFrame:
     """Each observation once per cube of the 27 around its own."""
     cubes = product((-1, 0, 1), repeat=3)
     steps = ", ".join(f"struct({i} AS i, {j} AS j, {k} AS k)" for i, j, k in cubes)
     return (
-        seen.selectExpr("*", *_cells(("_x", "_y", "_z"), edge, "_o"))
+        hourly.selectExpr("*", *_cells(_POINT, edge, "_o"))
         .selectExpr("*", f"explode(array({steps})) AS _s")
         .selectExpr(
-            *seen.columns, "_ox + _s.i AS _bx", "_oy + _s.j AS _by", "_oz + _s.k AS _bz"
+            *hourly.columns, "_ox + _s.i AS _bx", "_oy + _s.j AS _by", "_oz + _s.k AS _bz"
         )
     )

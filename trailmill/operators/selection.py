@@ -19,12 +19,21 @@ ROLLING = "Rolling 12 Months"
 DEFAULT_TYPES = ("Run", "Hike", "Walk", "Ride")
 
 
-def latest_minute(df: DataFrame, time: str = "start_date_local", strict: bool = False) -> DataFrame:
+def latest_minute(
+    df: DataFrame,
+    time: str = "start_date_local",
+    strict: bool = False,
+    year_partitioned: bool = False,
+) -> DataFrame:
     """One row, ``anchor``: the activity time the rolling year counts back from.
 
     The label shown to users has a 12-hour clock, and its largest text is the
-    anchor; ``strict`` takes the true latest time instead.
+    anchor; ``strict`` takes the true latest time instead. Labels start with
+    the date, so in a table partitioned by year only the last year is read.
     """
+    if year_partitioned:
+        last = df.agg(F.expr("max(year) AS last")).scalar()
+        df = df.where(F.col("year") == last)
     if strict:
         return df.agg(F.expr(f"max({time}) AS anchor"))
     ranked = df.agg(F.expr(f"max({minute_label_rank(time)}) AS r"))
@@ -42,13 +51,15 @@ class Selection:
 
     ``brands=None`` means every brand in use, which leaves out activities
     without a brand, exactly as naming all brands would. An empty ``types`` or
-    ``brands`` selects nothing.
+    ``brands`` selects nothing. ``year_partitioned`` says that ``year`` is a
+    partition column of a stored table; year choices then prune directories.
     """
 
     years: str | int = ROLLING
     types: Sequence[str] = DEFAULT_TYPES
     brands: Sequence[str] | None = None
     strict_anchor: bool = False
+    year_partitioned: bool = False
     time: str = "start_date_local"
 
     def predicates(self, df: DataFrame) -> list[Column]:
@@ -63,20 +74,22 @@ class Selection:
         if self.years == ALL_YEARS:
             return []
         if self.years == ROLLING:
-            # A scalar subquery: evaluated once, then an ordinary comparison
-            # that can be pushed into a Parquet scan of a stored table.
-            start = latest_minute(df, self.time, self.strict_anchor).selectExpr(
-                "anchor - INTERVAL 12 MONTH AS start"
-            )
-            return [F.col(self.time) >= start.scalar()]
+            # Scalar subqueries: evaluated once, then ordinary comparisons that
+            # are pushed into a Parquet scan of a stored table.
+            anchor = latest_minute(df, self.time, self.strict_anchor, self.year_partitioned)
+            start = anchor.selectExpr("anchor - INTERVAL 12 MONTH AS start")
+            conditions = [F.col(self.time) >= start.scalar()]
+            if self.year_partitioned:
+                first = start.selectExpr("year(start) AS first_year")
+                conditions.append(F.col("year") >= first.scalar())
+            return conditions
         # A range on the stored time can be pushed down; year(time) cannot.
-        # On a table partitioned by year the last part prunes directories.
         year = int(self.years)
         in_range = (
             f"{self.time} >= TIMESTAMP_NTZ'{year:04d}-01-01' "
             f"AND {self.time} < TIMESTAMP_NTZ'{year + 1:04d}-01-01'"
         )
-        return [F.expr(in_range + (f" AND year = {year}" if "year" in df.columns else ""))]
+        return [F.expr(in_range + (f" AND year = {year}" if self.year_partitioned else ""))]
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.where(reduce(lambda a, b: a & b, self.predicates(df)))

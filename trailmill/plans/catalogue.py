@@ -241,9 +241,9 @@ def stage_queries() -> dict[str, Query]:
             ).select("id", "temp", "rhum")
         ),
         "weather_join_grid": _stage(
-            lambda s: attach_nearest(
-                e.split_position(s.raw()), s.observations(), split_hot=True
-            ).select("id", "temp", "rhum")
+            lambda s: attach_nearest(e.split_position(s.raw()), s.observations()).select(
+                "id", "temp", "rhum"
+            )
         ),
         "pages_appended": _stage(
             lambda s: shape.append(
