@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from trailmill.functions.numeric import half_even
 
-_DURATION = r"^(?:(\\d+) days? ?)?(\\d+):(\\d+):(\\d+)"
-
-
 def hours2(seconds: str) -> str:
     """Seconds as hours with two decimals."""
     return half_even(f"{seconds} / 3600D")
@@ -19,19 +16,19 @@ def hours_minutes(seconds: str) -> str:
 
 def duration_text(seconds: str) -> str:
     """``0 days 01:02:03``, the form durations take in stored records."""
-    rest = f"{seconds} % 86400"
-    return (
-        f"format_string('%d days %02d:%02d:%02d', {seconds} div 86400, "
-        f"({rest}) div 3600, ({rest} % 3600) div 60, {seconds} % 60)"
-    )
+    clock = [f"({seconds} % 86400) div 3600", f"({seconds} % 3600) div 60", f"{seconds} % 60"]
+    hour, minute, second = (f"lpad(cast({part} as string), 2, '0')" for part in clock)
+    return f"concat({seconds} div 86400, ' days ', {hour}, ':', {minute}, ':', {second})"
 
 
 def duration_seconds(text: str) -> str:
     """Seconds behind ``[N days ]HH:MM:SS``; NULL when the text is neither."""
-    day, hour, minute, second = (
-        f"try_cast(regexp_extract({text}, '{_DURATION}', {i}) as bigint)" for i in range(1, 5)
-    )
-    return f"(coalesce({day}, 0L) * 86400 + {hour} * 3600 + {minute} * 60 + {second})"
+    days = f"if(contains({text}, ' day'), substring_index({text}, ' day', 1), '0')"
+    clock = f"substring_index({text}, ' ', -1)"
+    hour, minute = (f"split_part({clock}, ':', {i})" for i in (1, 2))
+    second = f"substring_index(split_part({clock}, ':', 3), '.', 1)"
+    days, hour, minute, second = (f"try_cast({x} as bigint)" for x in (days, hour, minute, second))
+    return f"({days} * 86400 + {hour} * 3600 + {minute} * 60 + {second})"
 
 
 def grouped_hundredths(units: str) -> str:
