@@ -77,10 +77,11 @@ def calendar(df: DataFrame, month_mode: str = "calendar") -> DataFrame:
     )
 
 
-def stamp(df: DataFrame, refreshed: Column | None = None) -> DataFrame:
-    """Add ``refresh_date``; ``refreshed`` is naive UTC, now by default."""
-    if refreshed is None:
-        return derive(df, {"refresh_date": t.refresh_stamp(t.UTC_NOW)})
+def stamp(df: DataFrame, refreshed: Column | str = t.UTC_NOW) -> DataFrame:
+    """Add ``refresh_date``, from the naive UTC time of the snapshot: an
+    expression as text, or a column such as a scalar subquery."""
+    if isinstance(refreshed, str):
+        return derive(df, {"refresh_date": t.refresh_stamp(refreshed)})
     timed = df.withColumn("_refreshed", refreshed)
     return derive(timed, {"refresh_date": t.refresh_stamp("_refreshed")}).drop("_refreshed")
 
@@ -90,7 +91,7 @@ def enrich(
     gear: DataFrame,
     observations: DataFrame | None = None,
     *,
-    refreshed: Column | None = None,
+    refreshed: Column | str = t.UTC_NOW,
     gear_rows_at_most: int | None = None,
     stations_at_most: int | None = None,
     wrap_24h: bool = True,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from trailmill.functions.temporal import UTC_NOW
 from trailmill.operators.joins import used_dimension
 from trailmill.plans.enrich import enrich
 from trailmill.sources import landing, table
@@ -16,7 +17,7 @@ def refresh(
     table_path: str,
     observations: str | None = None,
     *,
-    refreshed: Column | None = None,
+    refreshed: Column | str = UTC_NOW,
     stations_at_most: int | None = None,
 ) -> DataFrame:
     """Rebuild the table from landed activity pages, gear records and weather
