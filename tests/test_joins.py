@@ -14,8 +14,8 @@ def test_only_colliding_columns_take_a_suffix(spark):
     acts = spark.sql("SELECT * FROM VALUES (1, 'a', 10, 'g1'), (2, 'b', 20, NULL) t(id, name, d, gear_id)")
     gear = spark.sql("SELECT * FROM VALUES ('g1', 'shoe', 'x') t(id, name, brand_name)")
     out = joins.left_enrich(acts, gear, "gear_id", "id", ("_activity", "_gear"))
-    assert out.columns == ["id_activity", "name_activity", "d", "gear_id", "name_gear", "brand_name"]
-    assert rows(out) == [(1, "a", 10, "g1", "shoe", "x"), (2, "b", 20, None, None, None)]
+    assert out.columns == ["gear_id", "id_activity", "name_activity", "d", "name_gear", "brand_name"]
+    assert rows(out) == [("g1", 1, "a", 10, "shoe", "x"), (None, 2, "b", 20, None, None)]
 
 
 def test_spread_lookup_equals_plain_join(spark):

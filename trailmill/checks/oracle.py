@@ -384,6 +384,7 @@ def stage_sql() -> dict[str, str]:
         "weather_observations": f"WITH {OBS} SELECT * FROM obs",
         "weather_join": near,
         "weather_join_grid": near,
+        "weather_join_shuffled": near,
         "pages_appended": f"""{raw} id, type, CASE WHEN gear_id IS NULL THEN distance END AS distance,
           gear_id FROM raw""",
         "nan_cleaned": f"{raw} id, CASE WHEN distance >= 20000 THEN distance END AS distance FROM raw",

@@ -91,17 +91,14 @@ def left_enrich(
 ) -> DataFrame:
     """Left outer join where only colliding column names take a suffix.
 
-    The right key does not survive the join; the left key does.
+    The right key does not survive the join; the left key does, as first column.
     """
-    shared = set(left.columns) & set(right.columns)
+    shared = set(left.schema.names) & set(right.schema.names)
     left = left.withColumnsRenamed({c: c + suffixes[0] for c in shared})
     lookup = left_key + suffixes[0] if left_key in shared else left_key
-    right = right.withColumnsRenamed(
-        {c: c + suffixes[1] for c in shared if c != right_key}
-    ).withColumnRenamed(right_key, lookup)
-    order = left.columns + [c for c in right.columns if c != lookup]
-    joined = left_lookup(left, right, [lookup], rows_at_most=rows_at_most, limit=limit)
-    return joined.selectExpr(*[quoted(c) for c in order])
+    renamed = {c: c + suffixes[1] for c in shared if c != right_key} | {right_key: lookup}
+    right = right.withColumnsRenamed(renamed)
+    return left_lookup(left, right, [lookup], rows_at_most=rows_at_most, limit=limit)
 
 
 def used_ids(df: DataFrame, column: str) -> DataFrame:

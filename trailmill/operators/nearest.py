@@ -9,9 +9,9 @@ not be unique.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import product
-from math import sqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +20,10 @@ from trailmill.functions.geo import arc_km, chord, unit_vector
 from trailmill.functions.numeric import half_even
 from trailmill.functions.temporal import hour_number
 from trailmill.operators.joins import spread_left_lookup
-from trailmill.operators.shape import quoted
+from trailmill.operators.shape import without
 
 DIRECT_STATIONS = 64  # Up to here a whole hour's stations fit one row's array.
+BROADCAST_OBSERVATIONS = 1_000_000  # About 50 bytes each.
 CELL = 1 / 64  # Cube edge on the unit sphere, about 100 km.
 REACHES = (1 / 16, 1 / 4)  # Search edges, about 400 and 1,600 km.
 SLACK = 1e-8  # Covers the 1 mm grain distances are compared with.
@@ -40,6 +41,7 @@ def attach_nearest(
     lat: str = "start_latitude",
     lon: str = "start_longitude",
     stations_at_most: int | None = None,
+    hours_at_most: int | None = None,
     max_km: float | None = None,
     split_hot: bool = False,
 ) -> DataFrame:
@@ -48,9 +50,11 @@ def attach_nearest(
 
     Distances are compared to 1 mm, then by station id. ``stations_at_most``
     is a bound the caller can prove on the number of stations; without a small
-    one, candidates are first narrowed per grid cell. Adaptive execution
-    broadcasts the candidates when they measure small and splits a skewed hour
-    otherwise; ``split_hot`` plans the split for hot hours up front.
+    one, candidates are first narrowed per grid cell. With ``hours_at_most``,
+    a checked bound on the hours observed, a small feed is broadcast and the
+    activities never move. Otherwise they are shuffled by hour (and cell):
+    adaptive execution then splits a skewed hour, and ``split_hot`` plans that
+    split up front.
     """
     hourly = observations.where("lat IS NOT NULL AND lon IS NOT NULL").selectExpr(
         f"{hour_number('obs_hour')} AS _hour",
@@ -69,13 +73,15 @@ def attach_nearest(
         keyed = keyed.selectExpr("*", *_cells(_POINT, CELL, "_c"))
         candidates = cell_candidates(keyed.select(*keys), hourly)
 
-    if split_hot:
+    if stations_at_most and (hours_at_most or math.inf) * stations_at_most <= BROADCAST_OBSERVATIONS:
+        joined = keyed.join(F.broadcast(candidates), keys, "left")
+    elif split_hot:
         joined = spread_left_lookup(keyed, candidates, keys)
     else:
         joined = keyed.join(candidates, keys, "left")
-    kept = [quoted(c) for c in activities.columns]
-    return joined.selectExpr(*kept, f"{_pick(max_km)} AS _best").selectExpr(
-        *kept, "_best.temp AS temp", "_best.rhum AS rhum"
+    scratch = [*keys, *_POINT, "_near"]
+    return joined.selectExpr(without(*scratch), f"{_pick(max_km)} AS _best").selectExpr(
+        without("_best"), "_best.temp AS temp", "_best.rhum AS rhum"
     )
 
 
@@ -111,7 +117,7 @@ def cell_candidates(cells: DataFrame, hourly: DataFrame) -> DataFrame:
     Unsettled cells try wider cubes and at last the whole hour, so the result
     is exact however sparse the stations are.
     """
-    spread = CELL * sqrt(3) + SLACK  # 2 * radius
+    spread = CELL * math.sqrt(3) + SLACK  # 2 * radius
     centre = tuple(f"((_c{a} + 0.5D) * {CELL!r}D)" for a in "xyz")
     distance = chord(centre, _POINT)
     packed = ", ".join(f"'{c}', {c}" for c in _OBSERVATION)

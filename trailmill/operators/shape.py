@@ -15,14 +15,18 @@ def quoted(*path: str) -> str:
     return ".".join(f"`{part}`" for part in path)
 
 
+def without(*columns: str) -> str:
+    """All columns but these, as one projection item."""
+    return f"* EXCEPT ({', '.join(map(quoted, columns))})" if columns else "*"
+
+
 def derive(df: DataFrame, new: Mapping[str, str]) -> DataFrame:
-    """Columns of ``df`` with those in ``new`` replaced or appended.
+    """``df`` with the columns in ``new`` replaced or added, at the end.
 
     One projection: every expression sees the columns as they were.
     """
-    kept = [f"{new[c]} AS {quoted(c)}" if c in new else quoted(c) for c in df.columns]
-    added = [f"{x} AS {quoted(c)}" for c, x in new.items() if c not in df.columns]
-    return df.selectExpr(*kept, *added)
+    replaced = [c for c in df.schema.names if c in new]
+    return df.selectExpr(without(*replaced), *[f"{x} AS {quoted(c)}" for c, x in new.items()])
 
 
 def _leaves(schema: T.StructType, prefix: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
@@ -42,22 +46,25 @@ def flatten_structs(df: DataFrame, separator: str = ".") -> DataFrame:
 
 
 def drop_suffixed(df: DataFrame, suffix: str = "_str") -> DataFrame:
-    return df.selectExpr(*[quoted(c) for c in df.columns if not c.endswith(suffix)])
+    return df.selectExpr(without(*[c for c in df.schema.names if c.endswith(suffix)]))
 
 
 def title_headers(df: DataFrame) -> DataFrame:
     """``Total_Time`` becomes ``Total Time``."""
-    return df.toDF(*[c.replace("_", " ").title() for c in df.columns])
+    return df.toDF(*[c.replace("_", " ").title() for c in df.schema.names])
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN to NULL in every floating-point column; other columns untouched."""
-    floating = {
-        f.name: f.dataType.simpleString()
-        for f in df.schema.fields
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-    }
-    return derive(df, {c: f"cast({not_nan(quoted(c))} as {kind})" for c, kind in floating.items()})
+
+    def clean(field: T.StructField) -> str:
+        name = quoted(field.name)
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            kind = field.dataType.simpleString()
+            return f"cast({not_nan(name)} as {kind}) AS {name}"
+        return name
+
+    return df.selectExpr(*map(clean, df.schema.fields))
 
 
 def append(pages: Iterable[DataFrame]) -> DataFrame:
@@ -67,7 +74,7 @@ def append(pages: Iterable[DataFrame]) -> DataFrame:
 
 def conform(df: DataFrame, target: T.StructType) -> DataFrame:
     """Only the columns the target table has, in its order and types."""
-    present = set(df.columns)
+    present = set(df.schema.names)
     return df.selectExpr(
         *[
             f"cast({quoted(f.name)} as {f.dataType.simpleString()}) AS {quoted(f.name)}"

@@ -42,15 +42,15 @@ class Samples:
     def observations(self) -> DataFrame:
         return samples.observations(self.spark, self.sf_dir)
 
+    def network(self) -> dict[str, int]:
+        """Proven and measured bounds on the observations."""
+        hours = samples.observed_hours(self.spark, self.sf_dir)
+        return {"stations_at_most": samples.STATIONS, "hours_at_most": hours}
+
     def enriched(self, weather: bool = False, **options: object) -> DataFrame:
-        return e.enrich(
-            self.raw(),
-            self.gear(),
-            self.observations() if weather else None,
-            gear_rows_at_most=samples.GEAR_ROWS,
-            stations_at_most=samples.STATIONS,
-            **options,
-        )
+        if weather:
+            options |= self.network() | {"observations": self.observations()}
+        return e.enrich(self.raw(), self.gear(), gear_rows_at_most=samples.GEAR_ROWS, **options)
 
     def refreshed(self) -> Column:
         """A snapshot time the data fixes: a day after the last activity."""
@@ -237,7 +237,15 @@ def stage_queries() -> dict[str, Query]:
         "weather_observations": _stage(lambda s: s.observations()),
         "weather_join": _stage(
             lambda s: attach_nearest(
-                e.split_position(s.raw()), s.observations(), stations_at_most=samples.STATIONS
+                e.split_position(s.raw()), s.observations(), **s.network()
+            ).select("id", "temp", "rhum")
+        ),
+        "weather_join_shuffled": _stage(
+            lambda s: attach_nearest(
+                e.split_position(s.raw()),
+                s.observations(),
+                stations_at_most=samples.STATIONS,
+                split_hot=True,
             ).select("id", "temp", "rhum")
         ),
         "weather_join_grid": _stage(

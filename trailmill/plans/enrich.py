@@ -94,6 +94,7 @@ def enrich(
     refreshed: Column | str = t.UTC_NOW,
     gear_rows_at_most: int | None = None,
     stations_at_most: int | None = None,
+    hours_at_most: int | None = None,
     wrap_24h: bool = True,
     month_mode: str = "calendar",
 ) -> DataFrame:
@@ -106,7 +107,9 @@ def enrich(
     """
     placed = split_position(naive_times(convert_activities(flatten_structs(raw))))
     if observations is not None:
-        placed = attach_nearest(placed, observations, stations_at_most=stations_at_most)
+        placed = attach_nearest(
+            placed, observations, stations_at_most=stations_at_most, hours_at_most=hours_at_most
+        )
     geared = left_enrich(
         placed,
         convert_gear(gear),

@@ -115,6 +115,13 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def observed_hours(spark: SparkSession, sf_dir: str) -> int:
+    """How many hours the observations can span, from the order dates."""
+    days = "datediff(max(o_orderdate), min(o_orderdate)) + 1 AS days"
+    span = _read(spark, sf_dir, "orders").agg(F.expr(days)).first()["days"]
+    return (span or 0) * 24
+
+
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their JSON property text parsed to a struct."""
     return _read(spark, sf_dir, "events").selectExpr(
