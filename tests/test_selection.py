@@ -135,3 +135,8 @@ def test_kpis_of_nothing(spark):
         "WHERE false"
     )
     assert tuple(reports.overview_kpis(df).first()) == (0, "0.0 mi", "0 ft", "0 hrs 0 min")
+
+
+def test_approximate_activity_count_is_close(spark):
+    df = spark.range(20_000).selectExpr("id % 5000 AS upload_id")
+    assert reports.overview_kpis_approx(df).first().Activities == pytest.approx(5000, rel=0.05)

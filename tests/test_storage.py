@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from trailmill.operators.shape import quoted
 from trailmill.plans.enrich import enrich
+from trailmill.plans import refresh as refresh_plan
 from trailmill.plans.refresh import refresh
+from trailmill.session import shared_path
 from trailmill.sources import landing, table
 from trailmill.sources.schemas import TABLE
 
@@ -146,3 +149,22 @@ def test_gear_activity_over_24_hours_unwrapped(spark, landed):
     out = enrich(acts, landing.read_gear(spark, landed[1]), wrap_24h=False, month_mode="seasonal")
     row = out.where("id_activity = 3").first()
     assert row.elapsed_time == 90061 and row.monthly_date == dt.date(2025, 12, 1)
+
+
+def test_shared_path_prefers_the_clusters_folder():
+    def session(folder, master):
+        conf = SimpleNamespace(get=lambda key, default=None: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert shared_path(session("hdfs://x/shared/", "yarn"), "t").startswith("hdfs://x/shared/t-")
+    assert "trailmill-" in shared_path(session(None, "local[2]"), "t")
+    with pytest.raises(RuntimeError):
+        shared_path(session(None, "yarn"), "t")
+
+
+def test_large_gear_takes_the_spread_path(spark, landed, tmp_path, monkeypatch):
+    monkeypatch.setattr(refresh_plan, "fits_broadcast", lambda df: False)
+    out = refresh(spark, landed[0], landed[1], str(tmp_path / "t"), refreshed=REFRESHED)
+    assert sorted((r.id_activity, r.name_gear) for r in out.collect()) == [
+        (1, "shoe"), (2, None), (3, "shoe"),
+    ]

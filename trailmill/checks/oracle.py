@@ -372,6 +372,8 @@ def stage_sql() -> dict[str, str]:
           {r2("elapsed_time / 3600.0::DOUBLE")} AS hours FROM acts""",
         "records_round_trip": f"""{acts()} SELECT athlete_id, {CALENDAR}, distance_activity,
           name_gear, {STAMP} AS refresh_date FROM acts""",
+        "table_refresh_reload": f"""{acts(True)} SELECT athlete_id, {CALENDAR}, distance_activity,
+          temp, rhum, {STAMP} AS refresh_date FROM acts""",
         "gear_converted": f"""WITH {GEAR} SELECT id, name, brand_name, retired,
           round_even(distance * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE AS distance FROM gear""",
         "gear_ids": f"{raw} DISTINCT gear_id FROM raw WHERE gear_id IS NOT NULL",

@@ -134,9 +134,10 @@ def cell_candidates(cells: DataFrame, hourly: DataFrame) -> DataFrame:
             pairs = open_cells.join(hourly, ["_hour"])
         else:
             probes = open_cells.selectExpr("*", *_cells(centre, edge, "_b"))
-            pairs = probes.join(
-                _neighbourhood(hourly, edge), ["_hour", "_bx", "_by", "_bz"], "left"
-            )
+            # Merge: size estimates do not see the 27 copies, so left alone
+            # Spark may broadcast far more than its threshold.
+            around = _neighbourhood(hourly, edge).hint("merge")
+            pairs = probes.join(around, ["_hour", "_bx", "_by", "_bz"], "left")
         found = (
             pairs.selectExpr(
                 *_CELL_KEYS,

@@ -21,6 +21,7 @@ from trailmill.operators.selection import (
 )
 from trailmill.plans import enrich as e
 from trailmill.plans import reports
+from trailmill.session import shared_path
 from trailmill.sources import landing, samples, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,6 +174,15 @@ def _duration_texts(df: DataFrame) -> DataFrame:
     ).selectExpr("*", f"{text.duration_seconds('duration')} AS seconds")
 
 
+def _refresh_reload(s: Samples) -> DataFrame:
+    """The whole table written by a full refresh and read back."""
+    path = shared_path(s.spark, "activities")
+    table.full_refresh(s.enriched(weather=True, refreshed=s.refreshed()), path)
+    return table.read_table(s.spark, path).selectExpr(
+        "`athlete.id` AS athlete_id", *CALENDAR, "distance_activity", "temp", "rhum", "refresh_date"
+    )
+
+
 def stage_queries() -> dict[str, Query]:
     """Pipeline stages and single operators."""
     run_2000 = Selection(2000, ("Run",), ("Brand#1", "Brand#2", "Brand#3"))
@@ -215,6 +225,7 @@ def stage_queries() -> dict[str, Query]:
         ),
         "durations_text": _whole(_duration_texts, wrap_24h=False),
         "records_round_trip": _stage(_record_round_trip),
+        "table_refresh_reload": _stage(_refresh_reload),
         "gear_converted": _stage(
             lambda s: shape.derive(
                 e.convert_gear(s.gear()), {"distance": numeric.half_even("distance", 6)}

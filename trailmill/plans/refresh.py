@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from trailmill.functions.temporal import UTC_NOW
-from trailmill.operators.joins import used_dimension
+from trailmill.operators.joins import BROADCAST_ROWS, fits_broadcast, used_dimension
 from trailmill.plans.enrich import enrich
 from trailmill.sources import landing, table
 
@@ -29,10 +31,19 @@ def refresh(
     fresh = landing.accepted(landing.read_activity_pages(spark, pages))
     if fresh.isEmpty():
         return table.read_table(spark, table_path)
-    needed = used_dimension(landing.read_gear(spark, gear), fresh, "id", "gear_id")
+    all_gear = landing.read_gear(spark, gear)
+    # The size is checked on the gear records alone: the subset in use is
+    # smaller still, but finding it costs a pass over the activities.
+    small = fits_broadcast(all_gear)
+    needed = all_gear if small else used_dimension(all_gear, fresh, "id", "gear_id")
     weather = None if observations is None else landing.read_observations(spark, observations)
-    table.full_refresh(
-        enrich(fresh, needed, weather, refreshed=refreshed, stations_at_most=stations_at_most),
-        table_path,
+    enriched = enrich(
+        fresh,
+        needed,
+        weather,
+        refreshed=refreshed,
+        gear_rows_at_most=BROADCAST_ROWS if small else sys.maxsize,
+        stations_at_most=stations_at_most,
     )
+    table.full_refresh(enriched, table_path)
     return table.read_table(spark, table_path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from uuid import uuid4
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -29,3 +32,17 @@ def build_session(
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder ``spark.checkpoint.dir`` names.
+
+    Only a local session, where all executors are this machine, may fall back
+    to a temporary folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="trailmill-")
+    return f"{folder.rstrip('/')}/{name}-{uuid4().hex}"
