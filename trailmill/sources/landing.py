@@ -38,7 +38,13 @@ def parse_activity_pages(pages: DataFrame, payload: str) -> DataFrame:
     records = F.from_json(
         F.col(payload), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
-    return pages.select(F.inline(records))
+    # The outer form: for the inner one Spark infers filters on the array and
+    # would parse every payload again for each of them.
+    return (
+        pages.select(F.explode_outer(records).alias("record"))
+        .where("record IS NOT NULL")
+        .select("record.*")
+    )
 
 
 _REJECTED = f"errors IS NOT NULL OR {CORRUPT} IS NOT NULL OR id IS NULL"
