@@ -8,9 +8,11 @@ import pytest
 from conftest import SMALL
 from oracle_compare import connect, difference, type_difference
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from trailmill.checks.oracle import oracle_queries
+from trailmill.plans.catalogue import all_queries
 
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES, SQL = all_queries(), oracle_queries()
 # Python evaluation, or a join that pairs every row with every other.
 UNWANTED = re.compile(
     r"PythonUDF|EvalPython|MapInPandas|InPandas|CartesianProduct|BroadcastNestedLoopJoin"
