@@ -130,11 +130,11 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sql() -> str:
     """The same rows by scoring every vector."""
     return f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256.0::DOUBLE * x::DOUBLE)::BIGINT) AS v
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)::BIGINT) AS v
     FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
   scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(
-      range(1, len(q.v) + 1), i -> q.v[i] * c.v[i]))::BIGINT AS score
+      range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
     FROM v q JOIN v c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (
   PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= {K}"""
