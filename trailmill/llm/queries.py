@@ -7,15 +7,19 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmill.llm import licenses, mixing, topk, urls
+from trailmill.llm import decontaminate, jaccard, langid, licenses, lines, mixing, topk, urls
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": licenses.op1_license_scan,
+        "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_source_mix": mixing.op3_source_mix,
+        "op4_decontamination": decontaminate.op4_decontamination,
+        "op6_language_id": langid.op6_language_id,
         "op7_top_k": topk.op7_top_k,
         "op9_url_filter": urls.op9_url_filter,
+        "op10_line_dedup": lines.op10_line_dedup,
     }
 
 
@@ -23,5 +27,6 @@ def llm_sql() -> dict[str, str]:
     return {
         "op1_license_scan": licenses.op1_sql(),
         "op3_source_mix": mixing.op3_sql(),
+        "op4_decontamination": decontaminate.op4_sql(),
         "op7_top_k": topk.op7_sql(),
     }
