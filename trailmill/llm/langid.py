@@ -1,28 +1,33 @@
 """Language ID by compression with per-language dictionaries.
 
-For every language a raw-content zstandard dictionary is cut from labelled
-documents. A text is encoded with each of them, in blocks of ``BLOCK`` bytes so
-that a long text is compared with the dictionaries and not with its own
-beginning; the language whose blocks come out smallest in sum is chosen. Whole
-texts are read.
-
-A text is rejected when the choice is not clear: the runner-up's size is within
-``MARGIN`` of the winner's. ``score`` is that relative distance, scaled to
-1 at ``SURE`` and above.
-
-Training reads text and lang of the documents it is given, in slices of at most
-``SLICE`` characters, those with the smallest hashes of the text, up to
-``SAMPLE`` per language; dictionaries hold at most ``DICTIONARY`` bytes, of at
-most ``LANGUAGES`` languages. These are the only bounds, and they bound the
-model, not the texts it is used on.
+For every language a raw-content zstandard dictionary is made of the words and
+word pairs that most labelled documents of it hold, the most frequent last,
+where matches are cheapest. A text is encoded with each dictionary, in blocks
+of ``BLOCK`` bytes so that a long text is compared with the dictionaries and
+not with its own beginning; the language whose blocks come out smallest in sum
+is chosen. Texts under ``SHORT`` bytes would often be stored as they are, so
+they are encoded behind the end of the dictionary, less the size of that end
+alone. Letters are lowered. Whole texts are read.
+
+A text is rejected when the choice is not clear: when the winner is within
+``MARGIN`` of the runner-up's size. ``score`` is that relative distance, scaled
+to 1 at ``SURE`` and above.
+
+Training reads text and lang of the documents it is given: ``SAMPLE`` different
+texts per language, those with the smallest hashes, in slices of ``SLICE``
+characters; dictionaries hold at most ``DICTIONARY`` bytes, of at most
+``LANGUAGES`` languages. These are the only bounds, and they bound the model,
+not the texts it is used on.
 
 A text that is null or has no letter is ``und`` with score 0 and rejected; so
 is every text if nothing was learned. With one language only, texts are that
 language with score 1. Ties go to the first language in code point order.
+Repeated rows repeat; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,44 +38,84 @@ from pyspark.sql import functions as F
 
 from trailmill.llm.common import read
 
-DICTIONARY, SLICE, SAMPLE, LANGUAGES = 48 << 10, 2048, 200, 64
-BLOCK = 4096
-LEVEL = 1
+DICTIONARY, SLICE, SAMPLE, LANGUAGES = 16 << 10, 2048, 400, 64
+BLOCK, SHORT, END = 4096, 200, 512
 MARGIN, SURE = 0.002, 0.1
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
 
+def _encoded(text: str) -> bytes:
+    return text.lower().encode("utf-8", "surrogatepass")
+
+
+def dictionary(slices: list[str], size: int = DICTIONARY) -> bytes:
+    """Words and word pairs of at least two texts; those that cover most come last."""
+    counts: Counter[str] = Counter()
+    for text in slices:
+        words = text.lower().split()
+        counts.update({*words, *map(" ".join, zip(words, words[1:]))})
+    kept, held = [], 0
+    for term, n in sorted(counts.items(), key=lambda x: (-x[1] * len(x[0]), x[0])):
+        held += len(_encoded(term)) + 1
+        if n < 2 or held > size:
+            break
+        kept.append(term)
+    return _encoded(" ".join(reversed(kept)) + " ") if kept else b""
+
+
 def train(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionary content per language, from ``text, lang`` rows."""
-    slices = (
-        labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-        # Texts that differ, spread over all texts by their hash.
-        .selectExpr("lang", "xxhash64(text) AS h", f"substr(text, 1, {SLICE}) AS slice")
-        .selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY h, slice) AS k")
+    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").selectExpr(
+        "lang", "xxhash64(text) AS h", "text"
+    )
+    chosen = (
+        rows.select("lang", "h")
+        .distinct()
+        .selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY h) AS k")
         .where(f"k <= {SAMPLE}")
     )
-    languages = sorted(r["lang"] for r in slices.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    languages = [r["lang"] for r in chosen.select("lang").distinct().limit(LANGUAGES + 1).collect()]
     if len(languages) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
-    content: dict[str, list[bytes]] = {lang: [] for lang in languages}
-    for row in slices.orderBy("lang", "h", "slice").select("lang", "slice").collect():
-        content[row["lang"]].append(row["slice"].encode("utf-8", "surrogatepass"))
-    return {lang: b"\n".join(dict.fromkeys(parts))[:DICTIONARY] for lang, parts in content.items()}
+    # At most SAMPLE rows of each of at most LANGUAGES languages.
+    slices = rows.join(F.broadcast(chosen.drop("k")), ["lang", "h"]).groupBy("lang", "h").agg(
+        F.min(F.substring("text", 1, SLICE)).alias("slice")
+    )
+    content: dict[str, list[str]] = {lang: [] for lang in sorted(languages)}
+    for row in slices.collect():
+        content[row["lang"]].append(row["slice"])
+    return {lang: dictionary(parts) for lang, parts in content.items()}
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.languages = list(dictionaries)
-        self.encoders = []
+        self.encoders, self.ends = [], []
+        settings = zstandard.ZstdCompressionParameters.from_level(
+            3,
+            min_match=3,
+            strategy=zstandard.STRATEGY_BTOPT,
+            write_checksum=False,
+            write_content_size=False,
+        )
         for content in dictionaries.values():
+            content = content or b"........"
             kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            kept.precompute_compress(level=LEVEL)
-            self.encoders.append(
-                zstandard.ZstdCompressor(
-                    level=LEVEL, dict_data=kept, write_checksum=False, write_content_size=False
-                )
-            )
+            kept.precompute_compress(compression_params=settings)
+            encoder = zstandard.ZstdCompressor(dict_data=kept, compression_params=settings)
+            self.encoders.append(encoder)
+            end = content[-END:]
+            self.ends.append((end, len(encoder.compress(end))))
+
+    def sizes(self, data: bytes) -> list[int]:
+        if len(data) < SHORT:
+            return [
+                len(e.compress(end + data)) - alone
+                for e, (end, alone) in zip(self.encoders, self.ends, strict=True)
+            ]
+        blocks = [data[a : a + BLOCK] for a in range(0, len(data), BLOCK)]
+        return [sum(len(e.compress(b)) for b in blocks) for e in self.encoders]
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether it is rejected."""
@@ -78,13 +123,11 @@ class Classifier:
             return UNKNOWN, 0.0, True
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
-        data = text.encode("utf-8", "surrogatepass")
-        blocks = [data[a : a + BLOCK] for a in range(0, len(data), BLOCK)]
-        sizes = [sum(len(e.compress(b)) for b in blocks) for e in self.encoders]
+        sizes = self.sizes(_encoded(text))
         best = min(range(len(sizes)), key=lambda k: (sizes[k], k))
         second = min(s for k, s in enumerate(sizes) if k != best)
-        margin = (second - sizes[best]) / second
-        return self.languages[best], min(1.0, margin / SURE), margin < MARGIN
+        margin = (second - sizes[best]) / max(1, second)
+        return self.languages[best], min(1.0, max(0.0, margin / SURE)), margin < MARGIN
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text") -> DataFrame:
