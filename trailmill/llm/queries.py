@@ -7,7 +7,18 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmill.llm import decontaminate, jaccard, langid, licenses, lines, mixing, topk, urls
+from trailmill.llm import (
+    decontaminate,
+    jaccard,
+    langid,
+    licenses,
+    lines,
+    mixing,
+    secrets,
+    topk,
+    toxicity,
+    urls,
+)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +27,10 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_source_mix": mixing.op3_source_mix,
         "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_secret_scan": secrets.op5_secret_scan,
         "op6_language_id": langid.op6_language_id,
         "op7_top_k": topk.op7_top_k,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_url_filter": urls.op9_url_filter,
         "op10_line_dedup": lines.op10_line_dedup,
     }
