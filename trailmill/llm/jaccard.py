@@ -44,7 +44,7 @@ from trailmill.llm.common import landed, read
 from trailmill.llm.graph import components
 
 #: Shingles in a fragment, about, and bytes of text for each.
-FRAGMENT, BYTES = 1 << 22, 6
+FRAGMENT, BYTES = 1 << 21, 6
 U = np.uint64
 OVERLAP = "9 * overlap >= 4 * (n_a + n_b)"  # 100 * o >= 80 * (n_a + n_b - o)
 
@@ -337,7 +337,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "left-classes",
     )
     shingles = left.agg(F.sum("n")).first()[0] or 0
-    texts = docs.select("doc_id", "text").join(left.withColumnRenamed("rep", "doc_id"), "doc_id")
+    # The remaining classes grow with the corpus: sorted and merged, never broadcast.
+    texts = docs.select("doc_id", "text").join(
+        left.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id"
+    )
     counted = counted_sets(texts, _bits(2 * shingles))
     prefix = prefixes(counted)
     sizes = left.select("sid", "n")

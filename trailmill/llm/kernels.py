@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes worked on at a time; a longer text is one piece.
-PIECE = 1 << 21
+PIECE = 1_000_000
 U = np.uint64
 
 
@@ -69,6 +69,7 @@ class Words:
     first: int  # index of the first text
     counts: np.ndarray  # words of each text
     hashes: np.ndarray
+    prefixes: dict[int, np.ndarray]  # by bytes: hashes of how long words begin, word by word
 
     @property
     def ends(self) -> np.ndarray:
@@ -89,7 +90,10 @@ def pieces(texts: list[str | None], size: int = PIECE) -> Iterator[tuple[int, li
         yield first, run
 
 
-def words(texts: list[str | None], table: np.ndarray = SPACED) -> Iterator[Words]:
+def words(
+    texts: list[str | None], table: np.ndarray = SPACED, prefixes: tuple[int, ...] = ()
+) -> Iterator[Words]:
+    """Hashes of all words; of their first bytes too, 0 for words that are shorter."""
     for first, run in pieces(texts):
         data = np.frombuffer(b"\n" + b"\n".join(run) + b"\n", np.uint8)
         inside = table[data]
@@ -100,7 +104,13 @@ def words(texts: list[str | None], table: np.ndarray = SPACED) -> Iterator[Words
         value = (total[ends - 1] - total[starts - 1]) * inverse[starts]
         after = np.cumsum([len(x) + 1 for x in run]) + 1  # where the next text starts
         upto = np.searchsorted(starts, after)
-        yield Words(first, np.diff(upto, prepend=0), mix(value + (ends - starts).astype(np.uint64)))
+        begun = {}
+        for size in prefixes:
+            last = np.minimum(starts + size, ends) - 1
+            part = mix((total[last] - total[starts - 1]) * inverse[starts] + U(size << 32))
+            begun[size] = np.where(ends - starts >= size, part, U(0))
+        hashes = mix(value + (ends - starts).astype(np.uint64))
+        yield Words(first, np.diff(upto, prepend=0), hashes, begun)
 
 
 def shingles(found: Words, k: int = 5, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:

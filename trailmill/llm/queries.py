@@ -33,6 +33,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_url_filter": urls.op9_url_filter,
         "op10_line_dedup": lines.op10_line_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

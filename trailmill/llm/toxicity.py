@@ -10,8 +10,9 @@ The labels give one category, ``toxic``. Two finer ones come before it in the
 chain and are set for toxic texts that hold one of their ``MARKERS``; the last
 model decides with words of any language.
 
-A text's features are which of ``BUCKETS`` hashed words it holds, weighted by the
-words' log-ratio between the classes (rare words weigh 0). Whole texts are read.
+A text's features are which of ``BUCKETS`` hashed words and word beginnings (of
+``BEGINNINGS`` bytes, for languages that inflect or compound) it holds, weighted
+by their log-ratio between the classes (rare ones weigh 0). Whole texts are read.
 Training takes at most ``SAMPLE`` labelled documents of either label, those with
 the smallest hashes of their ids; that is the only bound. A document with several
 labels is toxic if one says so. Without labelled texts of both kinds every
@@ -39,18 +40,30 @@ MARKERS = {
     "contempt": ("disgusting", "pathetic", "stupid", "trash", "worthless"),
 }
 CATEGORIES = (*MARKERS, "toxic")
-BUCKETS = 1 << 18
-SAMPLE, FOLDS, STEPS, RARE = 2500, 3, 80, 4
-#: Weight of the squared parameters in the loss.
-RIDGE = 1e-3
+BUCKETS = 1 << 20
+BEGINNINGS = (4, 6)
+SAMPLE, FOLDS, STEPS = 2500, 3, 80
+#: A feature must stand in so many texts, and in this share of the smaller class.
+RARE, RARE_SHARE = 4, 0.01
+#: Weight of the squared parameters in the loss, and the size of the first steps.
+RIDGE, RATE = 1e-4, 0.3
+#: Log-ratio from which a word counts.
+TELLING = 2.0
 CUT = 0.5
 
 
 def buckets(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Pieces of the texts: index of the first, bucket of each word, its text."""
-    for part in kernels.words([t and t.lower() for t in texts], kernels.PLAIN):
+    """Pieces of the texts: index of the first, features as buckets, their texts."""
+    for part in kernels.words([t and t.lower() for t in texts], kernels.PLAIN, BEGINNINGS):
         owner = np.repeat(np.arange(len(part.counts)), part.counts)
-        yield part.first, (part.hashes % np.uint64(BUCKETS)).astype(np.int64), owner
+        found, whose = [part.hashes], [owner]
+        for begun in part.prefixes.values():
+            found.append(begun[begun != 0])
+            whose.append(owner[begun != 0])
+        owner = np.concatenate(whose)
+        order = np.argsort(owner, kind="stable")
+        hashes = np.concatenate(found)[order]
+        yield part.first, (hashes % np.uint64(BUCKETS)).astype(np.int64), owner[order]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -60,16 +73,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Rows:
     """Sparse 0/1 rows: the buckets of each text, one text after another."""
 
-    def __init__(self, found: list[np.ndarray]):
-        self.sizes = np.array([len(x) for x in found])
-        self.index = np.concatenate(found) if len(found) else np.zeros(0, np.int64)
-        self.owner = np.repeat(np.arange(len(found)), self.sizes)
+    def __init__(self, index: np.ndarray, owner: np.ndarray, count: int, width: int = BUCKETS):
+        self.index, self.owner, self.count, self.width = index, owner, count, width
+
+    @staticmethod
+    def of(found: list[np.ndarray]) -> Rows:
+        owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        return Rows(np.concatenate([np.zeros(0, np.int64), *found]), owner, len(found))
+
+    def only(self, used: np.ndarray) -> Rows:
+        """The same rows over some of the buckets, numbered anew."""
+        place = np.full(self.width, -1)
+        place[used] = np.arange(len(used))
+        kept = place[self.index] >= 0
+        return Rows(place[self.index[kept]], self.owner[kept], self.count, len(used))
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, weights[self.index], len(self.sizes))
+        return np.bincount(self.owner, weights[self.index], self.count)
 
     def per_bucket(self, of_rows: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, of_rows[self.owner], BUCKETS)
+        return np.bincount(self.index, of_rows[self.owner], self.width)
 
 
 class Linear:
@@ -79,55 +102,63 @@ class Linear:
         positive, negative = rows.per_bucket(label), rows.per_bucket(1.0 - label)
         n = label.sum()
         ratio = np.log((positive + 0.5) / (n + 1)) - np.log((negative + 0.5) / (len(label) - n + 1))
-        ratio[positive + negative < RARE] = 0
+        fewer = min(n, len(label) - n)
+        ratio[positive + negative < max(RARE, RARE_SHARE * fewer)] = 0
+        # Words that tell nothing apart by themselves are noise in a long text.
+        ratio[np.abs(ratio) < TELLING] = 0
         share = (n + 0.5) / (len(label) + 1)
-        self.words, self.chain, self.base = np.zeros(BUCKETS), np.zeros(earlier.shape[1]), np.log(share / (1 - share))
-        if not 0 < n < len(label):
+        self.base = np.log(share / (1 - share))
+        self.chain, self.weights = np.zeros(earlier.shape[1]), np.zeros(0)
+        self.used = np.flatnonzero(ratio) if 0 < n < len(label) else np.zeros(0, np.int64)
+        if not len(self.used):
             return
-        # Words that tell nothing apart by themselves are noise in a long text.
-        ratio[np.abs(ratio) < 1.5] = 0
-        words = np.zeros(BUCKETS)
-        square = [np.zeros(BUCKETS), np.zeros(earlier.shape[1]), 0.0]
+        some, ratio = rows.only(self.used), ratio[self.used]
+        words = np.zeros(len(self.used))
+        square = [np.zeros(len(words)), np.zeros(earlier.shape[1]), 0.0]
         for _ in range(STEPS):
-            p = _sigmoid(rows.times(words * ratio) + earlier @ self.chain + self.base)
+            p = _sigmoid(some.times(words * ratio) + earlier @ self.chain + self.base)
             miss = (p - label) / len(label)
             slopes = [
-                rows.per_bucket(miss) * ratio + RIDGE * words / 10,
+                some.per_bucket(miss) * ratio + RIDGE * words,
                 earlier.T @ miss + RIDGE * self.chain,
                 miss.sum(),
             ]
             square = [s + g * g for s, g in zip(square, slopes, strict=True)]
-            moves = [0.3 * g / (np.sqrt(s) + 1e-12) for s, g in zip(square, slopes, strict=True)]
+            moves = [RATE * g / (np.sqrt(s) + 1e-12) for s, g in zip(square, slopes, strict=True)]
             words, self.chain, self.base = words - moves[0], self.chain - moves[1], self.base - moves[2]
-        self.words = words * ratio
+        self.weights = words * ratio
 
     def predict(self, rows: Rows, earlier: np.ndarray) -> np.ndarray:
-        return _sigmoid(rows.times(self.words) + earlier @ self.chain + self.base)
+        words = np.zeros(rows.width)
+        words[self.used] = self.weights
+        return _sigmoid(rows.times(words) + earlier @ self.chain + self.base)
 
 
 class Chain:
     def __init__(self, found: list[np.ndarray], labels: np.ndarray):
         """``labels`` has one column per category, in the order of the chain."""
         folds = np.arange(len(found)) % FOLDS
-        everything, self.models = Rows(found), []
+        everything, models = Rows.of(found), []
         earlier = np.zeros((len(found), 0))
         for k in range(labels.shape[1]):
             label = labels[:, k].astype(float)
-            self.models.append(Linear(everything, earlier, label))
+            models.append(Linear(everything, earlier, label))
             column = np.zeros(len(found))
             for f in range(FOLDS):
                 out = folds == f
                 if out.any() and not out.all():
-                    seen = Linear(Rows([x for x, o in zip(found, out, strict=True) if not o]), earlier[~out], label[~out])
-                    held = Rows([x for x, o in zip(found, out, strict=True) if o])
+                    seen = Linear(
+                        Rows.of([x for x, o in zip(found, out, strict=True) if not o]), earlier[~out], label[~out]
+                    )
+                    held = Rows.of([x for x, o in zip(found, out, strict=True) if o])
                     column[out] = seen.predict(held, earlier[out])
             earlier = np.column_stack([earlier, column])
-        used = np.any([m.words != 0 for m in self.models], axis=0)
-        self.used = np.flatnonzero(used)
-        self.words = np.array([m.words[self.used] for m in self.models])
-        self.chains = [m.chain for m in self.models]
-        self.bases = [float(m.base) for m in self.models]
-        del self.models
+        self.used = np.unique(np.concatenate([m.used for m in models]))
+        self.words = np.zeros((len(models), len(self.used)))
+        for row, m in zip(self.words, models, strict=True):
+            row[np.searchsorted(self.used, m.used)] = m.weights
+        self.chains = [m.chain for m in models]
+        self.bases = [float(m.base) for m in models]
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
         """A row per text, a column per category."""
@@ -177,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     toxic = np.array([r["toxic"] for r in examples], bool)
     columns = []
     for words in MARKERS.values():
-        marks = next(buckets([" ".join(words)]))[1]
+        marks = next(kernels.words([" ".join(words)], kernels.PLAIN)).hashes % np.uint64(BUCKETS)
         columns.append(toxic & np.array([bool(np.isin(marks, x).any()) for x in found], bool))
     return Chain(found, np.column_stack([*columns, toxic]))
 
