@@ -93,7 +93,7 @@ def _generalised(docs: DataFrame, keys: DataFrame) -> DataFrame:
     same = F.expr("doc_id <=> d AND content = c")
     tokens = _tokens(r"split(text, '\n')[w.line_no]")
     tokened = landed(
-        texts.join(wanted, same)
+        texts.join(wanted.hint("merge"), same)  # grows with the corpus, so never broadcast
         .selectExpr("text", "explode(wanted) AS w")
         .selectExpr("w.k1", "w.k2", "w.grp", "w.docs", f"transform({tokens}, t -> xxhash64(t)) AS marks")
         .dropDuplicates(["k1", "k2"]),  # repeated rows give a line twice
@@ -171,7 +171,7 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     lost = dropped_lines(docs, min_docs).selectExpr("doc_id AS d", "content AS c", "dropped AS gone")
     a = docs.alias("docs")
     met = a.join(
-        lost.alias("lost"), F.expr("docs.doc_id <=> lost.d AND xxhash64(docs.text) = lost.c"), "left"
+        lost.alias("lost").hint("merge"), F.expr("docs.doc_id <=> lost.d AND xxhash64(docs.text) = lost.c"), "left"
     )
     kept = r"""array_join(transform(filter(transform(split(docs.text, '\n'), (x, i) -> struct(i, x)),
         y -> NOT array_contains(lost.gone, y.i)), y -> y.x), '\n')"""
