@@ -45,6 +45,8 @@ from trailmill.llm.graph import components
 
 #: Shingles in a fragment, about, and bytes of text for each.
 FRAGMENT, BYTES = 1 << 21, 6
+#: Documents that a worker packs together.
+SLICE = 1000
 U = np.uint64
 OVERLAP = "9 * overlap >= 4 * (n_a + n_b)"  # 100 * o >= 80 * (n_a + n_b - o)
 
@@ -74,7 +76,7 @@ def shingle_sets(docs: DataFrame, bits: int) -> DataFrame:
 
     def pack(leading: list[np.ndarray], keys: list[tuple[int, int]]) -> pd.DataFrame:
         h = np.concatenate(leading)
-        owner = np.repeat(np.arange(len(leading)), [len(x) for x in leading])
+        owner = np.repeat(np.arange(len(leading), dtype=np.int32), [len(x) for x in leading])
         frag = (h >> U(63 - bits)).astype(np.int32)
         order = np.argsort(frag, kind="stable")
         h, owner, frag = h[order], owner[order], frag[order]
@@ -89,21 +91,24 @@ def shingle_sets(docs: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            rows, leading, keys = [], [], []
-            for s in kernels.sets(batch["text"].tolist()):
-                half = s[: np.searchsorted(s, U(1 << 63))]
-                key = _set_key(s)
-                rows.append((len(s), *key, len(half)))
-                if len(half) and key not in seen:  # copies in one task are sent once
-                    if len(seen) < 100_000:
-                        seen.add(key)
-                    leading.append(half)
-                    keys.append(key)
-            frame = pd.DataFrame(rows, columns=["n", "k1", "k2", "observed"])
-            frame["doc_id"] = batch["doc_id"].astype("Int64").to_numpy(object, na_value=None)
-            yield _wide(frame)
-            if leading:
-                yield pack(leading, keys)
+            # Some documents at a time, so a worker holds little beside its batch.
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at : at + SLICE]
+                rows, leading, keys = [], [], []
+                for s in kernels.sets(part["text"].tolist()):
+                    half = s[: np.searchsorted(s, U(1 << 63))]
+                    key = _set_key(s)
+                    rows.append((len(s), *key, len(half)))
+                    if len(half) and key not in seen:  # copies in one task are sent once
+                        if len(seen) < 100_000:
+                            seen.add(key)
+                        leading.append(half.copy())
+                        keys.append(key)
+                frame = pd.DataFrame(rows, columns=["n", "k1", "k2", "observed"])
+                frame["doc_id"] = part["doc_id"].astype("Int64").to_numpy(object, na_value=None)
+                yield _wide(frame)
+                if leading:
+                    yield pack(leading, keys)
 
     return landed(docs.select("doc_id", "text").mapInPandas(run, READ), "shingle-sets")
 
@@ -131,7 +136,7 @@ def shared_counts(packed: DataFrame) -> DataFrame:
         _, first = np.unique(named, return_index=True)
         once = np.zeros(len(named), bool)
         once[first] = True
-        owner = np.repeat(np.arange(len(counts)), counts)
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         kept = np.repeat(once, counts)
         h, owner = h[kept], owner[kept]
         order = np.argsort(h)
@@ -152,14 +157,14 @@ def counted_sets(texts: DataFrame, bits: int) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for sid, k1, k2, s in zip(
-                batch["sid"], batch["k1"], batch["k2"], kernels.sets(batch["text"].tolist()), strict=True
-            ):
-                if _set_key(s) == (k1, k2):  # else another text of the same id
-                    for f, a, b in zip(*_runs((s >> U(64 - bits)).astype(np.int32)), strict=True):
-                        rows.append((f, sid, s[a:b].tobytes()))
-            yield pd.DataFrame(rows, columns=["frag", "sid", "hashes"])
+            for at in range(0, len(batch), SLICE):
+                part, rows = batch.iloc[at : at + SLICE], []
+                sets = kernels.sets(part["text"].tolist())
+                for sid, k1, k2, s in zip(part["sid"], part["k1"], part["k2"], sets, strict=True):
+                    if _set_key(s) == (k1, k2):  # else another text of the same id
+                        for f, a, b in zip(*_runs((s >> U(64 - bits)).astype(np.int32)), strict=True):
+                            rows.append((f, sid, s[a:b].tobytes()))
+                yield pd.DataFrame(rows, columns=["frag", "sid", "hashes"])
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("sid")  # an id may stand in several equal rows
