@@ -113,6 +113,11 @@ def test_rollup_null_rules(spark):
     assert [r.K for r in seen.collect()] == ["b", "a"]
 
 
+def test_mean_does_not_round_its_inputs(spark):
+    df = spark.sql("SELECT 'a' AS k, v FROM VALUES (1.004D), (1.008D), (double('NaN')), (NULL) t(v)")
+    assert rollup(df, {"K": "k"}, [mean("v", "m")]).first().m == 1.01
+
+
 def test_fused_total_keeps_rows_without_inner_key(spark):
     df = spark.sql("SELECT * FROM VALUES ('m', 'x'), ('m', NULL), (NULL, 'x') t(mo, ty)")
     out = fused_rollup(df, ("Month", "mo"), ("Type", "ty"), [rows("n")])

@@ -9,6 +9,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from trailmill.operators.selection import Selection
 from trailmill.operators.shape import quoted
 from trailmill.plans.enrich import enrich
 from trailmill.plans import refresh as refresh_plan
@@ -85,6 +86,12 @@ def test_enriched_record(spark, landed):
     assert found[2]["brand_name"] is None and found[3]["start_time_local_24h_hour"] == 0
 
 
+def spoil(landed):
+    """A page that is no JSON list."""
+    with open(f"{landed[0]}/page-9.json", "w") as page:
+        page.write('"not a list"')
+
+
 def test_refresh_reload_and_fallback(spark, landed, tmp_path):
     path, empty = str(tmp_path / "table"), tmp_path / "empty"
     empty.mkdir()
@@ -97,28 +104,92 @@ def test_refresh_reload_and_fallback(spark, landed, tmp_path):
 
     nothing = refresh(spark, str(empty), landed[1], path)
     assert nothing.count() == 0 and set(nothing.columns) >= {"id_activity", "temp"}
+    corrupt = refresh(spark, landed[0], landed[1], path, refreshed=REFRESHED)
+    assert corrupt.count() == 0  # no good table yet
 
-    first = refresh(spark, landed[0], landed[1], path, observations, refreshed=REFRESHED)
+    first = refresh(
+        spark, landed[0], landed[1], path, observations, refreshed=REFRESHED, accept_partial=True
+    )
     rows = {r.id_activity: r for r in first.collect()}
     assert sorted(rows) == [1, 2, 3]
     assert set(first.columns) == set(TABLE.names)
     assert (rows[1].temp, rows[1].rhum, rows[2].temp, rows[3].temp) == (50.0, 60.0, None, None)
     assert rows[1].moving_time == 3600 and rows[1].month_year == dt.date(2024, 3, 1)
 
+    (tmp_path / "pages" / "page-9.json").unlink()
     again = refresh(spark, landed[0], landed[1], path, refreshed=REFRESHED)  # replaces, not appends
-    assert again.count() == 3
+    assert again.count() == 3  # the error page only ends the data
+    stored = sorted((tmp_path / "table" / "rejects").iterdir(), key=lambda p: p.stat().st_mtime)
+    (rejected,) = spark.read.parquet(str(stored[-1])).collect()
+    assert "exceeded" in rejected.errors
     kept = refresh(spark, str(empty), landed[1], path)
     assert sorted(r.id_activity for r in kept.collect()) == [1, 2, 3]
     assert sorted(p.name for p in tmp_path.iterdir()) == ["empty", "gear.json", "obs", "pages", "table"]
 
-    loaded = table.load(spark, path)
-    assert loaded.is_cached and {r.refresh_date for r in loaded.collect()} == {"2024-03-10 08:00 AM"}
+    loaded = table.load(spark, path, Selection(2024, brands=("A",)), ["id_activity", "refresh_date"])
+    assert loaded.is_cached and [tuple(r) for r in loaded.collect()] == [(1, "2024-03-10 08:00 AM")]
     loaded.unpersist()
 
 
+def test_corrupt_page_keeps_the_last_good_table(spark, landed, tmp_path):
+    path, page = str(tmp_path / "table"), tmp_path / "pages" / "page-9.json"
+    page.unlink()
+    refresh(spark, landed[0], landed[1], path, refreshed=REFRESHED)
+    (tmp_path / "pages" / "page-1.json").unlink()
+    spoil(landed)
+    kept = refresh(spark, landed[0], landed[1], path, refreshed=REFRESHED)
+    assert kept.count() == 3
+    partial = refresh(spark, landed[0], landed[1], path, refreshed=REFRESHED, accept_partial=True)
+    assert partial.count() == 2
+
+
+def test_crash_before_the_pointer_moves(spark, landed, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    good = refresh(spark, landed[0], landed[1], path, refreshed=REFRESHED, accept_partial=True)
+
+    def crash(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(table, "_point", crash)
+        with pytest.raises(OSError, match="gone"):
+            table.full_refresh(good.where("id_activity = 1"), path)
+    assert table.read_table(spark, path).count() == 3
+    reader = table.read_table(spark, path)
+    table.full_refresh(good.where("id_activity = 1"), path)
+    assert table.read_table(spark, path).count() == 1
+    assert reader.count() == 3  # the version before is still there
+    assert len(list((tmp_path / "table" / "snapshots").iterdir())) == 2
+
+
+def test_missing_snapshot_is_an_error(spark, tmp_path):
+    folder = tmp_path / "table"
+    folder.mkdir()
+    (folder / "CURRENT").write_text("nowhere\n")
+    with pytest.raises(table.MissingSnapshot):
+        table.read_table(spark, str(folder))
+
+
+def test_filters_reach_the_stored_files(spark, landed, tmp_path):
+    path = str(tmp_path / "table")
+    refresh(spark, landed[0], landed[1], path, refreshed=REFRESHED, accept_partial=True)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for selection in (Selection(2024), Selection(2024, year_partitioned=True), Selection(), Selection(year_partitioned=True)):
+        chosen = selection.apply(table.read_table(spark, path)).select("id_activity")
+        assert chosen.count() > 0
+        plan = chosen._jdf.queryExecution().executedPlan().toString()
+        # One scan is the report's, others look up the rolling year's anchor.
+        assert any("year#" in part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:])
+        if selection.years == 2024:
+            assert "GreaterThanOrEqual(start_date_local,2024-01-01T00:00)" in plan
+        else:
+            scans = [part.split("], Format")[0] for part in plan.split("DataFilters: [")[1:]]
+            assert any("start_date_local" in scan for scan in scans)
+
+
 def test_failed_write_keeps_the_old_table(spark, landed, tmp_path):
     path = str(tmp_path / "table")
-    good = refresh(spark, landed[0], landed[1], path, refreshed=REFRESHED)
+    good = refresh(spark, landed[0], landed[1], path, refreshed=REFRESHED, accept_partial=True)
     broken = good.withColumn("distance_activity", F.expr("double(raise_error('lost'))"))
     with pytest.raises(Exception, match="lost"):
         table.full_refresh(broken, path)
@@ -164,7 +235,9 @@ def test_shared_path_prefers_the_clusters_folder():
 
 def test_large_gear_takes_the_spread_path(spark, landed, tmp_path, monkeypatch):
     monkeypatch.setattr(refresh_plan, "fits_broadcast", lambda df: False)
-    out = refresh(spark, landed[0], landed[1], str(tmp_path / "t"), refreshed=REFRESHED)
+    out = refresh(
+        spark, landed[0], landed[1], str(tmp_path / "t"), refreshed=REFRESHED, accept_partial=True
+    )
     assert sorted((r.id_activity, r.name_gear) for r in out.collect()) == [
         (1, "shoe"), (2, None), (3, "shoe"),
     ]

@@ -25,7 +25,7 @@ KIND = """CASE l_returnflag || l_linestatus WHEN 'RO' THEN 'Run' WHEN 'RF' THEN
 RAW = f"""raw AS (SELECT
   {UPLOAD} * 100000 + l_partkey AS id, {UPLOAD} AS upload_id, l_suppkey AS athlete_id,
   'Activity ' || {UPLOAD} AS name, {KIND} AS type,
-  CASE WHEN l_partkey % 11 <> 0 THEN l_partkey % 200 END AS gear_id,
+  CASE WHEN l_partkey % 11 <> 0 THEN l_partkey END AS gear_id,
   l_extendedprice AS distance, {SPEED} AS average_speed,
   {SPEED} * (1.0::DOUBLE + l_discount * 5.0::DOUBLE) AS max_speed,
   l_quantity * l_linenumber AS total_elevation_gain,
@@ -33,10 +33,11 @@ RAW = f"""raw AS (SELECT
   {MOVING} AS moving_time, {MOVING} + l_linenumber * 60 AS elapsed_time,
   l_shipdate + to_seconds((l_orderkey * 7919 + l_linenumber * 104729) % 86400) AS start_date,
   l_shipdate + to_seconds((l_orderkey * 7919 + l_linenumber * 104729) % 86400) AS start_date_local,
-  CASE WHEN l_linenumber <> 7 THEN 100.0::DOUBLE + l_quantity END AS average_heartrate,
-  CASE WHEN l_linenumber <> 7 THEN 100.0::DOUBLE + l_quantity + l_tax * 500.0::DOUBLE END
+  CASE WHEN l_linenumber <> 7 THEN 100.0::DOUBLE + l_quantity + l_tax / 8.0::DOUBLE END
+    AS average_heartrate,
+  CASE WHEN l_linenumber <> 7 THEN 100.0::DOUBLE + l_quantity + l_tax * 500.125::DOUBLE END
     AS max_heartrate,
-  CASE WHEN l_tax <> 0 THEN l_quantity * (1.0::DOUBLE + l_tax) END AS suffer_score,
+  CASE WHEN l_tax <> 0 THEN l_quantity * (1.0::DOUBLE + l_tax) / 16.0::DOUBLE END AS suffer_score,
   CAST((l_orderkey * 37) % 18001 AS DOUBLE) / 100.0::DOUBLE - 90.0::DOUBLE AS start_latitude,
   CAST((l_orderkey * 101) % 36001 AS DOUBLE) / 100.0::DOUBLE - 180.0::DOUBLE AS start_longitude
   FROM lineitem)"""
@@ -44,7 +45,7 @@ RAW = f"""raw AS (SELECT
 GEAR = """gear AS (SELECT p_partkey AS id, p_name || ' #' || p_partkey AS name,
   p_brand AS brand_name, p_size > 25 AS retired,
   p_retailprice * 1000.0::DOUBLE / 1609.34::DOUBLE AS distance
-  FROM part WHERE p_partkey < 200)"""
+  FROM part)"""
 
 OBS = """picked AS (SELECT o_custkey % 10 AS station_id, o_orderkey, o_totalprice,
   o_orderdate + to_hours(o_orderkey % 24) AS obs_hour,
@@ -130,7 +131,7 @@ def hours(x: str) -> str:
 
 
 def average(x: str) -> str:
-    return r2(f"CAST(sum(CAST({x} AS DECIMAL(18,2))) AS DOUBLE) / count({x})")
+    return r2(f"CAST(sum(CAST({x} AS DECIMAL(38,10))) AS DOUBLE) / count({x})")
 
 
 ROW_HOURS = r2("moving_time / 3600.0::DOUBLE")
@@ -299,8 +300,8 @@ def report_sql() -> dict[str, str]:
         found[f"gear_box_{m}"] = box("name_gear", "Gear", value)
         if m not in ("distance", "elevation", "time"):
             found[f"perf_box_{m}"] = box("month_year", "Month", value)
-    found["gear_points_distance"] = box("name_gear", "Gear", BOXES["distance"], points=True)
-    found["perf_points_avg_speed"] = box("month_year", "Month", BOXES["avg_speed"], points=True)
+            found[f"perf_points_{m}"] = box("month_year", "Month", value, points=True)
+        found[f"gear_points_{m}"] = box("name_gear", "Gear", value, points=True)
     axes = {"temp": ("temp", "Temperature (°F)"), "rhum": ("rhum", "Relative Humidity (%)")}
     found["weather_temp_rhum"] = scatter(axes["temp"], axes["rhum"])
     for m, measure in SCATTER.items():
@@ -309,9 +310,9 @@ def report_sql() -> dict[str, str]:
     for m, (column, name) in MEANS.items():
         found[f"perf_{m}_by_month_type"] = grouped(MONTH | TYPE, (name, average(column)))
     season = "make_date(2025, month(start_date_local), 1)"
-    found["timing_month_seasonal"] = grouped(
-        {"Month": season} | TYPE, UPLOADS["activities"], chosen(where=DEFAULT_TYPES)
-    )
+    for m, measure in UPLOADS.items():
+        key = "timing_month_seasonal" + ("" if m == "activities" else f"_{m}")
+        found[key] = grouped({"Month": season} | TYPE, measure, chosen(where=DEFAULT_TYPES))
     found["activity_detail"] = DETAIL
     for key, column in (("domain_types", "type"), ("domain_brands", "brand_name")):
         found[key] = (
@@ -330,6 +331,13 @@ def report_sql() -> dict[str, str]:
 CALENDAR = """id_activity, moving_time, elapsed_time, start_date_local, start_time_local_24h,
   start_time_local_24h_hour, start_time_local_12h, weekday, weekday_num, month, month_num,
   monthly_date, month_year, month_year_name, year"""
+TABLE_COLUMNS = f"""id_activity, upload_id, name_activity, type,
+  CAST(gear_id AS VARCHAR) AS gear_id, distance_activity, average_speed, max_speed,
+  total_elevation_gain, elev_high, elev_low, moving_time, elapsed_time, average_heartrate,
+  max_heartrate, suffer_score, start_date, start_date_local, name_gear, brand_name, retired,
+  distance_gear, start_time_local_24h, start_time_local_24h_hour, start_time_local_12h,
+  weekday, weekday_num, month, month_num, monthly_date, month_year, month_year_name,
+  {STAMP} AS refresh_date, year"""
 RAW_COLUMNS = """id, upload_id, athlete_id, name, type, gear_id, distance, average_speed, max_speed,
   total_elevation_gain, elev_high, elev_low, moving_time, elapsed_time, start_date,
   start_date_local, average_heartrate, max_heartrate, suffer_score"""
@@ -356,6 +364,14 @@ def stage_sql() -> dict[str, str]:
         "landing_pages": f"""{raw} id, upload_id, athlete_id, type,
           CAST(gear_id AS VARCHAR) AS gear_id, distance, moving_time, start_date_local,
           start_latitude, start_longitude FROM raw WHERE upload_id % 10 <> 7""",
+        "landing_files": f"""{raw} id, upload_id, athlete_id, type,
+          CAST(gear_id AS VARCHAR) AS gear_id, distance, moving_time, start_date_local,
+          start_latitude, start_longitude FROM raw""",
+        "refresh_pipeline": f"""{acts(True)} SELECT {TABLE_COLUMNS}, athlete_id, temp, rhum FROM acts""",
+        "fallback_table": f"""{acts(True)} SELECT id_activity, upload_id, type, name_gear,
+          distance_activity, temp FROM acts""",
+        "stored_overview_distance_by_month_type": grouped(MONTH | TYPE, OVERVIEW["distance"]),
+        "stored_select_year": f"""{chosen(where=f"{DEFAULT_TYPES} AND year = 2000")} {pick}""",
         "landing_rejects": f"""{raw} '["Rate limit"]' AS errors, count(*) AS pages FROM raw
           WHERE upload_id % 10 = 7""",
         "events_flat": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS props_k FROM events",
@@ -392,13 +408,7 @@ def stage_sql() -> dict[str, str]:
         "nan_cleaned": f"{raw} id, CASE WHEN distance >= 20000 THEN distance END AS distance FROM raw",
         "rolling_anchor": f"""{acts()} SELECT {ANCHOR} AS anchor,
           {ANCHOR} - INTERVAL 12 MONTH AS window_start""",
-        "table_columns": f"""{acts()} SELECT id_activity, upload_id, name_activity, type,
-          CAST(gear_id AS VARCHAR) AS gear_id, distance_activity, average_speed, max_speed,
-          total_elevation_gain, elev_high, elev_low, moving_time, elapsed_time, average_heartrate,
-          max_heartrate, suffer_score, start_date, start_date_local, name_gear, brand_name, retired,
-          distance_gear, start_time_local_24h, start_time_local_24h_hour, start_time_local_12h,
-          weekday, weekday_num, month, month_num, monthly_date, month_year, month_year_name,
-          {STAMP} AS refresh_date, year FROM acts""",
+        "table_columns": f"{acts()} SELECT {TABLE_COLUMNS} FROM acts",
     }
 
 

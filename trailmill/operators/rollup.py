@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmill.functions.numeric import from_units, half_even, to_units, truncated
+from trailmill.functions.numeric import from_units, half_even, not_nan, to_units, truncated
 from trailmill.functions.text import hours2
 from trailmill.operators.shape import quoted
 
@@ -55,12 +55,13 @@ def hour_total(column: str, name: str) -> str:
 
 
 def mean(column: str, name: str) -> str:
-    """Mean of the two-decimal values, rounded to two decimals.
+    """Mean rounded to two decimals; the values themselves are not rounded.
 
-    The sum is exact, so the last digit does not depend on partitioning.
+    The sum is exact to ten decimals, so the last digit does not depend on
+    partitioning. A sum of up to 28 digits before the point fits.
     """
-    units = to_units(column)
-    average = f"{from_units(f'sum({units})')} / nullif(count({units}), 0L)"
+    exact = f"try_cast({not_nan(column)} as decimal(38, 10))"
+    average = f"cast(sum({exact}) as double) / nullif(count({exact}), 0L)"
     return f"{half_even(average)} AS {quoted(name)}"
 
 

@@ -51,8 +51,10 @@ class Selection:
 
     ``brands=None`` means every brand in use, which leaves out activities
     without a brand, exactly as naming all brands would. An empty ``types`` or
-    ``brands`` selects nothing. ``year_partitioned`` says that ``year`` is a
-    partition column of a stored table; year choices then prune directories.
+    ``brands`` selects nothing. Where the frame has a ``year``, year choices
+    name it too and prune the directories of a table partitioned by it;
+    ``year_partitioned`` says that it is one, so that the rolling year's anchor
+    is looked up in the last year only.
     """
 
     years: str | int = ROLLING
@@ -77,11 +79,10 @@ class Selection:
             # Scalar subqueries: evaluated once, then ordinary comparisons that
             # are pushed into a Parquet scan of a stored table.
             anchor = latest_minute(df, self.time, self.strict_anchor, self.year_partitioned)
-            start = anchor.selectExpr("anchor - INTERVAL 12 MONTH AS start")
-            conditions = [F.col(self.time) >= start.scalar()]
-            if self.year_partitioned:
-                first = start.selectExpr("year(start) AS first_year")
-                conditions.append(F.col("year") >= first.scalar())
+            start = anchor.selectExpr("anchor - INTERVAL 12 MONTH AS start").scalar()
+            conditions = [F.col(self.time) >= start]
+            if "year" in df.columns:  # prunes where it is a partition column
+                conditions.append(F.col("year") >= F.year(start))
             return conditions
         # A range on the stored time can be pushed down; year(time) cannot.
         year = int(self.years)
@@ -89,7 +90,7 @@ class Selection:
             f"{self.time} >= TIMESTAMP_NTZ'{year:04d}-01-01' "
             f"AND {self.time} < TIMESTAMP_NTZ'{year + 1:04d}-01-01'"
         )
-        return [F.expr(in_range + (f" AND year = {year}" if self.year_partitioned else ""))]
+        return [F.expr(in_range + (f" AND year = {year}" if "year" in df.columns else ""))]
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.where(reduce(lambda a, b: a & b, self.predicates(df)))

@@ -21,6 +21,7 @@ from trailmill.operators.selection import (
 )
 from trailmill.plans import enrich as e
 from trailmill.plans import reports
+from trailmill.plans.refresh import refresh
 from trailmill.session import shared_path
 from trailmill.sources import landing, samples, table
 
@@ -51,7 +52,7 @@ class Samples:
     def enriched(self, weather: bool = False, **options: object) -> DataFrame:
         if weather:
             options |= self.network() | {"observations": self.observations()}
-        return e.enrich(self.raw(), self.gear(), gear_rows_at_most=samples.GEAR_ROWS, **options)
+        return e.enrich(self.raw(), self.gear(), **options)  # measures the gear
 
     def refreshed(self) -> Column:
         """A snapshot time the data fixes: a day after the last activity."""
@@ -89,8 +90,8 @@ def report_queries() -> dict[str, Query]:
     ):
         found[f"gear_{m}_by_month"] = _selected(reports.gear_monthly(m))
     for m in reports.BOXES:
-        found[f"gear_box_{m}"] = _selected(reports.gear_box(m, samples.GEAR_ROWS))
-    found["gear_points_distance"] = _selected(reports.gear_points("distance", samples.GEAR_ROWS))
+        found[f"gear_box_{m}"] = _selected(reports.gear_box(m))
+        found[f"gear_points_{m}"] = _selected(reports.gear_points(m))
     found["gear_summary"] = _whole(reports.gear_summary)
 
     found["weather_temp_rhum"] = _selected(
@@ -104,10 +105,12 @@ def report_queries() -> dict[str, Query]:
         found[f"perf_{m}_by_month_type"] = _selected(reports.performance(m))
     for m in ("avg_speed", "max_speed", "avg_heartrate", "max_heartrate", "effort"):
         found[f"perf_box_{m}"] = _selected(reports.month_box(m))
-    found["perf_points_avg_speed"] = _selected(reports.month_points("avg_speed"))
-    found["timing_month_seasonal"] = _selected(
-        reports.timing_month("activities"), Selection(ALL_YEARS), month_mode="seasonal"
-    )
+        found[f"perf_points_{m}"] = _selected(reports.month_points(m))
+    for m in ("activities", "distance", "elevation", "time"):
+        key = "timing_month_seasonal" + ("" if m == "activities" else f"_{m}")
+        found[key] = _selected(
+            reports.timing_month(m), Selection(ALL_YEARS), month_mode="seasonal"
+        )
     found["activity_detail"] = _whole(reports.activity_detail, weather=True)
     found["domain_types"] = _whole(lambda df: frequency_domain(df, "type"))
     found["domain_brands"] = _whole(lambda df: frequency_domain(df, "brand_name"))
@@ -145,6 +148,76 @@ def _pages(s: Samples) -> DataFrame:
     )
 
 
+def _page_files(s: Samples, corrupt: bool = False) -> str:
+    """All activities as landed page files: pages of up to 200 records, one a
+    line, besides an empty page and an error page."""
+    iso = {n: f"concat({temporal.iso_text(n)}, 'Z')" for n in e.TIMES}
+    raw = shape.derive(s.raw(), iso | {"gear_id": "cast(gear_id as string)"})
+    pages = (
+        raw.selectExpr("to_json(struct(*)) AS record", "monotonically_increasing_id() div 200 AS page")
+        .groupBy("page")  # a page of 200 records at most
+        .agg(F.expr("concat('[', concat_ws(',', collect_list(record)), ']') AS value"))
+        .select("value")
+    )
+    odd = ["[]", '{"message": "Rate limit", "errors": ["exceeded"]}'] + ['"cut off'] * corrupt
+    path = shared_path(s.spark, "pages")
+    pages.union(s.spark.createDataFrame([(x,) for x in odd], "value string")).write.text(path)
+    return path
+
+
+LANDED = (
+    "id", "upload_id", "athlete_id", "type", "gear_id", "distance", "moving_time",
+    "start_date_local", "start_latitude", "start_longitude",
+)
+
+
+def _landed_files(s: Samples) -> DataFrame:
+    """Page files read back: proper records, whatever else is landed."""
+    pages = landing.read_activity_pages(s.spark, _page_files(s, corrupt=True), multi_line=False)
+    flat = shape.flatten_structs(landing.accepted(pages), "_")
+    return e.split_position(e.naive_times(flat)).select(*LANDED)
+
+
+def _refreshed_table(s: Samples) -> str:
+    """A table refreshed from landed files, weather in a metric feed."""
+    gear, seen, path = (shared_path(s.spark, n) for n in ("gear", "observations", "activities"))
+    s.gear().selectExpr("* EXCEPT (id)", "cast(id as string) AS id").write.json(gear)
+    samples.observations(s.spark, s.sf_dir, metric=True).write.json(seen)
+    refresh(
+        s.spark,
+        _page_files(s),
+        gear,
+        path,
+        seen,
+        refreshed=s.refreshed(),
+        multi_line=False,
+        observation_form="json",
+        metric=True,
+        **s.network(),
+    )
+    return path
+
+
+def _stored_table(s: Samples) -> DataFrame:
+    """Every column of the refreshed table."""
+    stored = table.read_table(s.spark, _refreshed_table(s))
+    return stored.withColumnRenamed("athlete.id", "athlete_id")
+
+
+def _fallback_table(s: Samples) -> DataFrame:
+    """A good table, then a landing with a corrupt page: the good one stays."""
+    path, gear = _refreshed_table(s), shared_path(s.spark, "gear")
+    s.gear().selectExpr("* EXCEPT (id)", "cast(id as string) AS id").limit(0).write.json(gear)
+    kept = refresh(s.spark, _page_files(s, corrupt=True), gear, path, multi_line=False)
+    return kept.select("id_activity", "upload_id", "type", "name_gear", "distance_activity", "temp")
+
+
+def _stored_report(frame: reports.Frame, selection: Selection) -> Query:
+    return lambda spark, sf_dir: frame(
+        selection.apply(table.read_table(spark, _refreshed_table(Samples(spark, sf_dir))))
+    )
+
+
 def _landed(s: Samples) -> DataFrame:
     kept = landing.accepted(landing.parse_activity_pages(_pages(s), "payload"))
     flat = e.split_position(e.naive_times(shape.flatten_structs(kept, "_")))
@@ -199,6 +272,15 @@ def stage_queries() -> dict[str, Query]:
     }
     found |= {
         "landing_pages": _stage(_landed),
+        "landing_files": _stage(_landed_files),
+        "refresh_pipeline": _stage(_stored_table),
+        "fallback_table": _stage(_fallback_table),
+        "stored_overview_distance_by_month_type": _stored_report(
+            reports.overview_series("distance", True), Selection(year_partitioned=True)
+        ),
+        "stored_select_year": _stored_report(
+            lambda df: df.select(*SELECTED), Selection(2000, year_partitioned=True)
+        ),
         "landing_rejects": _stage(
             lambda s: landing.rejected(landing.parse_activity_pages(_pages(s), "payload"))
             .groupBy("errors")

@@ -20,23 +20,42 @@ def refresh(
     observations: str | None = None,
     *,
     refreshed: Column | str = UTC_NOW,
+    accept_partial: bool = False,
+    multi_line: bool = True,
+    observation_form: str = "parquet",
+    metric: bool = False,
     stations_at_most: int | None = None,
+    hours_at_most: int | None = None,
+    wrap_24h: bool = True,
+    month_mode: str = "calendar",
 ) -> DataFrame:
     """Rebuild the table from landed activity pages, gear records and weather
     observations, and return it.
 
-    A landing without a single proper activity leaves the last good table in
-    place; with none either, the result is a typed empty frame.
+    A page that cannot be parsed means that activities are missing: the last
+    good table stays, unless ``accept_partial``. An error payload is where the
+    data ends; the other pages count. A landing without a single proper activity
+    leaves the last good table in place; with none either, the result is a typed
+    empty frame. What was rejected is stored beside the snapshots.
     """
-    fresh = landing.accepted(landing.read_activity_pages(spark, pages))
+    landed = landing.read_activity_pages(spark, pages, multi_line)
+    snapshot = table.new_snapshot()
+    aside = table.rejects_path(table_path, snapshot)
+    landing.rejected(landed).write.parquet(aside)
+    rejects = spark.read.schema(landed.schema).parquet(aside)
+    if not accept_partial and not landing.malformed(rejects).isEmpty():
+        return table.read_table(spark, table_path)
+    fresh = landing.accepted(landed)
     if fresh.isEmpty():
         return table.read_table(spark, table_path)
-    all_gear = landing.read_gear(spark, gear)
+    all_gear = landing.read_gear(spark, gear, multi_line)
     # The size is checked on the gear records alone: the subset in use is
     # smaller still, but finding it costs a pass over the activities.
     small = fits_broadcast(all_gear)
     needed = all_gear if small else used_dimension(all_gear, fresh, "id", "gear_id")
-    weather = None if observations is None else landing.read_observations(spark, observations)
+    weather = None
+    if observations is not None:
+        weather = landing.read_observations(spark, observations, observation_form, metric)
     enriched = enrich(
         fresh,
         needed,
@@ -44,6 +63,9 @@ def refresh(
         refreshed=refreshed,
         gear_rows_at_most=BROADCAST_ROWS if small else sys.maxsize,
         stations_at_most=stations_at_most,
+        hours_at_most=hours_at_most,
+        wrap_24h=wrap_24h,
+        month_mode=month_mode,
     )
-    table.full_refresh(enriched, table_path)
+    table.full_refresh(enriched, table_path, snapshot)
     return table.read_table(spark, table_path)

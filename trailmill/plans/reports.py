@@ -35,7 +35,6 @@ MONTH = {"Month": "month_year"}
 TYPE = {"Activity Type": "type"}
 GEAR = {"Gear": "name_gear"}
 BRAND_GEAR = {"Gear Brand": "brand_name", "Gear": "name_gear"}
-CALENDAR_MONTHS = 1_200  # A century of months; bounds per-month results.
 
 
 # Overview ------------------------------------------------------------------
@@ -123,27 +122,26 @@ BOXES = {
 }
 
 
-def _box(
-    build: Callable[..., DataFrame], measure: str, key: str, name: str, keys_at_most: int | None
-) -> Frame:
+def _box(build: Callable[..., DataFrame], measure: str, key: str, name: str) -> Frame:
+    """Per-key results are joined as their measured size allows."""
     value, widths = BOXES[measure]
-    return lambda df: build(df, key, value, name=name, widths=widths, keys_at_most=keys_at_most)
+    return lambda df: build(df, key, value, name=name, widths=widths)
 
 
-def gear_box(measure: str, gear_at_most: int | None = None) -> Frame:
-    return _box(box_summary, measure, "name_gear", "Gear", gear_at_most)
+def gear_box(measure: str) -> Frame:
+    return _box(box_summary, measure, "name_gear", "Gear")
 
 
-def gear_points(measure: str, gear_at_most: int | None = None) -> Frame:
-    return _box(box_points, measure, "name_gear", "Gear", gear_at_most)
+def gear_points(measure: str) -> Frame:
+    return _box(box_points, measure, "name_gear", "Gear")
 
 
 def month_box(measure: str) -> Frame:
-    return _box(box_summary, measure, "month_year", "Month", CALENDAR_MONTHS)
+    return _box(box_summary, measure, "month_year", "Month")
 
 
 def month_points(measure: str) -> Frame:
-    return _box(box_points, measure, "month_year", "Month", CALENDAR_MONTHS)
+    return _box(box_points, measure, "month_year", "Month")
 
 
 def gear_summary(df: DataFrame) -> DataFrame:

@@ -60,6 +60,12 @@ def rejected(pages: DataFrame) -> DataFrame:
     return pages.where(_REJECTED)
 
 
+def malformed(rejects: DataFrame) -> DataFrame:
+    """Of the rejects, pages that could not be parsed: data is missing. An
+    error payload only marks where the data ends."""
+    return rejects.where(f"{CORRUPT} IS NOT NULL")
+
+
 def read_gear(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     return spark.read.schema(GEAR).json(path, multiLine=multi_line)
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from trailmill.functions.units import fahrenheit
 
-# Bounds that follow from the mapping below, at every scale.
-GEAR_ROWS = 200  # part keys below 200
+# A bound that follows from the mapping below, at every scale.
 STATIONS = 10  # customer key modulo 10
 
 # Read with a schema, no footer has to be opened to plan a query.
@@ -53,7 +52,7 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"concat('Activity ', {upload}) AS name",
         "CASE concat(l_returnflag, l_linestatus) WHEN 'RO' THEN 'Run' WHEN 'RF' THEN 'Ride' "
         "WHEN 'NO' THEN 'Walk' WHEN 'NF' THEN 'Hike' WHEN 'AF' THEN 'Swim' ELSE 'Yoga' END AS type",
-        "if(l_partkey % 11 = 0, NULL, l_partkey % 200) AS gear_id",
+        "if(l_partkey % 11 = 0, NULL, l_partkey) AS gear_id",
         "l_extendedprice AS distance",
         f"{speed} AS average_speed",
         f"{speed} * (1D + l_discount * 5D) AS max_speed",
@@ -66,30 +65,29 @@ def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{start} AS start_date_local",
         f"array({lat}, {lon}) AS start_latlng",
         f"array({lat}, {lon}) AS end_latlng",
-        "if(l_linenumber = 7, NULL, 100D + l_quantity) AS average_heartrate",
-        "if(l_linenumber = 7, NULL, 100D + l_quantity + l_tax * 500D) AS max_heartrate",
-        "if(l_tax = 0D, NULL, l_quantity * (1D + l_tax)) AS suffer_score",
+        "if(l_linenumber = 7, NULL, 100D + l_quantity + l_tax / 8D) AS average_heartrate",
+        "if(l_linenumber = 7, NULL, 100D + l_quantity + l_tax * 500.125D) AS max_heartrate",
+        "if(l_tax = 0D, NULL, l_quantity * (1D + l_tax) / 16D) AS suffer_score",
         f"cast({upload} as string) AS upload_id_str",
     )
 
 
 def gear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        _read(spark, sf_dir, "part")
-        .where(f"p_partkey < {GEAR_ROWS}")
-        .selectExpr(
-            "p_partkey AS id",
-            "concat(p_name, ' #', p_partkey) AS name",
-            "p_brand AS brand_name",
-            "p_size > 25 AS retired",
-            "p_retailprice * 1000D AS distance",
-            "p_retailprice * 1000D / 1609.34D AS converted_distance",
-        )
+    return _read(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id",
+        "concat(p_name, ' #', p_partkey) AS name",
+        "p_brand AS brand_name",
+        "p_size > 25 AS retired",
+        "p_retailprice * 1000D AS distance",
+        "p_retailprice * 1000D / 1609.34D AS converted_distance",
     )
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One observation per station and hour: that of the lowest order key."""
+def observations(spark: SparkSession, sf_dir: str, metric: bool = False) -> DataFrame:
+    """One observation per station and hour: that of the lowest order key.
+
+    ``metric`` leaves the temperature in degrees Celsius, as some feeds do.
+    """
     celsius = "cast(cast(floor(o_totalprice) as bigint) % 45 - 5 as double)"
     return (
         _read(spark, sf_dir, "orders")
@@ -109,7 +107,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
             "cast(station_id * 15 - 67 as double) AS lat",
             "cast(station_id * 36 - 162 as double) AS lon",
             "obs_hour",
-            f"{fahrenheit('celsius')} AS temp",
+            f"{'celsius' if metric else fahrenheit('celsius')} AS temp",
             "cast(first_order % 101 as double) AS rhum",
         )
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from uuid import uuid4
 
 from pyspark import StorageLevel
@@ -10,7 +11,8 @@ from pyspark.sql import types as T
 
 from trailmill.functions import temporal as t
 from trailmill.functions.text import duration_seconds, duration_text
-from trailmill.operators.shape import conform, derive, drop_suffixed, nan_to_null
+from trailmill.operators.selection import Selection
+from trailmill.operators.shape import conform, derive, drop_suffixed, nan_to_null, quoted
 from trailmill.sources.schemas import TABLE
 
 DURATIONS = ("moving_time", "elapsed_time")
@@ -29,30 +31,81 @@ def storable(df: DataFrame, target: T.StructType = TABLE) -> DataFrame:
     return conform(nan_to_null(drop_suffixed(df)), target)
 
 
-def full_refresh(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path``.
+POINTER, SNAPSHOTS, REJECTS = "CURRENT", "snapshots", "rejects"
 
-    The new snapshot is written beside the old one and swapped in once it is
-    complete, so a failed job leaves the old table as it was. REBALANCE sizes
-    files by year and splits years that are larger than others; nothing is
-    gathered into one task per year.
-    """
-    spark = df.sparkSession
-    staging, retired = (f"{path.rstrip('/')}.{tag}-{uuid4().hex}" for tag in ("new", "old"))
-    storable(df).hint("rebalance", "year").write.partitionBy("year").parquet(staging)
+
+class MissingSnapshot(FileNotFoundError):
+    """The pointer of a table names a snapshot that is not there."""
+
+
+def _folder(spark: SparkSession, path: str):  # noqa: ANN202 - Hadoop objects
+    """A Hadoop path and its file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def new_snapshot() -> str:
+    return uuid4().hex
+
+
+def rejects_path(path: str, snapshot: str) -> str:
+    return f"{path.rstrip('/')}/{REJECTS}/{snapshot}"
+
+
+def _named(spark: SparkSession, path: str) -> list[str]:
+    """The current snapshot and the one before it, from the pointer."""
+    pointer, files = _folder(spark, f"{path.rstrip('/')}/{POINTER}")
+    if not files.exists(pointer):
+        return []
+    stream = files.open(pointer)
+    try:
+        return stream.readLine().split()
+    finally:
+        stream.close()
+
+
+def _point(spark: SparkSession, path: str, names: list[str]) -> None:
+    """Replace the pointer in one step, so readers see the old or the new one."""
+    base = path.rstrip("/")
+    target, files = _folder(spark, f"{base}/{POINTER}")
+    fresh, _ = _folder(spark, f"{base}/{POINTER}-{uuid4().hex}")
+    stream = files.create(fresh, False)
+    try:
+        stream.writeBytes(" ".join(names) + "\n")
+    finally:
+        stream.close()
     jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = jvm.org.apache.hadoop.fs.Path(retired)
-    had_table = files.exists(target)
-    if had_table and not files.rename(target, old):
-        raise OSError(f"could not move {path} aside")
-    if not files.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
-        if had_table:
-            files.rename(old, target)
-        raise OSError(f"could not move the new snapshot to {path}")
-    if had_table:
-        files.delete(old, True)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        target.toUri(), spark._jsc.hadoopConfiguration()
+    )
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context.rename(context.makeQualified(fresh), context.makeQualified(target), options)
+
+
+def full_refresh(df: DataFrame, path: str, snapshot: str | None = None) -> None:
+    """Replace the table at ``path`` by a new snapshot.
+
+    Every snapshot has a folder of its own. A small pointer names the current
+    one and is replaced when the new one is complete: a failed job leaves the
+    old table, nothing is moved or copied, and readers that have begun keep
+    their files until the refresh after the next. REBALANCE sizes files by year
+    and splits years that are larger than others; nothing is gathered into one
+    task per year.
+    """
+    spark, base = df.sparkSession, path.rstrip("/")
+    snapshot = snapshot or new_snapshot()
+    before = _named(spark, path)[:1]
+    storable(df).hint("rebalance", "year").write.partitionBy("year").parquet(
+        f"{base}/{SNAPSHOTS}/{snapshot}"
+    )
+    _point(spark, path, [snapshot, *before])
+    for part in (SNAPSHOTS, REJECTS):
+        folder, files = _folder(spark, f"{base}/{part}")
+        for old in files.listStatus(folder) if files.exists(folder) else ():
+            if old.getPath().getName() not in (snapshot, *before):
+                files.delete(old.getPath(), True)
 
 
 def empty_table(spark: SparkSession) -> DataFrame:
@@ -60,26 +113,32 @@ def empty_table(spark: SparkSession) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table, re-typed; a typed empty frame when there is none."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    """The current snapshot; a typed empty frame only if none was ever made."""
+    names = _named(spark, path)
+    if not names:
         return empty_table(spark)
-    return retype(spark.read.schema(TABLE).parquet(path))
+    stored = f"{path.rstrip('/')}/{SNAPSHOTS}/{names[0]}"
+    folder, files = _folder(spark, stored)
+    if not files.exists(folder):
+        raise MissingSnapshot(stored)
+    return retype(spark.read.schema(TABLE).parquet(stored))
 
 
 def retype(df: DataFrame) -> DataFrame:
-    """Durations to seconds, times to whole-second naive timestamps, and the
-    calendar and clock columns rebuilt from the local start.
+    """Rows in record form to typed ones: durations to seconds, times to
+    whole-second naive timestamps, and the calendar and clock columns rebuilt
+    from the local start.
 
-    Works on stored rows and on rows in record form alike.
+    Columns that are typed already pass untouched, so filters on a stored
+    table reach its files.
     """
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
-    typed = derive(
-        df,
-        {n: duration_seconds(n) if n in text else f"cast({n} as bigint)" for n in DURATIONS}
-        | {n: t.wall_clock(n) if n in text else t.whole_second(n) for n in TIMES},
-    )
+    durations = {n: duration_seconds(n) for n in DURATIONS if n in text}
+    times = {n: t.wall_clock(n) for n in TIMES if n in text}
+    typed = derive(df, durations | times) if durations or times else df
     start = "start_date_local"
+    if start not in times:
+        return typed
     return derive(
         typed,
         {"start_time_local_24h": t.clock24(start), "start_time_local_12h": t.clock12(start)}
@@ -92,11 +151,26 @@ def usable(new: DataFrame, last_good: DataFrame) -> DataFrame:
     return last_good if new.isEmpty() else new
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """The table for analysis, cached across reports; ``unpersist`` to refresh."""
-    table = read_table(spark, path)
-    label = t.minute_label(t.minute_label_parsed("refresh_date"))
-    return derive(table, {"refresh_date": label}).persist(StorageLevel.MEMORY_AND_DISK)
+def load(
+    spark: SparkSession,
+    path: str,
+    selection: Selection | None = None,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """What one analysis reads of the table, cached across its reports.
+
+    The selection and the columns are applied first, so they prune the scan and
+    only what is left is kept; ``unpersist`` to refresh.
+    """
+    chosen = read_table(spark, path)
+    if selection is not None:
+        chosen = selection.apply(chosen)
+    if columns is not None:
+        chosen = chosen.select(*map(quoted, columns))
+    if "refresh_date" in chosen.columns:
+        label = t.minute_label(t.minute_label_parsed("refresh_date"))
+        chosen = derive(chosen, {"refresh_date": label})
+    return chosen.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def to_records(df: DataFrame) -> DataFrame:
