@@ -48,7 +48,11 @@ def box_summary(
     """
     name = name or key
     samples = _samples(df, key, value)
-    counted = samples.groupBy("_key", "_value").agg(F.expr("count(1) AS _rows"))
+    # Bins are columns of the counting aggregate and are known to be set, so
+    # every later step has the same filters below it and reuses its exchange.
+    bins = [f"floor(_value / {width}D) AS _bin{level}" for level, width in enumerate(widths)]
+    binned = samples.selectExpr("*", *bins).dropna()
+    counted = binned.groupBy(*binned.columns).agg(F.expr("count(1) AS _rows"))
     if method == "approx":
         quartiles = _sketched(samples)
     else:
@@ -132,9 +136,8 @@ def _ranked(
 
     opened: DataFrame | None = None  # bins that hold a wanted rank: <= 6 per key
     group = ["_key"]
-    for level, width in enumerate(widths):
+    for level in range(len(widths)):
         name = f"_bin{level}"
-        counted = counted.selectExpr("*", f"floor(_value / {width}D) AS {name}")
         carried = [] if opened is None else ["n", "_start"]
         bins = (
             _restrict(counted, opened, group, keys_at_most)

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailmill.operators.shape import quoted
 
 BROADCAST_ROWS = 100_000  # A dimension row is ~100 bytes, so ~10 MB at most.
 HOT_SHARE = 0.001  # At most 1 / HOT_SHARE keys can hold more than this share.
+SALTS = 64  # Parts a hot key is spread over.
 
 
 def fits_broadcast(
@@ -27,12 +29,14 @@ def fits_broadcast(
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of all rows; fewer than ``1/share``.
+    """Keys that hold more than ``share`` of the rows that have one; fewer than
+    ``1/share``.
 
-    Counts combine map-side, so a hot key costs one row per map task here.
+    Counts combine map-side, so a hot key costs one row per map task here; the
+    total is taken from the same counts.
     """
-    bar = df.agg(F.expr(f"count(1) * {share}D AS bar")).scalar()
     held = df.groupBy(*keys).agg(F.expr("count(1) AS rows_held"))
+    bar = held.agg(F.expr(f"sum(rows_held) * {share}D AS bar")).scalar()
     return held.where(F.col("rows_held") > bar).select(*keys)
 
 
@@ -47,9 +51,7 @@ def left_lookup(
     """Left outer equi join on same-named keys.
 
     A right side within ``limit`` rows is broadcast and the fact never moves.
-    A larger one is joined in two parts: rows whose key is hot meet the few
-    hot right rows by broadcast, rows without a key skip the join, and only
-    the remaining, evenly spread rows are shuffled.
+    A larger one is joined by a shuffle that spreads hot and missing keys.
     """
     if fits_broadcast(right, rows_at_most, limit):
         return left.join(F.broadcast(right), list(keys), "left")
@@ -59,24 +61,24 @@ def left_lookup(
 def spread_left_lookup(
     left: DataFrame, right: DataFrame, keys: Sequence[str], share: float = HOT_SHARE
 ) -> DataFrame:
-    """The shuffled form of :func:`left_lookup`, safe against hot and NULL keys."""
+    """The shuffled form of :func:`left_lookup`, safe against hot and NULL keys.
+
+    Rows with a hot key, or none, are spread over ``SALTS`` parts by a hash of
+    the row; the right rows of hot keys, and only those, are copied to each
+    part. The left side is read twice: to count keys, and to join.
+    """
     keys = list(keys)
     has_key = " AND ".join(f"{quoted(key)} IS NOT NULL" for key in keys)
-    keyed = left.where(has_key)
-    hot = hot_keys(keyed, keys, share)  # fewer than 1/share rows
-    extra = [
-        f"cast(NULL as {f.dataType.simpleString()}) AS {quoted(f.name)}"
-        for f in right.schema.fields
-        if f.name not in keys
-    ]
-
-    hot_right = right.join(F.broadcast(hot), keys, "left_semi")
-    hot_part = keyed.join(F.broadcast(hot), keys, "left_semi").join(
-        F.broadcast(hot_right), keys, "left"
+    # Fewer than 1/share rows.
+    hot = F.broadcast(hot_keys(left.where(has_key), keys, share).withColumn("_hot", F.lit(True)))
+    plain = [quoted(f.name) for f in left.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    spread = f"pmod(xxhash64({', '.join(plain)}), {SALTS})"
+    salted = left.join(hot, keys, "left").selectExpr(
+        *map(quoted, left.columns), f"if(_hot OR NOT ({has_key}), {spread}, 0L) AS _salt"
     )
-    even_part = keyed.join(F.broadcast(hot), keys, "left_anti").join(right, keys, "left")
-    bare_part = left.where(f"NOT ({has_key})").selectExpr("*", *extra)
-    return hot_part.unionByName(even_part).unionByName(bare_part)
+    copies = f"explode(if(_hot, sequence(0L, {SALTS - 1}L), array(0L))) AS _salt"
+    replicated = right.join(hot, keys, "left").selectExpr(*map(quoted, right.columns), copies)
+    return salted.join(replicated, [*keys, "_salt"], "left").drop("_salt")
 
 
 def left_enrich(
