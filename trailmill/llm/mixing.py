@@ -36,7 +36,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 17
 #: Documents of a source that are ordered together, about.
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 
 SIZE = f"cast(coalesce(regexp_count(text, r'{SPACED_WORD}'), 0) as bigint)"
 #: Documents with words of usual length weigh 1, others less, never under 0.05.
