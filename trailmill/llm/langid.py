@@ -72,7 +72,11 @@ def train(labelled: DataFrame) -> dict[str, bytes]:
     chosen = (
         rows.select("lang", "h")
         .distinct()
-        .selectExpr("*", "row_number() OVER (PARTITION BY lang ORDER BY h) AS k")
+        # A language may hold most texts: first its smallest hashes of each of
+        # 64 parts, then the smallest of those.
+        .selectExpr("*", "row_number() OVER (PARTITION BY lang, pmod(h, 64) ORDER BY h) AS k")
+        .where(f"k <= {SAMPLE}")
+        .selectExpr("lang", "h", "row_number() OVER (PARTITION BY lang ORDER BY h) AS k")
         .where(f"k <= {SAMPLE}")
     )
     languages = [r["lang"] for r in chosen.select("lang").distinct().limit(LANGUAGES + 1).collect()]
