@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from trailmill.llm import kernels
 from trailmill.llm.common import landed, read
 from trailmill.llm.graph import components
+from trailmill.operators.joins import spread_left_lookup
 
 #: Shingles in a fragment, about, and bytes of text for each.
 FRAGMENT, BYTES = 1 << 21, 6
@@ -359,7 +360,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole = classes.join(linked, ["k1", "k2"], "left").selectExpr(
         "k1", "k2", "coalesce(component, rep) AS component"
     )
-    return rows.join(whole, ["k1", "k2"], "left").selectExpr(
+    # A set may be that of a third of all documents.
+    return spread_left_lookup(rows, whole, ["k1", "k2"]).selectExpr(
         "doc_id",
         "cast(n as bigint) AS n_shingles",
         "if(n = 0 OR doc_id IS NULL, doc_id, component) AS component_id",
