@@ -21,11 +21,11 @@ from __future__ import annotations
 from math import log
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmill.llm.common import LOWER, UPPER, read
+from trailmill.llm.common import LOWER, UPPER, landed, read
 
 #: Rule and verdict.
 RULES = {
@@ -39,6 +39,7 @@ GRAM = 4
 BUCKETS = 2048
 #: The most labelled addresses that the model is fitted on.
 SAMPLE = 4000
+STEPS = 30
 
 _AFTER = "substr(url, nullif(instr(url, '://'), 0) + 3)"
 HOST = f"coalesce(translate(regexp_substr({_AFTER}, '^[^/?#]+'), '{UPPER}', '{LOWER}'), '')"
@@ -82,21 +83,32 @@ def fit(
         .orderBy(F.xxhash64("host", "path"), "host", "path")
         .limit(sample)
     )
-    dense = f"transform(sequence(0, {buckets - 1}), k -> if(array_contains(found, k), 1D, 0D))"
+    # Bounded by the sample: one partition in a fixed order, so reruns agree.
     rows = (
-        chosen.selectExpr("if(ruled = 'block', 1D, 0D) AS label", f"{grams(buckets=buckets)} AS found")
-        .select("label", array_to_vector(F.expr(dense)).alias("features"))
-        .coalesce(1)  # bounded by the sample; one order of summation, so reruns agree
-        .cache()
+        landed(
+            chosen.selectExpr(
+                "host",
+                "path",
+                "if(ruled = 'block', 1D, 0D) AS label",
+                f"transform({grams(buckets=buckets)}, k -> cast(k as string)) AS found",
+            ),
+            "labelled-urls",
+        )
+        .coalesce(1)
+        .sortWithinPartitions("host", "path")
     )
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("blocked")).first()
     n, blocked = seen["n"], seen["blocked"] or 0.0
     if not 0 < blocked < n:
         share = (blocked + 0.5) / (n + 1.0)
-        rows.unpersist()
         return log(share / (1 - share)), [0.0] * buckets
-    model = LogisticRegression(maxIter=60, regParam=1e-3, standardization=False).fit(rows)
-    rows.unpersist()
+    # Sparse 0/1 vectors: place k is bucket k.
+    places = CountVectorizerModel.from_vocabulary(
+        [str(k) for k in range(buckets)], inputCol="found", outputCol="features"
+    )
+    model = LogisticRegression(maxIter=STEPS, regParam=1e-3, standardization=False).fit(
+        places.transform(rows).select("label", "features")
+    )
     return float(model.intercept), [float(x) for x in model.coefficients.toArray()]
 
 
