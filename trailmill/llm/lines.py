@@ -5,11 +5,15 @@ their number, then the ``DEPTH`` leading tokens. Tokens with digits stand for
 variable fields and count as ``<*>`` from the start, so "page 3 of 9" and "page
 4 of 9" are one template already.
 
-Inside a leaf, further fields are found by comparing: lines of a leaf that also
-agree in one third of their remaining tokens form a group; the most frequent
-token of each position makes the group's template; a line belongs to it when at
-least ``SIMILARITY`` of its tokens are the template's, and the other positions
-are its variable fields. A line in no such template is its own.
+Inside a leaf, further fields are found by comparing. ``SIMILARITY`` allows
+``n - ceil(0.8 n)`` of a line's n tokens to be another's, so the tokens behind
+the leading ones are cut into one segment more than that: whatever is alike
+enough agrees in a whole segment. Lines that agree in a segment form a group;
+the most frequent token of each position makes the group's template. Every line
+of the leaf that shares any segment with a template is compared with it, and
+belongs to it when at least ``SIMILARITY`` of its tokens are the template's; of
+several templates it takes the one in most documents. A line in no such template
+is its own.
 
 A template that stands in at least ``MIN_DOCS`` documents of different text is
 recurring. Its lines are dropped everywhere but at its first place: the first
@@ -17,9 +21,10 @@ such line of the document with the smallest id. Whole copies of a document are
 not recurring lines: equal texts count once, near-duplicate stages handle them.
 
 Counts are over all lines and are summed map-side, so a line that stands in a
-third of all documents costs one row per task. The counting of positions sees
-only groups with several different lines. Lines are carried as 128-bit hashes;
-texts are shuffled twice, to look up example lines and to apply the result.
+third of all documents costs one row per task. Only lines whose leaf holds
+another line are cut into segments, and groups of the same lines count once.
+Lines are carried as 128-bit hashes; texts are shuffled twice, to look up example
+lines and to apply the result.
 
 Null texts stay null and have no lines. Blank lines are never dropped or
 counted. Rows without doc_id count like others and sort first. Repeated rows
@@ -48,12 +53,16 @@ def _tokens(line: str) -> str:
     return rf"filter(split({masked}, '\\s+'), t -> t <> '')"
 
 
-def _third(j: int) -> str:
-    """SQL text: a hash of one third of the tokens behind the leading ones."""
-    begin = f"{DEPTH} + (n - {DEPTH}) * {j} div 3"
+def _segments() -> str:
+    """SQL text: hashes of the segments of ``marks``, the n token hashes of a
+    line of ``leaf``. One more than the tokens that may differ, as long as
+    there are tokens."""
+    parts = f"least(n - {DEPTH}, n - cast(ceil({SIMILARITY} * n - 1e-9D) as int) + 1)"
+    begin = f"(n - {DEPTH}) * j div ({parts})"
+    length = f"(n - {DEPTH}) * (j + 1) div ({parts}) - {begin}"
     return (
-        f"xxhash64({j}, slice(tokens, cast({begin} + 1 as int), "
-        f"cast({DEPTH} + (n - {DEPTH}) * {j + 1} div 3 - ({begin}) as int)))"
+        f"transform(sequence(0, {parts} - 1), j -> xxhash64(leaf, j, "
+        f"slice(marks, cast({DEPTH} + 1 + {begin} as int), cast({length} as int))))"
     )
 
 
@@ -68,92 +77,119 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _generalised(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """``k1, k2, template`` of lines that belong to a template with other lines."""
-    segments = (
-        keys.where(f"n >= {SHORTEST}")
-        .select("k1", "k2", "docs", "first", "leaf", F.posexplode("thirds").alias("j", "third"))
-        .selectExpr("*", "xxhash64(leaf, j, third) AS grp")
-    )
-    # Groups with several lines in enough documents.
-    several = segments.groupBy("grp").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("in_docs")
-    ).where(f"lines > 1 AND in_docs >= {MIN_DOCS}")
-    # A line goes to the group that stands in the most documents.
-    members = landed(
-        segments.join(several, "grp")
-        .groupBy("k1", "k2")
-        .agg(F.expr("max(struct(in_docs, grp)).grp AS grp"), F.first("docs").alias("docs"), F.first("first").alias("first")),
-        "line-groups",
-    )
-    wanted = members.groupBy("first.doc_id", "first.content").agg(
-        F.collect_list(F.expr("struct(first.line_no AS line_no, k1, k2, grp, docs)")).alias("wanted")
+def _marked(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``k1, k2, docs, leaf, n, marks`` of lines that share their leaf, landed."""
+    long = keys.where(f"n >= {SHORTEST}")
+    crowded = long.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1").select("leaf")
+    wanted = (
+        long.join(crowded, "leaf")
+        .groupBy("first.doc_id", "first.content")
+        .agg(F.collect_list(F.expr("struct(first.line_no AS line_no, k1, k2, docs, leaf, n)")).alias("wanted"))
     )
     texts = docs.where("text IS NOT NULL").selectExpr("doc_id AS d", "xxhash64(text) AS c", "text")
     same = F.expr("doc_id <=> d AND content = c")
-    tokens = _tokens(r"split(text, '\n')[w.line_no]")
-    tokened = landed(
+    tokens = _tokens("line")
+    return landed(
         texts.join(wanted.hint("merge"), same)  # grows with the corpus, so never broadcast
-        .selectExpr("text", "explode(wanted) AS w")
-        .selectExpr("w.k1", "w.k2", "w.grp", "w.docs", f"transform({tokens}, t -> xxhash64(t)) AS marks")
+        .selectExpr(r"split(text, '\n') AS split", "wanted")
+        .selectExpr("explode(transform(wanted, w -> struct(w AS of, split[w.line_no] AS line))) AS w")
+        .selectExpr("w.of.k1", "w.of.k2", "w.of.docs", "w.of.leaf", "w.of.n", "w.line")
+        .selectExpr("k1", "k2", "docs", "leaf", "n", f"transform({tokens}, t -> xxhash64(t)) AS marks")
         .dropDuplicates(["k1", "k2"]),  # repeated rows give a line twice
         "line-marks",
     )
+
+
+def _templates(marked: DataFrame, segments: DataFrame) -> DataFrame:
+    """``template, leaf, n, marks`` of all groups of several lines, landed."""
+    several = (
+        segments.groupBy("segment")
+        .agg(F.count(F.lit(1)).alias("lines"), F.expr("bit_xor(k1)").alias("x1"), F.expr("bit_xor(k2)").alias("x2"))
+        .where("lines > 1")
+        # Groups of the same lines have the same template.
+        .groupBy("lines", "x1", "x2")
+        .agg(F.min("segment").alias("segment"))
+        .select("segment")
+    )
     usual = (
-        tokened.select("grp", "docs", F.posexplode("marks").alias("pos", "mark"))
-        .groupBy("grp", "pos", "mark")
+        segments.join(several, "segment")
+        .join(marked, ["k1", "k2"])
+        .select("segment", "leaf", "n", "docs", F.posexplode("marks").alias("pos", "mark"))
+        .groupBy("segment", "leaf", "n", "pos", "mark")
         .agg(F.sum("docs").alias("docs"))
-        .groupBy("grp", "pos")
+        .groupBy("segment", "leaf", "n", "pos")
         .agg(F.expr("max(struct(docs, mark)).mark AS mark"))
-        .groupBy("grp")  # as many entries as the lines have tokens
-        .agg(F.expr("transform(array_sort(collect_list(struct(pos, mark))), x -> x.mark) AS usual"))
+        .groupBy("segment", "leaf", "n")  # as many entries as the lines have tokens
+        .agg(F.expr("transform(array_sort(collect_list(struct(pos, mark))), x -> x.mark) AS marks"))
+    )
+    return landed(
+        usual.selectExpr("xxhash64(leaf, marks) AS template", "leaf", "n", "marks").dropDuplicates(["template"]),
+        "line-templates",
     )
+
+
+def _generalised(docs: DataFrame, keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """``k1, k2, template, total`` of lines that belong to a template:
+    that in most documents, and in how many it stands."""
+    marked = _marked(docs, keys)
+    cut = F.explode(F.expr(_segments())).alias("segment")
+    segments = landed(marked.select("k1", "k2", cut), "line-segments")
+    templates = _templates(marked, segments)
+    met = templates.select("template", cut).join(segments, "segment").select("k1", "k2", "template").distinct()
     alike = "aggregate(zip_with(marks, usual, (a, b) -> if(a = b, 1, 0)), 0, (s, x) -> s + x)"
+    reached = landed(
+        met.join(templates.selectExpr("template", "marks AS usual"), "template")
+        .join(marked.select("k1", "k2", "marks"), ["k1", "k2"])
+        .where(f"{alike} >= {SIMILARITY} * size(marks) - 1e-9D")
+        .select("k1", "k2", "template"),
+        "line-reached",
+    )
+    # A document with several lines of a template counts once.
+    totals = (
+        lines.select("k1", "k2", "content")
+        .join(reached, ["k1", "k2"])
+        .select("template", "content")
+        .distinct()
+        .groupBy("template")
+        .agg(F.count(F.lit(1)).alias("total"))
+    )
     return (
-        tokened.join(usual, "grp")
-        .where(f"{alike} >= {SIMILARITY} * size(marks)")
-        .selectExpr("k1", "k2", "grp AS template")
+        reached.join(totals, "template")
+        .groupBy("k1", "k2")
+        .agg(F.expr("max(struct(total, template)) AS most"))
+        .selectExpr("k1", "k2", "most.template", "most.total")
     )
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``doc_id, content, dropped`` (line numbers) of documents that lose lines."""
     leaf = f"xxhash64(n, slice(tokens, 1, {DEPTH})) AS leaf"
-    thirds = ", ".join(_third(j) for j in range(3))
     lines = landed(
-        _lines(docs.select("doc_id", "text")).selectExpr(
-            "doc_id", "content", "line_no", "n", "k1", "k2", leaf,
-            f"if(n >= {SHORTEST}, array({thirds}), NULL) AS thirds",
-        ),
+        _lines(docs.select("doc_id", "text")).selectExpr("doc_id", "content", "line_no", "n", "k1", "k2", leaf),
         "lines",
-    )
+    )
     keys = landed(
         lines.groupBy("k1", "k2", "content")
         .agg(
             F.min(F.struct("doc_id", "content", "line_no")).alias("first"),
-            *[F.first(c).alias(c) for c in ("n", "leaf", "thirds")],
+            *[F.first(c).alias(c) for c in ("n", "leaf")],
         )
         .groupBy("k1", "k2")
         .agg(
             F.count(F.lit(1)).alias("docs"),
             F.min("first").alias("first"),
-            *[F.first(c).alias(c) for c in ("n", "leaf", "thirds")],
+            *[F.first(c).alias(c) for c in ("n", "leaf")],
         ),
         "line-keys",
     )
-    general = _generalised(docs, keys)
-    placed = keys.join(general, ["k1", "k2"], "left").select("k1", "k2", "docs", "first", "template")
     # Lines without others in their template recur on their own count.
-    shared = (
-        placed.where("template IS NOT NULL")
-        .groupBy("template")
-        .agg(F.sum("docs").alias("total"), F.min("first").alias("kept"))
-    )
+    general = _generalised(docs, keys, lines).where(f"total >= {min_docs}")
+    placed = keys.join(general, ["k1", "k2"], "left").select("k1", "k2", "docs", "first", "template")
+    shared = placed.where("template IS NOT NULL").groupBy("template").agg(F.min("first").alias("kept"))
     recurring = (
         placed.where(f"template IS NOT NULL OR docs >= {min_docs}")
         .join(shared, "template", "left")
-        .selectExpr("k1", "k2", "coalesce(total, docs) AS total", "coalesce(kept, first) AS kept")
-        .where(f"total >= {min_docs}")
+        .selectExpr("k1", "k2", "coalesce(kept, first) AS kept")
     )
     here = "doc_id <=> kept.doc_id AND content = kept.content AND line_no = kept.line_no"
     return (
