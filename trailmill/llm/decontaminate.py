@@ -14,8 +14,9 @@ long it is. (Banded signatures of whole documents cannot do that here: next to a
 20,000-word document, a 40-word item changes one signature value in 500.)
 Candidates are verified by counting all shingles of the item.
 
-Items go to the tasks in blocks of ``ITEM_BLOCK``, each block one pass over the
-documents, so what is sent has a fixed bound and any number of items works.
+Items go to the tasks in blocks of at most ``ITEM_BLOCK`` items and ``ITEM_BYTES``
+of text (a longer item goes alone), each block one pass over the documents, so
+any number of items works.
 Documents are read whole, and no document or pair is shuffled.
 
 An item of one to four words is one shingle of that many words and is looked
@@ -26,7 +27,7 @@ likewise. Repeated rows repeat. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,7 @@ WORDS = 5
 THRESHOLD = 0.8
 #: Items sent to the tasks at a time; their texts are cut at nothing.
 ITEM_BLOCK = 20_000
+ITEM_BYTES = 16 << 20
 U = np.uint64
 
 
@@ -127,18 +129,32 @@ def _windows(part: kernels.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return kernels.mix(value + U(width) * kernels.PLACE[8])[inside], text[:n][inside]
 
 
-def leaks(
+def blocks(rows: Iterable, most: int, most_bytes: int) -> Iterator[list]:
+    """The rows in order, cut by number and by bytes of ``text``."""
+    block, held = [], 0
+    for row in rows:
+        size = len((row["text"] or "").encode())
+        if block and (len(block) == most or held + size > most_bytes):
+            yield block
+            block, held = [], 0
+        block.append(row)
+        held += size
+    if block:
+        yield block
+
+
+def _leaking(
     docs: DataFrame,
     items: DataFrame,
     threshold: float = THRESHOLD,
     item_block: int = ITEM_BLOCK,
+    item_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
-    """``doc_id, item_id, n_shingles, n_shared, containment`` of ``docs``
-    (``doc_id, text``) and ``items`` (``item_id, text``)."""
+    """The rows of :func:`leaks` and ``content``, a hash of the document's text."""
     spark = docs.sparkSession
-    schema = "doc_id bigint, item_id bigint, n_shingles bigint, n_shared bigint"
+    schema = "doc_id bigint, content bigint, item_id bigint, n_shingles bigint, n_shared bigint"
+    names = [c.split()[0] for c in schema.split(", ")]
     found = spark.createDataFrame([], schema)
-    block: list = []
 
     def one_pass(rows: list) -> DataFrame:
         # Built by each task from the sent texts.
@@ -148,31 +164,42 @@ def leaks(
             index = ItemIndex(ids, texts, threshold)
             for batch in batches:
                 doc_ids = batch["doc_id"].astype("Int64").to_numpy(object, na_value=None)
+                contents = batch["content"].tolist()
                 rows = [
-                    (doc_ids[t], index.ids[i], len(index.sets[i]), shared)
+                    (doc_ids[t], contents[t], index.ids[i], len(index.sets[i]), shared)
                     for t, i, shared in index.leaks(batch["text"].tolist())
                 ]
-                frame = pd.DataFrame(rows, columns=["doc_id", "item_id", "n_shingles", "n_shared"])
+                frame = pd.DataFrame(rows, columns=names)
                 yield frame.astype({"doc_id": object, "item_id": object})
 
-        return docs.select("doc_id", "text").mapInPandas(run, schema)
+        return docs.selectExpr("doc_id", "text", "xxhash64(text) AS content").mapInPandas(run, schema)
 
-    for row in items.select(F.col("item_id").cast("bigint"), "text").toLocalIterator():
-        block.append(row)
-        if len(block) == item_block:
-            found, block = found.union(landed(one_pass(block), "leaks")), []
-    if block:
-        found = found.union(one_pass(block))
+    parts: list[DataFrame] = []
+    asked = items.select(F.col("item_id").cast("bigint"), "text").toLocalIterator()
+    for block in blocks(asked, item_block, item_bytes):
+        if parts:  # all but the last are landed
+            found = found.union(landed(parts.pop(), "leaks"))
+        parts.append(one_pass(block))
+    for part in parts:
+        found = found.union(part)
     return found.withColumn("containment", F.expr("n_shared / cast(n_shingles as double)"))
 
 
+def leaks(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:
+    """``doc_id, item_id, n_shingles, n_shared, containment`` of ``docs``
+    (``doc_id, text``) and ``items`` (``item_id, text``). Options: ``threshold``,
+    ``item_block``, ``item_bytes``."""
+    return _leaking(docs, items, **options).drop("content")
+
+
 def clean(docs: DataFrame, items: DataFrame, **options: object) -> DataFrame:
     """``docs`` without the contaminated ones.
 
-    Rows are told apart by id; rows without one stay only if no such row leaks.
+    Rows are told apart by id and text, so others without id or with the same
+    id stay.
     """
-    dirty = leaks(docs, items, **options).select(F.col("doc_id").alias("d")).distinct()
-    return docs.join(dirty, F.expr("doc_id <=> d"), "left_anti")
+    dirty = _leaking(docs, items, **options).selectExpr("doc_id AS d", "content AS c").distinct()
+    return docs.join(dirty, F.expr("doc_id <=> d AND xxhash64(text) = c"), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
