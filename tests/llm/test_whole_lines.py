@@ -73,3 +73,10 @@ def test_alike_lines_of_one_document_stay(spark, docs_of):
     base = [f"w{c}" for c in "abcdefghijklmnopqrst"]
     text = "\n".join(varied(base, (6, 18), "n", k) for k in range(5))
     assert lines.dedup(docs_of((1, text), (2, "other"))).orderBy("doc_id").first()["text"] == text
+
+
+def test_long_lines_recur_from_two_texts(spark, docs_of):
+    line = lambda n: " ".join(f"w{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for k in range(n))
+    rows = [(1, f"one\n{line(51)}\n{line(50)}"), (2, f"two\n{line(51)}\n{line(50)}"), (3, f"two\n{line(51)}\n{line(50)}")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(docs_of(*rows)).collect()}
+    assert got == {1: rows[0][1], 2: f"two\n{line(50)}", 3: f"two\n{line(50)}"}

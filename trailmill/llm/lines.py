@@ -16,7 +16,8 @@ several templates it takes the one in most documents. A line in no such template
 is its own.
 
 A template that stands in at least ``MIN_DOCS`` documents of different text is
-recurring. Its lines are dropped everywhere but at its first place: the first
+recurring; a line of more than ``LONG`` tokens recurs from two such documents on
+that hold it word for word. The lines are dropped everywhere but at its first place: the first
 such line of the document with the smallest id. Whole copies of a document are
 not recurring lines: equal texts count once, near-duplicate stages handle them.
 
@@ -42,6 +43,8 @@ from trailmill.llm.common import landed, read
 DEPTH = 3
 SIMILARITY = 0.8
 MIN_DOCS = 3
+#: Lines of more tokens than this recur from two different texts on.
+LONG = 50
 #: Shorter lines have no room for a field of one token.
 SHORTEST = 5
 #: A token with a digit, matched from where the token begins.
@@ -182,12 +185,13 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         ),
         "line-keys",
     )
-    # Lines without others in their template recur on their own count.
+    # Lines without others in a recurring template recur on their own count.
+    alone = f"if(n > {LONG}, {min(2, min_docs)}, {min_docs})"
     general = _generalised(docs, keys, lines).where(f"total >= {min_docs}")
-    placed = keys.join(general, ["k1", "k2"], "left").select("k1", "k2", "docs", "first", "template")
+    placed = keys.join(general, ["k1", "k2"], "left").select("k1", "k2", "n", "docs", "first", "template")
     shared = placed.where("template IS NOT NULL").groupBy("template").agg(F.min("first").alias("kept"))
     recurring = (
-        placed.where(f"template IS NOT NULL OR docs >= {min_docs}")
+        placed.where(f"template IS NOT NULL OR docs >= {alone}")
         .join(shared, "template", "left")
         .selectExpr("k1", "k2", "coalesce(kept, first) AS kept")
     )
