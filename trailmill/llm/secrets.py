@@ -3,10 +3,15 @@
 *Known shapes* are three patterns (assignments, access keys, long hexadecimal
 runs). They are always reported.
 
-*The battery* looks at every run of letters, digits and ``+/_=-`` of at least
-``SHORTEST`` characters that holds a letter and a digit. Its encoding is
-inferred as the smallest alphabet that holds all its characters, and three tests
-ask whether it could be uniformly random over it:
+*The battery* looks at every run of letters, digits and ``+/_-`` of at least
+``SHORTEST`` characters that holds a letter and a digit; ``=`` belongs to a run
+only as its padding, so a name and its value are two runs. The encoding is
+inferred as the smallest alphabet that holds all characters. A run that no
+alphabet holds (words with ``-`` or ``_`` joined to others by ``/`` or ``+``) is
+split at the characters that do not fit: at ``+/``, at ``_-`` and at all four,
+and each part that is long enough is looked at instead. Of parts that are
+reported, those inside another are left out. Three tests
+ask whether a run could be uniformly random over its alphabet:
 
 * chi-squared: do all characters come equally often;
 * runs: do characters of the lower and the upper half of the alphabet change
@@ -54,7 +59,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # whole runs of 24 and more
 KINDS = ("assign", "access", "hex", "random")
 
 SHORTEST = 16
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+#: Parts of a run that no alphabet holds.
+PARTS = tuple(re.compile(p) for p in (r"[A-Za-z0-9_-]{16,}=*", r"[A-Za-z0-9+/]{16,}=*", r"[A-Za-z0-9]{16,}=*"))
 DIGIT, ALPHA = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 #: Alphabets in the order they are tried, and the length from which ordinary
 #: text over them would be set aside.
@@ -144,13 +151,17 @@ def candidates(text: str) -> list[tuple[int, int, str, int]]:
     """``start, end, class, cell`` of the runs that are tested."""
     found = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if not DIGIT.search(run) or not ALPHA.search(run):
-            continue
-        name = encoding(run)
-        if name and len(run.rstrip("=")) >= SHORTEST:
-            band = max(b for b in LENGTHS if b <= len(run.rstrip("=")))
-            found.append((*m.span(), f"{name}/{band}", cell(p_random(run, name))))
+        spans = [m.span()]
+        if encoding(m[0]) is None:
+            spans = sorted({x.span() for part in PARTS for x in part.finditer(text, *m.span())})
+        for start, end in spans:
+            run = text[start:end]
+            if not DIGIT.search(run) or not ALPHA.search(run):
+                continue
+            size = len(run.rstrip("="))
+            band = max(b for b in LENGTHS if b <= size)
+            name = encoding(run)
+            found.append((start, end, f"{name}/{band}", cell(p_random(run, name))))
     return found
 
 
@@ -211,10 +222,12 @@ def scan(docs: DataFrame) -> DataFrame:
     limit = "map(" + ", ".join(f"'{n}', {c}" for n, c in open_classes) + ")"
     kept = f"filter(tested, t -> t.cell < {limit}[t.class])" if open_classes else "slice(tested, 1, 0)"
     order = "CASE x.kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS)) + " END"
-    spans = f"concat(base, transform({kept}, t -> struct('random' AS kind, t.start, t.end)))"
+    within = "o.start <= t.start AND t.end <= o.end AND o.end - o.start > t.end - t.start"
+    widest = f"filter(kept, t -> NOT exists(kept, o -> {within}))"
+    spans = f"concat(base, transform({widest}, t -> struct('random' AS kind, t.start, t.end)))"
     ordered = f"array_sort(transform({spans}, x -> struct(x.start AS start, {order} AS rank, x.end AS end, x.kind AS kind)))"
     names = [f"`{c}`" for c in docs.columns if c != "text"]
-    return scanned.selectExpr(*names, f"{ordered} AS spans")
+    return scanned.selectExpr(*names, "base", f"{kept} AS kept").selectExpr(*names, f"{ordered} AS spans")
 
 
 def _joined(spans: str) -> str:
