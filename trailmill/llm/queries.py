@@ -14,6 +14,7 @@ from trailmill.llm import (
     licenses,
     lines,
     mixing,
+    quality,
     secrets,
     topk,
     toxicity,
@@ -33,6 +34,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_url_filter": urls.op9_url_filter,
         "op10_line_dedup": lines.op10_line_dedup,
+        "op13_quality_rules": quality.op13_quality_rules,
         "pipeline": corpus_pipeline.run,
     }
 
