@@ -15,6 +15,7 @@ from trailmill.llm import (
     lines,
     mixing,
     quality,
+    search,
     secrets,
     topk,
     toxicity,
@@ -34,6 +35,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_url_filter": urls.op9_url_filter,
         "op10_line_dedup": lines.op10_line_dedup,
+        "op12_ranked_search": search.op12_ranked_search,
         "op13_quality_rules": quality.op13_quality_rules,
         "pipeline": corpus_pipeline.run,
     }
@@ -45,4 +47,5 @@ def llm_sql() -> dict[str, str]:
         "op3_source_mix": mixing.op3_sql(),
         "op4_decontamination": decontaminate.op4_sql(),
         "op7_top_k": topk.op7_sql(),
+        "op12_ranked_search": search.op12_sql(),
     }
