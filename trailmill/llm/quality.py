@@ -53,122 +53,137 @@ SPREAD = 2.0
 SYMBOLS = "[#*$%&|<>]"
 
 _WORDS = f"regexp_extract_all(coalesce(text, ''), r'{SPACED_WORD}', 0)"
+#: (item, id) rows of trusted documents broadcast at most; beyond, texts are joined by a shuffle.
+BROADCAST_IDS = 5_000_000
 
 
 def _repeat_words(words: str, n: str) -> str:
-    """SQL text: places of ``words`` covered by a window that stands twice or more."""
+    """SQL text: places of ``words`` covered by a window that stands twice or more.
+
+    Windows are compared by a 64-bit hash of their words: two different windows
+    of one text agree with a chance of about n^2 / 2^64.
+    """
     wins = (
         f"array_sort(transform(sequence(0, {n} - {WINDOW}), "
-        f"i -> named_struct('w', concat_ws(' ', slice({words}, i + 1, {WINDOW})), 'i', i)))"
+        f"i -> named_struct('w', xxhash64(slice({words}, i + 1, {WINDOW})), 'i', i)))"
     )
     same = "(k > 1 AND s[k - 1].w = s[k - 2].w) OR (k < size(s) AND s[k - 1].w = s[k].w)"
     starts = f"transform(filter(sequence(1, size(s)), k -> {same}), k -> s[k - 1].i)"
     covered = f"size(array_distinct(flatten(transform({starts}, i -> sequence(i, i + {WINDOW - 1})))))"
-    return f"if({n} >= {WINDOW}, aggregate(array({wins}), 0L, (acc, s) -> CAST({covered} AS BIGINT)), 0L)"
+    return f"if({n} >= {WINDOW}, CAST(transform(array({wins}), s -> {covered})[0] AS BIGINT), 0L)"
+
+
+_STATS = {
+    "n_words": "CAST(size(_words) AS BIGINT)",
+    "word_chars": "aggregate(_words, 0L, (acc, w) -> acc + length(w))",
+    "n_symbols": f"CAST(coalesce(length(text) - length(regexp_replace(text, '{SYMBOLS}', '')), 0) AS BIGINT)",
+    "n_dup_lines": "CAST(size(_lines) - size(array_distinct(_lines)) AS BIGINT)",
+    "n_repeat_words": _repeat_words("_words", "size(_words)"),
+}
+_LINES = r"filter(split(coalesce(text, ''), '\n', -1), l -> l rlike r'[^\x20\x09-\x0D]')"
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
     """Every column of ``docs`` and n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, computed from its ``text``."""
-    lines = r"filter(split(coalesce(text, ''), '\n', -1), l -> l rlike r'[^\x20\x09-\x0D]')"
-    stats = {
-        "n_words": "CAST(size(_words) AS BIGINT)",
-        "word_chars": "aggregate(_words, 0L, (acc, w) -> acc + length(w))",
-        "n_symbols": f"CAST(coalesce(length(text) - length(regexp_replace(text, '{SYMBOLS}', '')), 0) AS BIGINT)",
-        "n_dup_lines": "CAST(size(_lines) - size(array_distinct(_lines)) AS BIGINT)",
-        "n_repeat_words": _repeat_words("_words", "size(_words)"),
-    }
-    return (
-        docs.withColumns({"_words": F.expr(_WORDS), "_lines": F.expr(lines)})
-        .withColumns({k: F.expr(v) for k, v in stats.items()})
+    return _failed(
+        docs.withColumns({"_words": F.expr(_WORDS), "_lines": F.expr(_LINES)})
+        .withColumns({k: F.expr(v) for k, v in _STATS.items()})
         .drop("_words", "_lines")
-        .withColumn(
-            "base_failed",
-            (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT),
-        )
     )
 
 
-def _counted(docs: DataFrame, *keys: str) -> DataFrame:
-    """``keys``, n (n-grams of the text) and one row per distinct hashed bucket
-    ``b`` of its n-grams with their count ``c``, found by sorting inside the row.
+def _failed(frame: DataFrame) -> DataFrame:
+    return frame.withColumn(
+        "base_failed",
+        (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT),
+    )
 
-    Values are bound to lambda variables (``transform(array(x), v -> ...)``) so
-    that each is computed once per row.
-    """
-    words = f"transform({_WORDS}, w -> lower(w))"
-    pairs = "transform(sequence(1, size(ws) - 1), i -> concat(ws[i - 1], ' ', ws[i]))"
-    grams = f"if(size(ws) > 1, concat(ws, {pairs}), ws)"
-    hashed = f"array_sort(transform({grams}, g -> CAST(pmod(xxhash64(g), {BUCKETS}) AS INT)))"
+
+def _hashed(words: str) -> str:
+    """SQL text: the bucket of every lower-cased word and of every pair of neighbours."""
+    low = f"transform({words}, w -> lower(w))"
+    one = "transform(ws, w -> CAST(pmod(xxhash64(w), {b}) AS INT))".format(b=BUCKETS)
+    two = "transform(sequence(1, size(ws) - 1), i -> CAST(pmod(xxhash64(ws[i - 1], ws[i]), {b}) AS INT))".format(
+        b=BUCKETS
+    )
+    return f"transform(array({low}), ws -> if(size(ws) > 1, concat({one}, {two}), {one}))[0]"
+
+
+def _runs(hashed: str) -> str:
+    """SQL text: n and the distinct buckets ``bc`` (b, c) of a bucket array, by sorting."""
     starts = "if(size(h) = 0, array(), filter(sequence(1, size(h)), i -> i = 1 OR h[i - 1] <> h[i - 2]))"
     runs = (
         "transform(st, (i, k) -> named_struct('b', h[i - 1], 'c', "
         "CAST(if(k + 1 < size(st), st[k + 1], size(h) + 1) - i AS BIGINT)))"
     )
-    bound = f"transform(array({hashed}), h -> struct(size(h) AS n, element_at(transform(array({starts}), st -> {runs}), 1) AS bc))"
-    return (
-        docs.selectExpr(*keys, f"transform(array({words}), ws -> {bound}[0])[0] AS x")
-        .selectExpr(*keys, "CAST(x.n AS BIGINT) AS n", "explode(x.bc) AS y")
-        .selectExpr(*keys, "n", "y.b AS b", "y.c AS c")
-    )
+    return f"transform(array(array_sort({hashed})), h -> struct(size(h) AS n, transform(array({starts}), st -> {runs})[0] AS bc))[0]"
 
 
-def model(counted: DataFrame) -> DataFrame:
-    """b, raw and target counts of every bucket that occurs, summed map-side, and
-    the corpus totals on every row."""
-    counts = counted.groupBy("b").agg(
-        F.sum("c").alias("raw"), F.sum(F.when(F.col("trusted"), F.col("c")).otherwise(0)).alias("target")
-    )
-    totals = counts.agg(F.sum("raw").alias("raw_total"), F.sum("target").alias("target_total"))
-    return landed(counts.crossJoin(totals), "quality-model")
+def model(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """b, raw and target counts of every bucket that occurs, summed map-side,
+    and the corpus totals on every row."""
+    def counts(frame: DataFrame, name: str) -> DataFrame:
+        grams = frame.selectExpr(f"explode({_hashed(_WORDS)}) AS b")
+        return grams.groupBy("b").agg(F.count("*").alias(name))
 
+    text = docs.select("doc_id", "text")
+    both = counts(text, "raw").join(counts(text.join(trusted, "doc_id", "left_semi"), "target"), "b", "left")
+    both = both.fillna(0, ["target"])
+    totals = both.agg(F.sum("raw").alias("raw_total"), F.sum("target").alias("target_total"))
+    return landed(both.crossJoin(totals), "quality-model")
 
-def score(counted: DataFrame, model_rows: DataFrame, key: str) -> DataFrame:
-    """``key``, score: the mean log-likelihood ratio over the text's n-grams.
 
-    Each document is scored leaving its own n-grams out of both counts, and the
-    target's prior is scaled to its size, so an n-gram seen nowhere else weighs
-    0. Terms are rounded to millionths before they are summed, so the sum does
-    not depend on the order of addition. No n-gram: score 0.
-    """
-    own = "if(trusted, c, 0)"
+def _ratio(trusted: bool) -> str:
+    """SQL text: c times the ratio of bucket b, its document's own counts left out."""
+    own, own_n = ("c", "n") if trusted else ("0", "0")
     r_total = "(raw_total - n)"
-    t_total = f"(target_total - if(trusted, n, 0))"
+    t_total = f"(target_total - {own_n})"
     a_t = f"({ALPHA} * {t_total} / greatest({r_total}, 1))"
     ratio = (
         f"ln(coalesce(try_divide(target - {own} + {a_t}, {t_total} + {a_t} * {BUCKETS}), {1 / BUCKETS}) + 1e-300)"
         f" - ln((raw - c + {ALPHA}) / ({r_total} + {ALPHA * BUCKETS}))"
     )
-    # BUCKETS bounds the model's rows, whatever the corpus size.
-    return (
-        counted.join(F.broadcast(model_rows), "b")
-        .selectExpr(key, "n", f"CAST(round(1e6 * c * ({ratio})) AS BIGINT) AS part")
-        .groupBy(key)
-        .agg(F.sum("part").alias("total"), F.max("n").alias("n"))
-        .selectExpr(key, "CAST(total / n AS BIGINT) / 1e6 AS score")
-    )
+    return f"CAST(round(1e6 * c * ({ratio})) AS BIGINT)"
 
 
 def rules(docs: DataFrame, labels: DataFrame, spread: float = SPREAD) -> DataFrame:
     """Base statistics, score and verdict of every row of ``docs`` (doc_id, text).
 
-    Rows are matched to their scores by a row key, so repeated or null doc_ids
-    keep their own result.
+    The texts are read twice, for the model and for the scores, and never
+    shuffled while the trusted ids can be broadcast. Each row is scored as it
+    stands, so repeated or null doc_ids keep their own result.
     """
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    keyed = landed(
+    if trusted.count() <= BROADCAST_IDS:
+        trusted = F.broadcast(trusted)
+    rows = model(docs, trusted)
+    stats = list(_STATS)
+    per_doc = (
         docs.select("doc_id", "text")
         .withColumn("_row", F.monotonically_increasing_id())
-        .join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left")
-        .fillna(False, ["trusted"]),
-        "quality-docs",
+        .withColumns({"_words": F.expr(_WORDS), "_lines": F.expr(_LINES)})
+        .withColumns({k: F.expr(v) for k, v in _STATS.items()})
+        .withColumn("_x", F.expr(_runs(_hashed("_words"))))
+        .selectExpr("_row", "doc_id", *stats, "CAST(_x.n AS BIGINT) AS n", "explode_outer(_x.bc) AS _y")
+        .selectExpr("_row", "doc_id", *stats, "n", "_y.b AS b", "_y.c AS c")
+        # BUCKETS bounds the model's rows, whatever the corpus size.
+        .join(F.broadcast(rows), "b", "left")
+        .groupBy("_row", "doc_id", *stats, "n")
+        .agg(F.sum(F.expr(_ratio(False))).alias("s_out"), F.sum(F.expr(_ratio(True))).alias("s_in"))
+    )
+    scored = landed(
+        per_doc.join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left").selectExpr(
+            "doc_id",
+            *stats,
+            "coalesce(trusted, false) AS trusted",
+            "coalesce(CAST(if(trusted, s_in, s_out) / n AS BIGINT), 0L) AS micro",
+        ),
+        "quality-scores",
     )
-    counted = _counted(keyed, "_row", "trusted")
-    scores = landed(score(counted, model(counted), "_row"), "quality-scores")
-    micro = "CAST(round(score * 1e6) AS DECIMAL(38, 0))"
     bar = (
-        scores.join(keyed.where("trusted").select("_row"), "_row")
-        .selectExpr(f"{micro} AS s")
+        scored.where("trusted")
+        .selectExpr("CAST(micro AS DECIMAL(38, 0)) AS s")
         .agg(F.expr("nullif(count(*), 0)").alias("k"), F.sum("s").alias("s1"), F.expr("sum(s * s)").alias("s2"))
         .selectExpr(
             f"coalesce((s1 / k - {spread} * sqrt(greatest(CAST(s2 / k - (s1 / k) * (s1 / k) AS DOUBLE), 0))) / 1e6,"
@@ -176,12 +191,11 @@ def rules(docs: DataFrame, labels: DataFrame, spread: float = SPREAD) -> DataFra
         )
     )
     return (
-        base_rules(keyed)
-        .join(scores, "_row", "left")
-        .withColumn("score", F.coalesce("score", F.lit(0.0)))
+        _failed(scored)
+        .withColumn("score", F.col("micro") / 1e6)
         .crossJoin(bar)
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.col("threshold")))
-        .drop("_row", "text", "trusted")
+        .drop("micro", "trusted")
     )
 
 
