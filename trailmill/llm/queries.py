@@ -18,6 +18,7 @@ from trailmill.llm import (
     search,
     secrets,
     topk,
+    trie,
     toxicity,
     urls,
 )
@@ -35,6 +36,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_url_filter": urls.op9_url_filter,
         "op10_line_dedup": lines.op10_line_dedup,
+        "op11_conversation_trie": trie.op11_conversation_trie,
         "op12_ranked_search": search.op12_ranked_search,
         "op13_quality_rules": quality.op13_quality_rules,
         "pipeline": corpus_pipeline.run,
