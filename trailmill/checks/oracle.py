@@ -163,7 +163,10 @@ GEAR_KEY = {"Gear": "name_gear"}
 BRAND_GEAR = {"Gear Brand": "brand_name", "Gear": "name_gear"}
 
 
-def box(key: str, name: str, value: str, points: bool = False) -> str:
+def box(
+    key: str, name: str, value: str, points: bool = False, base: str | None = None, shown: str | None = None
+) -> str:
+    """``base`` defines ``f`` (the chosen activities); ``shown`` replaces the key column."""
     position = {
         q: f"least(greatest({p} * n - 0.5, 0), n - 1)::DOUBLE"
         for q, p in (("q1", "0.25::DOUBLE"), ("median", "0.5::DOUBLE"), ("q3", "0.75::DOUBLE"))
@@ -177,7 +180,8 @@ def box(key: str, name: str, value: str, points: bool = False) -> str:
     quartiles = ", ".join(
         f"{q}_s * {q}_hi + (1.0::DOUBLE - {q}_s) * {q}_lo AS {q}" for q in position
     )
-    base = f"""{chosen()}, s AS (SELECT {key} AS k, {value} AS v FROM f
+    shown = shown or f'w.k AS "{name}"'
+    base = f"""{base or chosen()}, s AS (SELECT {key} AS k, {value} AS v FROM f
       WHERE {key} IS NOT NULL AND {value} IS NOT NULL),
     o AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) - 1 AS i,
       count(*) OVER (PARTITION BY k) AS n FROM s),
@@ -190,7 +194,7 @@ def box(key: str, name: str, value: str, points: bool = False) -> str:
     flagged = "(v < lower_whisker OR v > upper_whisker)"
     if points:
         return f'{base} SELECT s.k AS "{name}", v AS value, {flagged} AS is_outlier FROM s JOIN w ON s.k = w.k'
-    return f"""{base} SELECT w.k AS "{name}", n, q1, median, q3, lower_whisker, upper_whisker,
+    return f"""{base} SELECT {shown}, n, q1, median, q3, lower_whisker, upper_whisker,
       CAST(count(*) FILTER (WHERE {flagged}) AS BIGINT) AS n_outliers
       FROM w JOIN s ON s.k = w.k GROUP BY ALL"""
 
@@ -412,5 +416,43 @@ def stage_sql() -> dict[str, str]:
     }
 
 
+ATHLETE_LABEL = f"strptime(max({label('start_date_local')}), '%Y-%m-%d %I:%M %p')"
+
+
+def athlete_chosen(strict: bool = False) -> str:
+    """CTEs up to ``f``: the default selection with each athlete's own rolling year."""
+    anchor = "max(start_date_local)" if strict else ATHLETE_LABEL
+    return (
+        acts()
+        + f""", an AS (SELECT athlete_id AS a_id, {anchor} - INTERVAL 12 MONTH AS start
+          FROM acts WHERE athlete_id IS NOT NULL GROUP BY athlete_id),
+        f AS (SELECT acts.* FROM acts JOIN an ON athlete_id = a_id
+          WHERE {DEFAULT_TYPES} AND start_date_local >= start AND brand_name IS NOT NULL) """
+    )
+
+
+def athlete_sql() -> dict[str, str]:
+    athlete = {"athlete_id": "athlete_id"}
+    pick = "SELECT athlete_id, id_activity, type, start_date_local, brand_name FROM f"
+    pair = "struct_pack(a := athlete_id, m := month_year)"
+    return {
+        "athlete_anchors": f"""{acts()} SELECT athlete_id, {ATHLETE_LABEL} AS anchor,
+          {ATHLETE_LABEL} - INTERVAL 12 MONTH AS start FROM acts WHERE athlete_id IS NOT NULL GROUP BY athlete_id""",
+        "athlete_select_rolling": f"{athlete_chosen()} {pick}",
+        "athlete_select_rolling_strict": f"{athlete_chosen(strict=True)} {pick}",
+        "athlete_distance_by_month": grouped(athlete | MONTH, OVERVIEW["distance"], athlete_chosen()),
+        "athlete_activities_by_month_type": grouped(
+            athlete | MONTH | TYPE, OVERVIEW["activities"], athlete_chosen()
+        ),
+        "athlete_box_avg_speed": box(
+            pair, "Month", "average_speed", base=athlete_chosen(),
+            shown="struct_extract(w.k, 'a') AS athlete_id, struct_extract(w.k, 'm') AS \"Month\"",
+        ),
+        "athlete_domain_types": f"""{acts()} SELECT athlete_id, type, count(*) AS n,
+          CAST(row_number() OVER (PARTITION BY athlete_id ORDER BY count(*) DESC, type) AS INTEGER) AS position
+          FROM acts WHERE athlete_id IS NOT NULL AND type IS NOT NULL GROUP BY athlete_id, type""",
+    }
+
+
 def oracle_queries() -> dict[str, str]:
-    return report_sql() | stage_sql()
+    return report_sql() | stage_sql() | athlete_sql()

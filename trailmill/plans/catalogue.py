@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmill.functions import numeric, temporal, text
-from trailmill.operators import joins, shape
+from trailmill.operators import athletes, joins, shape
 from trailmill.operators.nearest import attach_nearest
 from trailmill.operators.selection import (
     ALL_YEARS,
@@ -256,6 +256,39 @@ def _refresh_reload(s: Samples) -> DataFrame:
     )
 
 
+def _athletes(frame: Callable[[DataFrame], DataFrame], selection: athletes.AthleteSelection | None) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = athletes.with_athlete(Samples(spark, sf_dir).enriched())
+        return frame(df if selection is None else selection.apply(df))
+
+    return query
+
+
+def athlete_queries() -> dict[str, Query]:
+    """Reports per athlete, each with its own rolling year."""
+    rolling = athletes.AthleteSelection()
+    value, widths = reports.BOXES["avg_speed"]
+    return {
+        "athlete_anchors": _athletes(athletes.athlete_anchors, None),
+        "athlete_select_rolling": _athletes(
+            lambda df: df.select(athletes.KEY, *SELECTED), rolling
+        ),
+        "athlete_select_rolling_strict": _athletes(
+            lambda df: df.select(athletes.KEY, *SELECTED), athletes.AthleteSelection(strict_anchor=True)
+        ),
+        "athlete_distance_by_month": _athletes(
+            athletes.athlete_series(reports.OVERVIEW["distance"], reports.MONTH), rolling
+        ),
+        "athlete_activities_by_month_type": _athletes(
+            athletes.athlete_series(reports.OVERVIEW["activities"], reports.MONTH | reports.TYPE), rolling
+        ),
+        "athlete_box_avg_speed": _athletes(
+            athletes.athlete_box(value, "month_year", "Month", widths), rolling
+        ),
+        "athlete_domain_types": _athletes(lambda df: athletes.athlete_domain(df, "type"), None),
+    }
+
+
 def stage_queries() -> dict[str, Query]:
     """Pipeline stages and single operators."""
     run_2000 = Selection(2000, ("Run",), ("Brand#1", "Brand#2", "Brand#3"))
@@ -374,4 +407,4 @@ def stage_queries() -> dict[str, Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    return report_queries() | stage_queries()
+    return report_queries() | stage_queries() | athlete_queries()
