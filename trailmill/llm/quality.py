@@ -73,24 +73,38 @@ def _repeat_words(words: str, n: str) -> str:
     return f"if({n} >= {WINDOW}, CAST(transform(array({wins}), s -> {covered})[0] AS BIGINT), 0L)"
 
 
-_STATS = {
-    "n_words": "CAST(size(_words) AS BIGINT)",
-    "word_chars": "aggregate(_words, 0L, (acc, w) -> acc + length(w))",
-    "n_symbols": f"CAST(coalesce(length(text) - length(regexp_replace(text, '{SYMBOLS}', '')), 0) AS BIGINT)",
-    "n_dup_lines": "CAST(size(_lines) - size(array_distinct(_lines)) AS BIGINT)",
-    "n_repeat_words": _repeat_words("_words", "size(_words)"),
-}
+def _stats(words: str, lines: str) -> dict[str, str]:
+    return {
+        "n_words": f"CAST(size({words}) AS BIGINT)",
+        "word_chars": f"aggregate({words}, 0L, (acc, x) -> acc + length(x))",
+        "n_symbols": f"CAST(coalesce(length(text) - length(regexp_replace(text, '{SYMBOLS}', '')), 0) AS BIGINT)",
+        "n_dup_lines": f"CAST(size({lines}) - size(array_distinct({lines})) AS BIGINT)",
+        "n_repeat_words": _repeat_words(words, f"size({words})"),
+    }
+
+
 _LINES = r"filter(split(coalesce(text, ''), '\n', -1), l -> l rlike r'[^\x20\x09-\x0D]')"
+STATS = list(_stats("tw", "tl"))
+
+
+def _measured(docs: DataFrame, grams: bool) -> DataFrame:
+    """``docs`` with the base statistics (and, if ``grams``, ``_x``: the n-gram
+    count and bucket runs) as columns.
+
+    Words and lines are bound to lambda variables, so each is extracted once per
+    row: a plain column would be inlined into every use, lambdas included.
+    """
+    fields = ", ".join(f"{v} AS {k}" for k, v in _stats("tw", "tl").items())
+    if grams:
+        fields += f", {_runs(_hashed('tw'))} AS _x"
+    bound = f"transform(array({_WORDS}), tw -> transform(array({_LINES}), tl -> struct({fields}))[0])[0]"
+    return docs.withColumn("_m", F.expr(bound)).selectExpr("*", "_m.*").drop("_m")
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
     """Every column of ``docs`` and n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, computed from its ``text``."""
-    return _failed(
-        docs.withColumns({"_words": F.expr(_WORDS), "_lines": F.expr(_LINES)})
-        .withColumns({k: F.expr(v) for k, v in _STATS.items()})
-        .drop("_words", "_lines")
-    )
+    return _failed(_measured(docs, False))
 
 
 def _failed(frame: DataFrame) -> DataFrame:
@@ -158,13 +172,9 @@ def rules(docs: DataFrame, labels: DataFrame, spread: float = SPREAD) -> DataFra
     if trusted.count() <= BROADCAST_IDS:
         trusted = F.broadcast(trusted)
     rows = model(docs, trusted)
-    stats = list(_STATS)
+    stats = STATS
     per_doc = (
-        docs.select("doc_id", "text")
-        .withColumn("_row", F.monotonically_increasing_id())
-        .withColumns({"_words": F.expr(_WORDS), "_lines": F.expr(_LINES)})
-        .withColumns({k: F.expr(v) for k, v in _STATS.items()})
-        .withColumn("_x", F.expr(_runs(_hashed("_words"))))
+        _measured(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), True)
         .selectExpr("_row", "doc_id", *stats, "CAST(_x.n AS BIGINT) AS n", "explode_outer(_x.bc) AS _y")
         .selectExpr("_row", "doc_id", *stats, "n", "_y.b AS b", "_y.c AS c")
         # BUCKETS bounds the model's rows, whatever the corpus size.
