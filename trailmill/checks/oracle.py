@@ -371,6 +371,10 @@ def stage_sql() -> dict[str, str]:
         "landing_files": f"""{raw} id, upload_id, athlete_id, type,
           CAST(gear_id AS VARCHAR) AS gear_id, distance, moving_time, start_date_local,
           start_latitude, start_longitude FROM raw""",
+        "landing_until_end": f"""{raw} id, upload_id, athlete_id, type,
+          CAST(gear_id AS VARCHAR) AS gear_id, distance, moving_time, start_date_local,
+          start_latitude, start_longitude FROM raw
+          WHERE upload_id // 1000 < (SELECT (min(upload_id // 1000) + max(upload_id // 1000)) // 2 FROM raw)""",
         "refresh_pipeline": f"""{acts(True)} SELECT {TABLE_COLUMNS}, athlete_id, temp, rhum FROM acts""",
         "fallback_table": f"""{acts(True)} SELECT id_activity, upload_id, type, name_gear,
           distance_activity, temp FROM acts""",

@@ -178,6 +178,42 @@ def _landed_files(s: Samples) -> DataFrame:
     return e.split_position(e.naive_times(flat)).select(*LANDED)
 
 
+def _paged_files(s: Samples) -> str:
+    """Activities landed one page a file, pages by upload_id div 1,000; the middle
+    page is an error reply and an empty page follows it, so records stand behind
+    the end of the data."""
+    iso = {n: f"concat({temporal.iso_text(n)}, 'Z')" for n in e.TIMES}
+    raw = shape.derive(s.raw(), iso | {"gear_id": "cast(gear_id as string)"})
+    keyed = raw.selectExpr("to_json(struct(*)) AS record", "upload_id div 1000 AS page")
+    middle = keyed.agg(F.expr("(min(page) + max(page)) div 2 AS m")).scalar()
+    pages = (
+        keyed.where(F.col("page") != middle)
+        .groupBy("page")
+        .agg(F.expr("concat('[', concat_ws(',', collect_list(record)), ']') AS value"))
+        .unionByName(
+            keyed.agg(F.expr("(min(page) + max(page)) div 2 AS page")).selectExpr(
+                "page", """'{"message": "Rate limit", "errors": ["exceeded"]}' AS value"""
+            )
+        )
+        .unionByName(
+            keyed.agg(F.expr("(min(page) + max(page)) div 2 + 1 AS page")).selectExpr("page", "'[]' AS value")
+        )
+        .groupBy("page")
+        .agg(F.expr("min_by(value, length(value)) AS value"))
+        .selectExpr("lpad(CAST(page AS STRING), 12, '0') AS page", "value")
+    )
+    path = shared_path(s.spark, "paged")
+    pages.write.partitionBy("page").text(path)
+    return path
+
+
+def _landed_until_end(s: Samples) -> DataFrame:
+    """Records of the paged landing up to its error page."""
+    records = landing.read_pages_until_end(s.spark, _paged_files(s)).drop("page")
+    flat = shape.flatten_structs(records, "_")
+    return e.split_position(e.naive_times(flat)).select(*LANDED)
+
+
 def _refreshed_table(s: Samples) -> str:
     """A table refreshed from landed files, weather in a metric feed."""
     gear, seen, path = (shared_path(s.spark, n) for n in ("gear", "observations", "activities"))
@@ -306,6 +342,7 @@ def stage_queries() -> dict[str, Query]:
     found |= {
         "landing_pages": _stage(_landed),
         "landing_files": _stage(_landed_files),
+        "landing_until_end": _stage(_landed_until_end),
         "refresh_pipeline": _stage(_stored_table),
         "fallback_table": _stage(_fallback_table),
         "stored_overview_distance_by_month_type": _stored_report(

@@ -66,6 +66,32 @@ def malformed(rejects: DataFrame) -> DataFrame:
     return rejects.where(f"{CORRUPT} IS NOT NULL")
 
 
+#: The page that ends the data: not a JSON array (an error payload, malformed
+#: text) or an empty one. It and every later page are left out.
+ENDS = "coalesce(json_array_length(value), 0) = 0"
+
+
+def read_pages_until_end(spark: SparkSession, path: str, order: str = "page") -> DataFrame:
+    """Records of the pages before the first page that ends the data.
+
+    Pages are landed one per file under ``path`` in folders ``{order}=...``
+    whose values sort in page order (for instance zero-padded numbers). Each
+    file is one page as the source sent it. Page order is the partition value,
+    so the end is a minimum over the pages' statuses and the cut is a filter on
+    the partition column: pages behind the end are pruned, not read. Statuses
+    need no parse of the records; only kept pages are parsed, once.
+
+    As a paging loop that stops at an error, a malformed reply or an empty page,
+    every record behind that page is dropped, also when later pages hold data.
+    Without such a page all pages are kept.
+    """
+    pages = spark.read.text(path, wholetext=True)
+    end = pages.where(ENDS).agg(F.min(order).alias("end")).scalar()
+    kept = pages.where(F.coalesce(F.col(order) < end, F.lit(True)))
+    records = F.from_json(F.col("value"), T.ArrayType(ACTIVITY), {"mode": "PERMISSIVE"})
+    return kept.select(order, F.explode(records).alias("record")).select(order, "record.*")
+
+
 def read_gear(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     return spark.read.schema(GEAR).json(path, multiLine=multi_line)
 
