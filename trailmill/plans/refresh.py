@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from trailmill.functions.temporal import UTC_NOW
 from trailmill.operators.joins import BROADCAST_ROWS, fits_broadcast, used_dimension
@@ -36,18 +37,38 @@ def refresh(
     good table stays, unless ``accept_partial``. An error payload is where the
     data ends; the other pages count. A landing without a single proper activity
     leaves the last good table in place; with none either, the result is a typed
-    empty frame. What was rejected is stored beside the snapshots.
+    empty frame.
+
+    The landing is parsed once: every record is written beside the snapshots
+    with its status (``accepted``, ``rejected``, ``malformed``) as a partition,
+    while an observation counts the statuses. The gates read those counts, and
+    the enrichment reads the accepted partition; the JSON is not read again.
+    Rejects are copied from their partitions to the rejects folder.
     """
     landed = landing.read_activity_pages(spark, pages, multi_line)
     snapshot = table.new_snapshot()
-    aside = table.rejects_path(table_path, snapshot)
-    landing.rejected(landed).write.parquet(aside)
-    rejects = spark.read.schema(landed.schema).parquet(aside)
-    if not accept_partial and not landing.malformed(rejects).isEmpty():
+    staged = table.landed_path(table_path, snapshot)
+    counts = Observation("landing")
+    (
+        landing.with_status(landed)
+        .observe(
+            counts,
+            F.expr("count_if(status = 'accepted') AS accepted"),
+            F.expr("count_if(status = 'malformed') AS malformed"),
+        )
+        .write.partitionBy("status")
+        .parquet(staged)
+    )
+    seen = counts.get
+    typed = landed.schema.add("status", "string")
+    landed_again = spark.read.schema(typed).option("basePath", staged).parquet(staged)
+    rejects = landed_again.where("status <> 'accepted'").drop("status")
+    rejects.write.parquet(table.rejects_path(table_path, snapshot))
+    if not accept_partial and seen.get("malformed", 0) > 0:
         return table.read_table(spark, table_path)
-    fresh = landing.accepted(landed)
-    if fresh.isEmpty():
+    if not seen.get("accepted", 0):
         return table.read_table(spark, table_path)
+    fresh = landing.accepted(landed_again.where("status = 'accepted'").drop("status"))
     all_gear = landing.read_gear(spark, gear, multi_line)
     # The size is checked on the gear records alone: the subset in use is
     # smaller still, but finding it costs a pass over the activities.

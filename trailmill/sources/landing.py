@@ -60,6 +60,16 @@ def rejected(pages: DataFrame) -> DataFrame:
     return pages.where(_REJECTED)
 
 
+def with_status(pages: DataFrame) -> DataFrame:
+    """Every record with ``status``: ``accepted``, ``rejected`` (an error payload
+    or a record without id) or ``malformed`` (text that could not be parsed)."""
+    status = (
+        f"CASE WHEN {CORRUPT} IS NOT NULL THEN 'malformed' "
+        f"WHEN {_REJECTED} THEN 'rejected' ELSE 'accepted' END"
+    )
+    return pages.withColumn("status", F.expr(status))
+
+
 def malformed(rejects: DataFrame) -> DataFrame:
     """Of the rejects, pages that could not be parsed: data is missing. An
     error payload only marks where the data ends."""

@@ -48,6 +48,11 @@ def new_snapshot() -> str:
     return uuid4().hex
 
 
+def landed_path(path: str, snapshot: str) -> str:
+    """Where a refresh lands what it parsed, partitioned by status."""
+    return f"{path.rstrip('/')}/_landed/{snapshot}"
+
+
 def rejects_path(path: str, snapshot: str) -> str:
     return f"{path.rstrip('/')}/{REJECTS}/{snapshot}"
 
