@@ -62,7 +62,7 @@ def _term_counts(frame: DataFrame, *keys: str) -> DataFrame:
         "transform(st, (i, k) -> named_struct('term', t[i - 1], 'tf', "
         "CAST(if(k + 1 < size(st), st[k + 1], size(t) + 1) - i AS BIGINT)))"
     )
-    bound = f"transform(array(array_sort({_TERMS})), t -> struct(size(t) AS n, element_at(transform(array({starts}), st -> {runs}), 1) AS tc))[0]"
+    bound = f"transform(array(sort_array({_TERMS})), t -> struct(size(t) AS n, element_at(transform(array({starts}), st -> {runs}), 1) AS tc))[0]"
     return frame.selectExpr(*keys, f"{bound} AS x").selectExpr(*keys, "CAST(x.n AS BIGINT) AS n", "x.tc AS tc")
 
 
@@ -98,17 +98,25 @@ def rank(docs: DataFrame, items: DataFrame, top: int = TOP, stages: int = STAGES
         "search-items",
     )
     wanted = item_terms.select("term").distinct()
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
+    broadcast = wanted.count() <= BROADCAST_TERMS
     counted = _term_counts(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "_row", "doc_id")
-    stats = counted.where("n > 0").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_terms"))
-    postings = landed(
+    # One pass over the texts: a summary row per document (term NULL, tf = n)
+    # and its postings of query terms, landed together.
+    # Summary rows join by a key of their own (no term holds a NUL), so a
+    # shuffled join does not gather them in one task.
+    marked = wanted.selectExpr("term AS _k", "true AS _asked")
+    marked = F.broadcast(marked) if broadcast else marked
+    scanned = landed(
         counted.where("n > 0")
-        .selectExpr("_row", "doc_id", "n", "inline(tc)")
-        .join(wanted, "term", "left_semi")
-        .crossJoin(stats),
-        "search-postings",
+        .selectExpr("_row", "doc_id", "n", "inline(concat(array(named_struct('term', CAST(NULL AS STRING), 'tf', n)), tc))")
+        .withColumn("_k", F.expr("coalesce(term, concat(char(0), CAST(_row AS STRING)))"))
+        .join(marked, "_k", "left")
+        .where("term IS NULL OR _asked")
+        .drop("_asked", "_k"),
+        "search-scanned",
     )
+    stats = scanned.where("term IS NULL").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_terms"))
+    postings = scanned.where("term IS NOT NULL").crossJoin(stats)
     weights = postings.groupBy("term").agg(F.count("*").alias("df"), F.first("n_docs").alias("n_docs")).selectExpr(
         "term", "CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w"
     )
