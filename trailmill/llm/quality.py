@@ -64,7 +64,7 @@ def _repeat_words(words: str, n: str) -> str:
     of one text agree with a chance of about n^2 / 2^64.
     """
     wins = (
-        f"array_sort(transform(sequence(0, {n} - {WINDOW}), "
+        f"sort_array(transform(sequence(0, {n} - {WINDOW}), "
         f"i -> named_struct('w', xxhash64(slice({words}, i + 1, {WINDOW})), 'i', i)))"
     )
     same = "(k > 1 AND s[k - 1].w = s[k - 2].w) OR (k < size(s) AND s[k - 1].w = s[k].w)"
@@ -131,7 +131,7 @@ def _runs(hashed: str) -> str:
         "transform(st, (i, k) -> named_struct('b', h[i - 1], 'c', "
         "CAST(if(k + 1 < size(st), st[k + 1], size(h) + 1) - i AS BIGINT)))"
     )
-    return f"transform(array(array_sort({hashed})), h -> struct(size(h) AS n, transform(array({starts}), st -> {runs})[0] AS bc))[0]"
+    return f"transform(array(sort_array({hashed})), h -> struct(size(h) AS n, transform(array({starts}), st -> {runs})[0] AS bc))[0]"
 
 
 def model(docs: DataFrame, trusted: DataFrame) -> DataFrame:
