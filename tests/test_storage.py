@@ -241,3 +241,22 @@ def test_large_gear_takes_the_spread_path(spark, landed, tmp_path, monkeypatch):
     assert sorted((r.id_activity, r.name_gear) for r in out.collect()) == [
         (1, "shoe"), (2, None), (3, "shoe"),
     ]
+
+
+def test_interleaved_refreshes_both_stay_readable(spark, landed, tmp_path):
+    path = str(tmp_path / "table")
+    good = refresh(spark, landed[0], landed[1], path, refreshed=REFRESHED, accept_partial=True)
+    first, second = table.new_snapshot(), table.new_snapshot()
+    # The first refresh writes, the second writes and commits, then the first commits.
+    started = spark.createDataFrame([], "x int")  # the first one's folder before its files
+    (tmp_path / "table" / "snapshots" / first).mkdir()
+    table.write_snapshot(good.where("id_activity = 2"), path, second)
+    table.commit(spark, path, second)
+    assert (tmp_path / "table" / "snapshots" / first).exists()  # still being written: kept
+    (tmp_path / "table" / "snapshots" / first).rmdir()  # the stand-in makes room for the real write
+    table.write_snapshot(good.where("id_activity = 1"), path, first)
+    reader = table.read_table(spark, path)
+    table.commit(spark, path, first)
+    assert [r.id_activity for r in table.read_table(spark, path).collect()] == [1]
+    assert [r.id_activity for r in reader.collect()] == [2]  # the second's snapshot is still there
+    assert started.count() == 0

@@ -50,7 +50,7 @@ def new_snapshot() -> str:
 
 def landed_path(path: str, snapshot: str) -> str:
     """Where a refresh lands what it parsed, partitioned by status."""
-    return f"{path.rstrip('/')}/_landed/{snapshot}"
+    return f"{path.rstrip('/')}/{LANDED}/{snapshot}"
 
 
 def rejects_path(path: str, snapshot: str) -> str:
@@ -89,30 +89,71 @@ def _point(spark: SparkSession, path: str, names: list[str]) -> None:
     context.rename(context.makeQualified(fresh), context.makeQualified(target), options)
 
 
-def full_refresh(df: DataFrame, path: str, snapshot: str | None = None) -> None:
-    """Replace the table at ``path`` by a new snapshot.
+#: Unnamed folders that may still be in use by a concurrent refresh (a snapshot
+#: without ``_SUCCESS``, landed and rejected records) are kept until this old.
+GRACE_SECONDS = 3600
+LANDED = "_landed"
 
-    Every snapshot has a folder of its own. A small pointer names the current
-    one and is replaced when the new one is complete: a failed job leaves the
-    old table, nothing is moved or copied, and readers that have begun keep
-    their files until the refresh after the next. REBALANCE sizes files by year
-    and splits years that are larger than others; nothing is gathered into one
-    task per year.
+
+def write_snapshot(df: DataFrame, path: str, snapshot: str) -> None:
+    """Write a snapshot folder; readers do not see it until :func:`commit`.
+
+    REBALANCE sizes files by year and splits years that are larger than
+    others; nothing is gathered into one task per year.
     """
-    spark, base = df.sparkSession, path.rstrip("/")
-    snapshot = snapshot or new_snapshot()
-    before = _named(spark, path)[:1]
     storable(df).hint("rebalance", "year").write.partitionBy("year").parquet(
-        f"{base}/{SNAPSHOTS}/{snapshot}"
+        f"{path.rstrip('/')}/{SNAPSHOTS}/{snapshot}"
     )
-    _point(spark, path, [snapshot, *before])
-    for part in (SNAPSHOTS, REJECTS):
+
+
+def commit(spark: SparkSession, path: str, snapshot: str, grace_seconds: float = GRACE_SECONDS) -> None:
+    """Point the table at ``snapshot``, keeping the snapshot current until now
+    as the previous one, then delete old folders.
+
+    The pointer is read again just before it is replaced, so a refresh that
+    committed meanwhile stays named (optimistic: the last commit wins, the one
+    before it stays readable). Of the folders named by neither, a finished
+    snapshot (with ``_SUCCESS``) is deleted at once; one without it, which
+    another refresh may still be writing, and landed or rejected records, which
+    it may still read, only when older than ``grace_seconds``. Should a
+    concurrent cleanup have deleted this snapshot before the pointer moved,
+    the pointer is put back and :class:`MissingSnapshot` raised.
+    """
+    base = path.rstrip("/")
+    current = _named(spark, path)[:2]
+    _point(spark, path, [snapshot, *[c for c in current[:1] if c != snapshot]])
+    mine, files = _folder(spark, f"{base}/{SNAPSHOTS}/{snapshot}")
+    if not files.exists(mine):
+        if current:
+            _point(spark, path, current)
+        raise MissingSnapshot(mine.toString())
+    keep = {snapshot, *current[:1]}
+    now_ms = spark._jvm.java.lang.System.currentTimeMillis()
+    for part in (SNAPSHOTS, REJECTS, LANDED):
         folder, files = _folder(spark, f"{base}/{part}")
         for old in files.listStatus(folder) if files.exists(folder) else ():
-            if old.getPath().getName() not in (snapshot, *before):
+            if old.getPath().getName() in keep:
+                continue
+            young = now_ms - old.getModificationTime() < grace_seconds * 1000
+            done, _ = _folder(spark, f"{old.getPath().toString()}/_SUCCESS")
+            if not young or (part == SNAPSHOTS and files.exists(done)):
                 files.delete(old.getPath(), True)
 
 
+def full_refresh(df: DataFrame, path: str, snapshot: str | None = None, grace_seconds: float = GRACE_SECONDS) -> None:
+    """Replace the table at ``path`` by a new snapshot.
+
+    Every snapshot has a folder of its own. A small pointer names the current
+    one and is replaced when the new one is complete: a failed job leaves the
+    old table, nothing is moved or copied, and readers that have begun keep
+    their files until the refresh after the next. Two refreshes at once both
+    leave readable snapshots (see :func:`commit`).
+    """
+    snapshot = snapshot or new_snapshot()
+    write_snapshot(df, path, snapshot)
+    commit(df.sparkSession, path, snapshot, grace_seconds)
+
+
 def empty_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], TABLE)
 
