@@ -380,6 +380,7 @@ def stage_sql() -> dict[str, str]:
           distance_activity, temp FROM acts""",
         "stored_overview_distance_by_month_type": grouped(MONTH | TYPE, OVERVIEW["distance"]),
         "stored_select_year": f"""{chosen(where=f"{DEFAULT_TYPES} AND year = 2000")} {pick}""",
+        "stored_load_year": f"""{chosen(where=f"{DEFAULT_TYPES} AND year = 2000")} {pick}""",
         "landing_rejects": f"""{raw} '["Rate limit"]' AS errors, count(*) AS pages FROM raw
           WHERE upload_id % 10 = 7""",
         "events_flat": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS props_k FROM events",

@@ -348,6 +348,11 @@ def stage_queries() -> dict[str, Query]:
         "stored_overview_distance_by_month_type": _stored_report(
             reports.overview_series("distance", True), Selection(year_partitioned=True)
         ),
+        "stored_load_year": _stage(
+            lambda s: table.load(
+                s.spark, _refreshed_table(s), Selection(2000, year_partitioned=True), SELECTED
+            )
+        ),
         "stored_select_year": _stored_report(
             lambda df: df.select(*SELECTED), Selection(2000, year_partitioned=True)
         ),
