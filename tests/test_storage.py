@@ -260,3 +260,17 @@ def test_interleaved_refreshes_both_stay_readable(spark, landed, tmp_path):
     assert [r.id_activity for r in table.read_table(spark, path).collect()] == [1]
     assert [r.id_activity for r in reader.collect()] == [2]  # the second's snapshot is still there
     assert started.count() == 0
+
+
+def test_snapshot_statistics_answer_without_a_scan(spark, landed, tmp_path):
+    from trailmill.operators.selection import latest_minute
+
+    path = str(tmp_path / "table")
+    stored = refresh(spark, landed[0], landed[1], path, refreshed=REFRESHED, accept_partial=True)
+    stats = table.snapshot_stats(spark, path)
+    assert stats["rows"] == stored.count()
+    assert stats["years"] == sorted({r.year for r in stored.select("year").collect()})
+    anchor = table.stored_anchor(spark, path)
+    assert anchor.first().anchor == latest_minute(stored).first().anchor
+    assert "FileScan" not in anchor._jdf.queryExecution().executedPlan().toString()
+    assert table.snapshot_stats(spark, str(tmp_path / "none")) is None

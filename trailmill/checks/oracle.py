@@ -380,6 +380,10 @@ def stage_sql() -> dict[str, str]:
           distance_activity, temp FROM acts""",
         "stored_overview_distance_by_month_type": grouped(MONTH | TYPE, OVERVIEW["distance"]),
         "stored_select_year": f"""{chosen(where=f"{DEFAULT_TYPES} AND year = 2000")} {pick}""",
+        "stored_rolling_anchor": f"""{acts()} SELECT {ANCHOR} AS anchor,
+          {ANCHOR} - INTERVAL 12 MONTH AS window_start""",
+        "stored_domain_years": f"{acts()} SELECT 'All' AS label, -2 AS position UNION ALL SELECT 'Rolling 12 Months', -1 "
+        "UNION ALL SELECT DISTINCT CAST(year AS VARCHAR), CAST(9999 - year AS INTEGER) FROM acts",
         "stored_load_year": f"""{chosen(where=f"{DEFAULT_TYPES} AND year = 2000")} {pick}""",
         "landing_rejects": f"""{raw} '["Rate limit"]' AS errors, count(*) AS pages FROM raw
           WHERE upload_id % 10 = 7""",

@@ -248,6 +248,13 @@ def _fallback_table(s: Samples) -> DataFrame:
     return kept.select("id_activity", "upload_id", "type", "name_gear", "distance_activity", "temp")
 
 
+def _stored_year_domain(s: Samples) -> DataFrame:
+    """The year domain of a stored table from its statistics, without a scan."""
+    years = table.stored_years(s.spark, _refreshed_table(s))
+    frame = s.spark.createDataFrame([(y,) for y in years], "year int")
+    return year_domain(frame)
+
+
 def _stored_report(frame: reports.Frame, selection: Selection) -> Query:
     return lambda spark, sf_dir: frame(
         selection.apply(table.read_table(spark, _refreshed_table(Samples(spark, sf_dir))))
@@ -353,6 +360,12 @@ def stage_queries() -> dict[str, Query]:
                 s.spark, _refreshed_table(s), Selection(2000, year_partitioned=True), SELECTED
             )
         ),
+        "stored_rolling_anchor": _stage(
+            lambda s: table.stored_anchor(s.spark, _refreshed_table(s)).selectExpr(
+                "anchor", "anchor - INTERVAL 12 MONTH AS window_start"
+            )
+        ),
+        "stored_domain_years": _stage(_stored_year_domain),
         "stored_select_year": _stored_report(
             lambda df: df.select(*SELECTED), Selection(2000, year_partitioned=True)
         ),

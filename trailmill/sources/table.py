@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from uuid import uuid4
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trailmill.functions import temporal as t
@@ -95,15 +97,64 @@ GRACE_SECONDS = 3600
 LANDED = "_landed"
 
 
+#: Statistics of a snapshot, observed while it is written, in its folder.
+STATS = "_stats.json"
+
+
 def write_snapshot(df: DataFrame, path: str, snapshot: str) -> None:
     """Write a snapshot folder; readers do not see it until :func:`commit`.
 
     REBALANCE sizes files by year and splits years that are larger than
-    others; nothing is gathered into one task per year.
+    others; nothing is gathered into one task per year. The same pass observes
+    the rolling anchor (as a label rank and as a time), the years and the row
+    count, and stores them in ``_stats.json``, so the anchor and the year domain
+    of a stored table need no scan. The years are a domain: one value a year.
     """
-    storable(df).hint("rebalance", "year").write.partitionBy("year").parquet(
-        f"{path.rstrip('/')}/{SNAPSHOTS}/{snapshot}"
+    folder = f"{path.rstrip('/')}/{SNAPSHOTS}/{snapshot}"
+    seen = Observation("snapshot")
+    observed = storable(df).observe(
+        seen,
+        F.expr(f"max({t.minute_label_rank('start_date_local')}) AS anchor_rank"),
+        F.expr("CAST(max(start_date_local) AS STRING) AS latest"),
+        F.expr("sort_array(collect_set(year)) AS years"),
+        F.expr("count(1) AS rows"),
     )
+    observed.hint("rebalance", "year").write.partitionBy("year").parquet(folder)
+    target, files = _folder(df.sparkSession, f"{folder}/{STATS}")
+    stream = files.create(target, True)
+    try:
+        stream.writeBytes(json.dumps({k: seen.get.get(k) for k in ("anchor_rank", "latest", "years", "rows")}))
+    finally:
+        stream.close()
+
+
+def snapshot_stats(spark: SparkSession, path: str) -> dict | None:
+    """The statistics of the current snapshot; None without a table or for a
+    snapshot written before statistics were kept."""
+    names = _named(spark, path)
+    if not names:
+        return None
+    target, files = _folder(spark, f"{path.rstrip('/')}/{SNAPSHOTS}/{names[0]}/{STATS}")
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def stored_anchor(spark: SparkSession, path: str) -> DataFrame:
+    """One row, ``anchor``: the rolling year's anchor of the stored table, from its
+    statistics (the largest minute label, as :func:`latest_minute` finds it)."""
+    stats = snapshot_stats(spark, path) or {}
+    rank = spark.createDataFrame([(stats.get("anchor_rank"),)], "r bigint")
+    return rank.selectExpr(f"{t.minute_label_time('r')} AS anchor")
+
+
+def stored_years(spark: SparkSession, path: str) -> list[int]:
+    """The years of the stored table, from its statistics."""
+    return list((snapshot_stats(spark, path) or {}).get("years") or [])
 
 
 def commit(spark: SparkSession, path: str, snapshot: str, grace_seconds: float = GRACE_SECONDS) -> None:
