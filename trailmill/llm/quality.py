@@ -18,7 +18,9 @@ n-grams (lower-cased words and pairs of neighbouring words): the trusted target,
 counted over every document that ``labels`` marks ``quality = 1``, and the raw
 corpus, counted over every document. Both are summed map-side per bucket, so the
 model has ``BUCKETS`` rows whatever the corpus size, and it is broadcast with that
-bound. A document's score is the mean log-likelihood ratio
+bound. Both passes run in Arrow batches inside the tasks (regular expressions,
+xxhash and numpy per document); Spark partitions the texts and sums the
+per-partition counters by bucket. A document's score is the mean log-likelihood ratio
 ``ln p_target(g) - ln p_raw(g)`` over its n-grams, each document's own n-grams
 left out of both counts, add-``ALPHA`` smoothed (the target's prior scaled to its
 size, so an n-gram seen nowhere else weighs 0). Sparse n-grams pull every score
@@ -36,9 +38,17 @@ besides ``doc_id`` and ``text`` are not read, so no name can clash.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from xxhash import xxh64_intdigest
+
 from trailmill.llm.common import SPACED_WORD, landed, read
 
 MIN_WORDS = 20
@@ -134,62 +144,122 @@ def _runs(hashed: str) -> str:
     return f"transform(array(sort_array({hashed})), h -> struct(size(h) AS n, transform(array({starts}), st -> {runs})[0] AS bc))[0]"
 
 
-def model(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """b, raw and target counts of every bucket that occurs, summed map-side,
-    and the corpus totals on every row."""
-    def counts(frame: DataFrame, name: str) -> DataFrame:
-        grams = frame.selectExpr(f"explode({_hashed(_WORDS)}) AS b")
-        return grams.groupBy("b").agg(F.count("*").alias(name))
-
-    text = docs.select("doc_id", "text")
-    both = counts(text, "raw").join(counts(text.join(trusted, "doc_id", "left_semi"), "target"), "b", "left")
-    both = both.fillna(0, ["target"])
-    totals = both.agg(F.sum("raw").alias("raw_total"), F.sum("target").alias("target_total"))
-    return landed(both.crossJoin(totals), "quality-model")
-
-
-def _ratio(trusted: bool) -> str:
-    """SQL text: c times the ratio of bucket b, its document's own counts left out."""
-    own, own_n = ("c", "n") if trusted else ("0", "0")
-    r_total = "(raw_total - n)"
-    t_total = f"(target_total - {own_n})"
-    a_t = f"({ALPHA} * {t_total} / greatest({r_total}, 1))"
-    ratio = (
-        f"ln(coalesce(try_divide(target - {own} + {a_t}, {t_total} + {a_t} * {BUCKETS}), {1 / BUCKETS}) + 1e-300)"
-        f" - ln((raw - c + {ALPHA}) / ({r_total} + {ALPHA * BUCKETS}))"
-    )
-    return f"CAST(round(1e6 * c * ({ratio})) AS BIGINT)"
+WORD = re.compile(SPACED_WORD)
+SYMBOL = re.compile(SYMBOLS)
+
+
+def _grams(words: list[str]) -> np.ndarray:
+    """Buckets of the lower-cased words and of each pair of neighbours."""
+    low = [w.lower().encode("utf-8", "surrogatepass") for w in words]
+    seen = [xxh64_intdigest(w) for w in low]
+    seen += [xxh64_intdigest(a + b" " + b) for a, b in zip(low, low[1:])]
+    return np.fromiter((x % BUCKETS for x in seen), dtype=np.int64, count=len(seen))
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Raw and target bucket counts of one partition, as (b, raw, target) rows."""
+    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        every, trusted = [], []
+        for text, known in zip(batch["text"], batch["trusted"], strict=True):
+            grams = _grams(WORD.findall(text or ""))
+            every.append(grams)
+            if known:
+                trusted.append(grams)
+        if every:
+            raw += np.bincount(np.concatenate(every), minlength=BUCKETS)
+        if trusted:
+            target += np.bincount(np.concatenate(trusted), minlength=BUCKETS)
+    held = np.nonzero(raw)[0]
+    yield pd.DataFrame({"b": held.astype(np.int32), "raw": raw[held], "target": target[held]})
+
+
+def _repeated(words: list[str]) -> int:
+    """Word places covered by an 8-word window that stands twice or more."""
+    if len(words) < WINDOW:
+        return 0
+    windows = list(zip(*(words[k:] for k in range(WINDOW))))
+    counts = Counter(windows)
+    marks = np.zeros(len(words) + 1, np.int64)
+    for i, window in enumerate(windows):
+        if counts[window] > 1:
+            marks[i] += 1
+            marks[i + WINDOW] -= 1
+    return int(np.count_nonzero(np.cumsum(marks)[: len(words)]))
+
+
+def _scorer(sent):
+    """The scoring pass over one partition, with the model as numpy arrays."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        raw, target, raw_total, target_total = sent.value
+        for batch in batches:
+            out = []
+            for row, doc_id, text, known in zip(batch["_row"], batch["doc_id"], batch["text"], batch["trusted"], strict=True):
+                text = text or ""
+                words = WORD.findall(text)
+                lines = [x for x in text.split("\n") if WORD.search(x)]
+                grams = _grams(words)
+                n, micro = len(grams), 0
+                if n:
+                    b, c = np.unique(grams, return_counts=True)
+                    own, own_n = (c, n) if known else (0, 0)
+                    r_total, t_total = raw_total - n, target_total - own_n
+                    a_t = ALPHA * t_total / max(r_total, 1)
+                    bottom = t_total + a_t * BUCKETS
+                    p_t = (target[b] - own + a_t) / bottom if bottom else np.full(len(b), 1 / BUCKETS)
+                    p_r = (raw[b] - c + ALPHA) / (r_total + ALPHA * BUCKETS)
+                    parts = np.floor(1e6 * c * (np.log(p_t + 1e-300) - np.log(p_r)) + 0.5).astype(np.int64)
+                    micro = int(int(parts.sum()) / n)
+                out.append((
+                    row, doc_id, bool(known), len(words), sum(map(len, words)), len(SYMBOL.findall(text)),
+                    len(lines) - len(set(lines)), _repeated(words), micro,
+                ))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
+
+    return score
+
+
+SCORED = (
+    "_row long, doc_id long, trusted boolean, n_words long, word_chars long, n_symbols long, "
+    "n_dup_lines long, n_repeat_words long, micro long"
+)
 
 
 def rules(docs: DataFrame, labels: DataFrame, spread: float = SPREAD) -> DataFrame:
     """Base statistics, score and verdict of every row of ``docs`` (doc_id, text).
 
-    The texts are read twice, for the model and for the scores, and never
-    shuffled while the trusted ids can be broadcast. Each row is scored as it
-    stands, so repeated or null doc_ids keep their own result.
+    Two passes over the texts, in Arrow batches: one counts the hashed n-grams
+    of each partition into ``BUCKETS`` counters, summed by bucket; the other
+    scores each document against the model (``BUCKETS`` rows, broadcast as
+    arrays) and computes the base statistics. Texts are never shuffled while the
+    trusted ids can be broadcast. Each row is scored as it stands, so repeated
+    or null doc_ids keep their own result.
     """
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    flags = trusted.withColumn("trusted", F.lit(True))
     if trusted.count() <= BROADCAST_IDS:
-        trusted = F.broadcast(trusted)
-    rows = model(docs, trusted)
-    stats = STATS
-    per_doc = (
-        _measured(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), True)
-        .selectExpr("_row", "doc_id", *stats, "CAST(_x.n AS BIGINT) AS n", "explode_outer(_x.bc) AS _y")
-        .selectExpr("_row", "doc_id", *stats, "n", "_y.b AS b", "_y.c AS c")
-        # BUCKETS bounds the model's rows, whatever the corpus size.
-        .join(F.broadcast(rows), "b", "left")
-        .groupBy("_row", "doc_id", *stats, "n")
-        .agg(F.sum(F.expr(_ratio(False))).alias("s_out"), F.sum(F.expr(_ratio(True))).alias("s_in"))
+        flags = F.broadcast(flags)
+    keyed = (
+        docs.select("doc_id", "text")
+        .withColumn("_row", F.monotonically_increasing_id())
+        .join(flags, "doc_id", "left")
+        .withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    )
+    counts = (
+        keyed.select("text", "trusted")
+        .mapInPandas(_count, "b int, raw long, target long")
+        .groupBy("b")
+        .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     )
+    # BUCKETS bounds the model's rows, whatever the corpus size.
+    model_rows = counts.collect()
+    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for r in model_rows:
+        raw[r.b], target[r.b] = r.raw, r.target
+    sent = docs.sparkSession.sparkContext.broadcast((raw, target, int(raw.sum()), int(target.sum())))
     scored = landed(
-        per_doc.join(trusted.withColumn("trusted", F.lit(True)), "doc_id", "left").selectExpr(
-            "doc_id",
-            *stats,
-            "coalesce(trusted, false) AS trusted",
-            "coalesce(CAST(if(trusted, s_in, s_out) / n AS BIGINT), 0L) AS micro",
-        ),
-        "quality-scores",
+        keyed.select("_row", "doc_id", "text", "trusted").mapInPandas(_scorer(sent), SCORED), "quality-scores"
     )
     bar = (
         scored.where("trusted")
@@ -205,7 +275,7 @@ def rules(docs: DataFrame, labels: DataFrame, spread: float = SPREAD) -> DataFra
         .withColumn("score", F.col("micro") / 1e6)
         .crossJoin(bar)
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.col("threshold")))
-        .drop("micro", "trusted")
+        .drop("micro", "trusted", "_row")
     )
 
 
