@@ -20,6 +20,9 @@ stage each bundle keeps its block's ``TOP``; a rank window over those picks the
 item's. The items' (term, count) rows of a stage reach its tasks as a broadcast
 when there are at most ``BROADCAST_ASKED`` of them, else as rows copied to every
 block. Postings and statistics are counted over all documents; nothing is cut.
+Documents are tokenised once, in Arrow batches (a regular expression and a
+counter per text); up to ``BROADCAST_TERMS`` query terms filter the postings
+there, more are applied by a join.
 
 Defined cases: null texts have no terms; null or repeated doc_ids are documents
 of their own (ties between equal doc_ids by the order of the rows); null
@@ -31,6 +34,9 @@ returns nothing; empty tables give an empty result. Only ``doc_id``/``text`` and
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +51,7 @@ TOP = 10
 STAGES = 3
 BLOCK_DOCS = 4096
 #: Distinct query terms broadcast to the scan of all documents at most.
-BROADCAST_TERMS = 1_000_000
+BROADCAST_TERMS = 200_000
 #: (item, term) rows sent to every task of a stage at most; beyond, they are copied to each block.
 BROADCAST_ASKED = 200_000
 LAST = 9_223_372_036_854_775_807
@@ -66,6 +72,35 @@ def _term_counts(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.selectExpr(*keys, f"{bound} AS x").selectExpr(*keys, "CAST(x.n AS BIGINT) AS n", "x.tc AS tc")
 
 
+TERM_RE = re.compile(TERM)
+FOLD = str.maketrans(UPPER, LOWER)
+SCANNED = "_row long, _d long, _dn boolean, n long, term string, tf long"
+
+
+def _scanner(asked):
+    """Terms of each text in a batch: a summary row (term None, tf = n) for a
+    document with terms, and (term, tf) rows, of the asked terms only if given."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = None if asked is None else asked.value
+        for batch in batches:
+            rows = []
+            for row, d, dn, text in zip(batch["_row"], batch["_d"], batch["_dn"], batch["text"], strict=True):
+                terms = TERM_RE.findall((text or "").translate(FOLD))
+                if not terms:
+                    continue
+                n = len(terms)
+                rows.append((row, d, dn, n, None, n))
+                rows.extend(
+                    (row, d, dn, n, term, tf)
+                    for term, tf in Counter(terms).items()
+                    if wanted is None or term in wanted
+                )
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCANNED.split(", ")])
+
+    return scan
+
+
 def _stage(last: bool, top: int, sent=None):
     def add(_key, acc: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         posts = right[right["kind"] == 0]
@@ -98,23 +133,27 @@ def rank(docs: DataFrame, items: DataFrame, top: int = TOP, stages: int = STAGES
         "search-items",
     )
     wanted = item_terms.select("term").distinct()
-    broadcast = wanted.count() <= BROADCAST_TERMS
-    counted = _term_counts(docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id()), "_row", "doc_id")
-    # One pass over the texts: a summary row per document (term NULL, tf = n)
-    # and its postings of query terms, landed together.
-    # Summary rows join by a key of their own (no term holds a NUL), so a
-    # shuffled join does not gather them in one task.
-    marked = wanted.selectExpr("term AS _k", "true AS _asked")
-    marked = F.broadcast(marked) if broadcast else marked
-    scanned = landed(
-        counted.where("n > 0")
-        .selectExpr("_row", "doc_id", "n", "inline(concat(array(named_struct('term', CAST(NULL AS STRING), 'tf', n)), tc))")
-        .withColumn("_k", F.expr("coalesce(term, concat(char(0), CAST(_row AS STRING)))"))
-        .join(marked, "_k", "left")
-        .where("term IS NULL OR _asked")
-        .drop("_asked", "_k"),
-        "search-scanned",
+    keyed = docs.selectExpr(
+        "monotonically_increasing_id() AS _row", "coalesce(doc_id, 0L) AS _d", "doc_id IS NULL AS _dn", "text"
     )
+    # One pass over the texts, in Arrow batches: a summary row per document
+    # (term NULL, tf = n) and its postings of query terms, landed together.
+    if wanted.count() <= BROADCAST_TERMS:
+        # A checked number of terms of the stated query set, not of the corpus.
+        asked = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in wanted.collect()))
+        scanned = keyed.mapInPandas(_scanner(asked), SCANNED)
+    else:
+        # Summary rows join by a key of their own (no term holds a NUL), so the
+        # shuffled join does not gather them in one task.
+        marked = wanted.selectExpr("term AS _k", "true AS _asked")
+        scanned = (
+            keyed.mapInPandas(_scanner(None), SCANNED)
+            .withColumn("_k", F.expr("coalesce(term, concat(char(0), CAST(_row AS STRING)))"))
+            .join(marked, "_k", "left")
+            .where("term IS NULL OR _asked")
+            .drop("_asked", "_k")
+        )
+    scanned = landed(scanned.selectExpr("_row", "if(_dn, NULL, _d) AS doc_id", "n", "term", "tf"), "search-scanned")
     stats = scanned.where("term IS NULL").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_terms"))
     postings = scanned.where("term IS NOT NULL").crossJoin(stats)
     weights = postings.groupBy("term").agg(F.count("*").alias("df"), F.first("n_docs").alias("n_docs")).selectExpr(
@@ -123,7 +162,8 @@ def rank(docs: DataFrame, items: DataFrame, top: int = TOP, stages: int = STAGES
     holders = postings.select("_row").distinct().count()
     blocks = max(1, math.ceil(holders / block_docs))
     owner = f"CAST(pmod(xxhash64(term), {stages}) AS INT)"
-    contributions = landed(
+    # Not landed: each stage reads its owner's share from the landed postings.
+    contributions = (
         postings.join(weights, "term").selectExpr(
             "term",
             "_row",
@@ -132,8 +172,7 @@ def rank(docs: DataFrame, items: DataFrame, top: int = TOP, stages: int = STAGES
             f"CAST(pmod(xxhash64(_row), {blocks}) AS INT) AS block",
             f"{owner} AS owner",
             "w * ((1000000000 * tf) div (1000 * tf + 8 * (25 + (75 * n * n_docs) div n_terms))) AS v",
-        ),
-        "search-contributions",
+        )
     )
     small = item_terms.count() <= BROADCAST_ASKED
     block_ids = spark.range(blocks).selectExpr("CAST(id AS INT) AS block")
