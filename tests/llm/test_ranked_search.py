@@ -66,3 +66,10 @@ def test_top_cut_with_many_equal_scores(spark):
 def test_empty_tables(spark):
     assert both(spark, [], ITEMS) == ([], [])
     assert both(spark, DOCS, []) == ([], [])
+
+
+def test_unbroadcast_paths_agree(spark, monkeypatch):
+    monkeypatch.setattr(search, "BROADCAST_ASKED", 0)
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
+    got, exp = both(spark, DOCS, ITEMS, block_docs=2)
+    assert got == exp

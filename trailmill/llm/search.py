@@ -103,11 +103,11 @@ def _scanner(asked):
 
 def _stage(last: bool, top: int, sent=None):
     def add(_key, acc: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        posts = right[right["kind"] == 0]
+        posts = right[right["kind"] == 0] if sent is None else right
         items = right[right["kind"] == 1] if sent is None else sent.value
         parts = [acc[["_item", "_row", "_d", "_dn", "acc"]]]
         if len(posts) and len(items):
-            hit = items[["_item", "term", "qtf"]].merge(posts[["term", "_row", "_d", "_dn", "v"]], on="term")
+            hit = items[["_item", "tk", "qtf"]].merge(posts[["tk", "_row", "_d", "_dn", "v"]], on="tk")
             hit["acc"] = hit["qtf"] * hit["v"]
             parts.append(hit[["_item", "_row", "_d", "_dn", "acc"]])
         both = pd.concat(parts, ignore_index=True)
@@ -175,24 +175,27 @@ def rank(docs: DataFrame, items: DataFrame, top: int = TOP, stages: int = STAGES
         )
     )
     small = item_terms.count() <= BROADCAST_ASKED
+    # Terms travel as their 64-bit hash when no two query terms share one
+    # (checked on the query set, so the result stays exact), else as text.
+    hashes = item_terms.agg(F.countDistinct("term").alias("t"), F.countDistinct(F.xxhash64("term")).alias("h")).first()
+    tk = "xxhash64(term) AS tk" if hashes.t == hashes.h else "term AS tk"
     block_ids = spark.range(blocks).selectExpr("CAST(id AS INT) AS block")
     acc = spark.createDataFrame([], f"block int, {ACC}")
-    right_cols = ["block", "kind", "term", "_row", "_d", "_dn", "v", "_item", "qtf"]
+    right_cols = ["block", "kind", "tk", "_row", "_d", "_dn", "v", "_item", "qtf"]
     for s in range(stages):
-        posts = contributions.where(f"owner = {s}").selectExpr(
-            "block", "0 AS kind", "term", "_row", "_d", "_dn", "v", "-1L AS _item", "0L AS qtf"
-        )
-        asked = item_terms.where(f"{owner} = {s}").select("_item", "term", "qtf")
+        posts = contributions.where(f"owner = {s}").selectExpr("block", "0 AS kind", tk, "_row", "_d", "_dn", "v")
+        asked = item_terms.where(f"{owner} = {s}").selectExpr("_item", tk, "qtf")
         sent = None
         if small:
             # A checked number of rows: the stated query set, not the corpus.
             sent = spark.sparkContext.broadcast(asked.toPandas())
-            right = posts.select(*right_cols)
+            right = posts.drop("kind")
         else:
             copied = asked.crossJoin(block_ids).selectExpr(
-                "block", "1 AS kind", "term", "-1L AS _row", "0L AS _d", "false AS _dn", "0L AS v", "_item", "qtf"
+                "block", "1 AS kind", "tk", "-1L AS _row", "0L AS _d", "false AS _dn", "0L AS v", "_item", "qtf"
             )
-            right = posts.unionByName(copied).select(*right_cols)
+            filled = posts.selectExpr("*", "-1L AS _item", "0L AS qtf")
+            right = filled.unionByName(copied).select(*right_cols)
         last = s == stages - 1
         out = acc.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(_stage(last, top, sent), ACC)
         acc = out.withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int")).select("block", *ACC_COLS)
