@@ -9,11 +9,19 @@ Inside a leaf, further fields are found by comparing. ``SIMILARITY`` allows
 ``n - ceil(0.8 n)`` of a line's n tokens to be another's, so the tokens behind
 the leading ones are cut into one segment more than that: whatever is alike
 enough agrees in a whole segment. Lines that agree in a segment form a group;
-the most frequent token of each position makes the group's template. Every line
-of the leaf that shares any segment with a template is compared with it, and
-belongs to it when at least ``SIMILARITY`` of its tokens are the template's; of
-several templates it takes the one in most documents. A line in no such template
-is its own.
+the most frequent token of each position makes the group's template. A line
+belongs to a template when at least ``SIMILARITY`` of its tokens are the
+template's; of the templates it was compared with, it takes the one in most
+documents. A line in no such template is its own.
+
+A thousand lines that are all alike give about as many templates, which are all
+alike too, so comparing every line with every template would grow with the square
+of a group. Every line names its largest group. Lines are compared with the
+templates of their own groups, and with each named template they share any
+segment with. Only lines that no recurring template has taken then are compared
+with all other templates they share a segment with, and the few templates these
+lines reach are compared with all lines. So a line recurs exactly when, of all
+templates, one it belongs to recurs.
 
 A template that stands in at least ``MIN_DOCS`` documents of different text is
 recurring; a line of more than ``LONG`` tokens recurs from two such documents on
@@ -74,8 +82,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     return (
         docs.where("text IS NOT NULL")
         .selectExpr("doc_id", "xxhash64(text) AS content", r"posexplode(split(text, '\n')) AS (line_no, line)")
+        .where(r"line rlike '\\S'")  # a filter on the tokens would make them twice
         .selectExpr("doc_id", "content", "line_no", f"{_tokens('line')} AS tokens")
-        .where("size(tokens) > 0")
         .selectExpr("*", "size(tokens) AS n", "xxhash64(tokens) AS k1", "xxhash64(1, tokens) AS k2")
     )
 
@@ -103,8 +111,8 @@ def _marked(docs: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
-def _templates(marked: DataFrame, segments: DataFrame) -> DataFrame:
-    """``template, leaf, n, marks`` of all groups of several lines, landed."""
+def _members(segments: DataFrame) -> DataFrame:
+    """``k1, k2, segment, lines``: the lines of all groups of several, landed."""
     several = (
         segments.groupBy("segment")
         .agg(F.count(F.lit(1)).alias("lines"), F.expr("bit_xor(k1)").alias("x1"), F.expr("bit_xor(k2)").alias("x2"))
@@ -112,11 +120,17 @@ def _templates(marked: DataFrame, segments: DataFrame) -> DataFrame:
         # Groups of the same lines have the same template.
         .groupBy("lines", "x1", "x2")
         .agg(F.min("segment").alias("segment"))
-        .select("segment")
+        .select("segment", "lines")
     )
+    return landed(segments.join(several, "segment").select("k1", "k2", "segment", "lines"), "line-members")
+
+
+def _templates(marked: DataFrame, members: DataFrame) -> DataFrame:
+    """``segment, template, leaf, n, marks, named`` of all groups, landed;
+    ``named`` by a line whose largest group it is."""
+    named = members.groupBy("k1", "k2").agg(F.expr("max(struct(lines, segment)).segment AS segment"))
     usual = (
-        segments.join(several, "segment")
-        .join(marked, ["k1", "k2"])
+        members.join(marked, ["k1", "k2"])
         .select("segment", "leaf", "n", "docs", F.posexplode("marks").alias("pos", "mark"))
         .groupBy("segment", "leaf", "n", "pos", "mark")
         .agg(F.sum("docs").alias("docs"))
@@ -124,40 +138,73 @@ def _templates(marked: DataFrame, segments: DataFrame) -> DataFrame:
         .agg(F.expr("max(struct(docs, mark)).mark AS mark"))
         .groupBy("segment", "leaf", "n")  # as many entries as the lines have tokens
         .agg(F.expr("transform(array_sort(collect_list(struct(pos, mark))), x -> x.mark) AS marks"))
+        .join(named.select("segment").distinct().withColumn("named", F.lit(True)), "segment", "left")
     )
     return landed(
-        usual.selectExpr("xxhash64(leaf, marks) AS template", "leaf", "n", "marks").dropDuplicates(["template"]),
+        usual.selectExpr(
+            "segment", "xxhash64(leaf, marks) AS template", "leaf", "n", "marks", "coalesce(named, false) AS named"
+        ),
         "line-templates",
     )
 
 
-def _generalised(docs: DataFrame, keys: DataFrame, lines: DataFrame) -> DataFrame:
-    """``k1, k2, template, total`` of lines that belong to a template:
-    that in most documents, and in how many it stands."""
-    marked = _marked(docs, keys)
+def _reached(marked: DataFrame, segments: DataFrame, places: DataFrame, min_docs: int) -> DataFrame:
+    """``k1, k2, template`` of lines and templates they belong to, landed: of a
+    line that belongs to a recurring template, at least one recurring."""
+    members = _members(segments)
+    groups = _templates(marked, members)
+    templates = groups.groupBy("template").agg(
+        F.max("named").alias("named"), *[F.first(c).alias(c) for c in ("leaf", "n", "marks")]
+    )
     cut = F.explode(F.expr(_segments())).alias("segment")
-    segments = landed(marked.select("k1", "k2", cut), "line-segments")
-    templates = _templates(marked, segments)
-    met = templates.select("template", cut).join(segments, "segment").select("k1", "k2", "template").distinct()
     alike = "aggregate(zip_with(marks, usual, (a, b) -> if(a = b, 1, 0)), 0, (s, x) -> s + x)"
-    reached = landed(
-        met.join(templates.selectExpr("template", "marks AS usual"), "template")
-        .join(marked.select("k1", "k2", "marks"), ["k1", "k2"])
-        .where(f"{alike} >= {SIMILARITY} * size(marks) - 1e-9D")
-        .select("k1", "k2", "template"),
-        "line-reached",
-    )
-    # A document with several lines of a template counts once.
-    totals = (
-        lines.select("k1", "k2", "content")
-        .join(reached, ["k1", "k2"])
+
+    def sharing(some: DataFrame, lines: DataFrame) -> DataFrame:
+        return some.select("template", cut).join(lines, "segment").select("k1", "k2", "template")
+
+    def near(met: DataFrame, name: str) -> DataFrame:
+        return landed(
+            met.distinct()
+            .join(templates.selectExpr("template", "marks AS usual"), "template")
+            .join(marked.select("k1", "k2", "marks"), ["k1", "k2"])
+            .where(f"{alike} >= {SIMILARITY} * size(marks) - 1e-9D")
+            .select("k1", "k2", "template"),
+            name,
+        )
+
+    own = members.join(groups.select("segment", "template"), "segment").select("k1", "k2", "template")
+    first = near(own.union(sharing(templates.where("named"), segments)), "line-reached")
+    recurring = _totals(first, places).where(f"total >= {min_docs}")
+    taken = first.join(recurring, "template", "left_semi").select("k1", "k2").distinct()
+    rest = templates.where("NOT named")
+    second = near(sharing(rest, segments.join(taken, ["k1", "k2"], "left_anti")), "line-left")
+    third = near(sharing(rest.join(second, "template", "left_semi"), segments), "line-wanted")
+    return landed(first.union(third).distinct(), "line-belongs")
+
+
+def _totals(reached: DataFrame, places: DataFrame) -> DataFrame:
+    """``template, total``: in how many documents of different text it stands; one
+    with several lines of a template counts once."""
+    return (
+        places.join(reached, ["k1", "k2"])
         .select("template", "content")
         .distinct()
         .groupBy("template")
         .agg(F.count(F.lit(1)).alias("total"))
     )
+
+
+def _generalised(docs: DataFrame, keys: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
+    """``k1, k2, template, total`` of lines that belong to a template:
+    that in most documents, and in how many it stands."""
+    marked = _marked(docs, keys)
+    cut = F.explode(F.expr(_segments())).alias("segment")
+    segments = landed(marked.select("k1", "k2", cut), "line-segments")
+    where = lines.select("k1", "k2", "content").join(marked.select("k1", "k2"), ["k1", "k2"], "left_semi")
+    places = landed(where.distinct(), "line-places")
+    reached = _reached(marked, segments, places, min_docs)
     return (
-        reached.join(totals, "template")
+        reached.join(_totals(reached, places), "template")
         .groupBy("k1", "k2")
         .agg(F.expr("max(struct(total, template)) AS most"))
         .selectExpr("k1", "k2", "most.template", "most.total")
@@ -187,7 +234,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     )
     # Lines without others in a recurring template recur on their own count.
     alone = f"if(n > {LONG}, {min(2, min_docs)}, {min_docs})"
-    general = _generalised(docs, keys, lines).where(f"total >= {min_docs}")
+    general = _generalised(docs, keys, lines, min_docs).where(f"total >= {min_docs}")
     placed = keys.join(general, ["k1", "k2"], "left").select("k1", "k2", "n", "docs", "first", "template")
     shared = placed.where("template IS NOT NULL").groupBy("template").agg(F.min("first").alias("kept"))
     recurring = (
