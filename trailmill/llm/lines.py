@@ -55,6 +55,9 @@ MIN_DOCS = 3
 LONG = 50
 #: Shorter lines have no room for a field of one token.
 SHORTEST = 5
+#: Groups of up to so many lines are one row each while their template is made;
+#: larger ones are a row per line and token, so no row holds a large group.
+FEW = 32
 #: A token with a digit, matched from where the token begins.
 FIELD = r"(?<!\\S)[^\\s\\d]*+\\d\\S*"
 
@@ -129,8 +132,21 @@ def _templates(marked: DataFrame, members: DataFrame) -> DataFrame:
     """``segment, template, leaf, n, marks, named`` of all groups, landed;
     ``named`` by a line whose largest group it is."""
     named = members.groupBy("k1", "k2").agg(F.expr("max(struct(lines, segment)).segment AS segment"))
-    usual = (
-        members.join(marked, ["k1", "k2"])
+    shown = members.join(marked, ["k1", "k2"]).select("segment", "leaf", "n", "lines", "docs", "marks")
+    held = "aggregate(rows, 0L, (sum, q) -> sum + if(get(q.marks, i) = get(r.marks, i), q.docs, 0L))"
+    heavy = f"array_max(transform(rows, r -> struct({held} AS docs, get(r.marks, i) AS mark))).mark"
+    agreed = "forall(rows, r -> get(r.marks, i) = get(rows[0].marks, i))"
+    few = (
+        shown.where(f"lines <= {FEW}")
+        .groupBy("segment", "leaf", "n")
+        .agg(F.collect_list(F.struct("docs", "marks")).alias("rows"))
+        .selectExpr(
+            "segment", "leaf", "n",
+            f"transform(sequence(0, n - 1), i -> if({agreed}, get(rows[0].marks, i), {heavy})) AS marks",
+        )
+    )
+    more = (
+        shown.where(f"lines > {FEW}")
         .select("segment", "leaf", "n", "docs", F.posexplode("marks").alias("pos", "mark"))
         .groupBy("segment", "leaf", "n", "pos", "mark")
         .agg(F.sum("docs").alias("docs"))
@@ -138,6 +154,9 @@ def _templates(marked: DataFrame, members: DataFrame) -> DataFrame:
         .agg(F.expr("max(struct(docs, mark)).mark AS mark"))
         .groupBy("segment", "leaf", "n")  # as many entries as the lines have tokens
         .agg(F.expr("transform(array_sort(collect_list(struct(pos, mark))), x -> x.mark) AS marks"))
+    )
+    usual = (
+        few.unionByName(more)
         .join(named.select("segment").distinct().withColumn("named", F.lit(True)), "segment", "left")
     )
     return landed(
