@@ -128,7 +128,7 @@ def _members(segments: DataFrame) -> DataFrame:
     return landed(segments.join(several, "segment").select("k1", "k2", "segment", "lines"), "line-members")
 
 
-def _templates(marked: DataFrame, members: DataFrame) -> DataFrame:
+def _groups(marked: DataFrame, members: DataFrame) -> DataFrame:
     """``segment, template, leaf, n, marks, named`` of all groups, landed;
     ``named`` by a line whose largest group it is."""
     named = members.groupBy("k1", "k2").agg(F.expr("max(struct(lines, segment)).segment AS segment"))
@@ -163,7 +163,7 @@ def _templates(marked: DataFrame, members: DataFrame) -> DataFrame:
         usual.selectExpr(
             "segment", "xxhash64(leaf, marks) AS template", "leaf", "n", "marks", "coalesce(named, false) AS named"
         ),
-        "line-templates",
+        "line-groups",
     )
 
 
@@ -171,9 +171,12 @@ def _reached(marked: DataFrame, segments: DataFrame, places: DataFrame, min_docs
     """``k1, k2, template`` of lines and templates they belong to, landed: of a
     line that belongs to a recurring template, at least one recurring."""
     members = _members(segments)
-    groups = _templates(marked, members)
-    templates = groups.groupBy("template").agg(
-        F.max("named").alias("named"), *[F.first(c).alias(c) for c in ("leaf", "n", "marks")]
+    groups = _groups(marked, members)
+    templates = landed(
+        groups.groupBy("template").agg(
+            F.max("named").alias("named"), *[F.first(c).alias(c) for c in ("leaf", "n", "marks")]
+        ),
+        "line-templates",
     )
     cut = F.explode(F.expr(_segments())).alias("segment")
     alike = "aggregate(zip_with(marks, usual, (a, b) -> if(a = b, 1, 0)), 0, (s, x) -> s + x)"
@@ -181,23 +184,22 @@ def _reached(marked: DataFrame, segments: DataFrame, places: DataFrame, min_docs
     def sharing(some: DataFrame, lines: DataFrame) -> DataFrame:
         return some.select("template", cut).join(lines, "segment").select("k1", "k2", "template")
 
-    def near(met: DataFrame, name: str) -> DataFrame:
-        return landed(
+    def near(met: DataFrame) -> DataFrame:
+        return (
             met.distinct()
             .join(templates.selectExpr("template", "marks AS usual"), "template")
             .join(marked.select("k1", "k2", "marks"), ["k1", "k2"])
             .where(f"{alike} >= {SIMILARITY} * size(marks) - 1e-9D")
-            .select("k1", "k2", "template"),
-            name,
+            .select("k1", "k2", "template")
         )
 
     own = members.join(groups.select("segment", "template"), "segment").select("k1", "k2", "template")
-    first = near(own.union(sharing(templates.where("named"), segments)), "line-reached")
+    first = landed(near(own.union(sharing(templates.where("named"), segments))), "line-reached")
     recurring = _totals(first, places).where(f"total >= {min_docs}")
     taken = first.join(recurring, "template", "left_semi").select("k1", "k2").distinct()
     rest = templates.where("NOT named")
-    second = near(sharing(rest, segments.join(taken, ["k1", "k2"], "left_anti")), "line-left")
-    third = near(sharing(rest.join(second, "template", "left_semi"), segments), "line-wanted")
+    second = landed(near(sharing(rest, segments.join(taken, ["k1", "k2"], "left_anti"))), "line-left")
+    third = near(sharing(rest.join(second, "template", "left_semi"), segments))
     return landed(first.union(third).distinct(), "line-belongs")
 
 
@@ -214,19 +216,19 @@ def _totals(reached: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def _generalised(docs: DataFrame, keys: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
-    """``k1, k2, template, total`` of lines that belong to a template:
-    that in most documents, and in how many it stands."""
+    """``k1, k2, template`` of lines that belong to a recurring template, landed:
+    that in most documents."""
     marked = _marked(docs, keys)
     cut = F.explode(F.expr(_segments())).alias("segment")
     segments = landed(marked.select("k1", "k2", cut), "line-segments")
     where = lines.select("k1", "k2", "content").join(marked.select("k1", "k2"), ["k1", "k2"], "left_semi")
     places = landed(where.distinct(), "line-places")
     reached = _reached(marked, segments, places, min_docs)
-    return (
-        reached.join(_totals(reached, places), "template")
+    return landed(
+        reached.join(_totals(reached, places).where(f"total >= {min_docs}"), "template")
         .groupBy("k1", "k2")
-        .agg(F.expr("max(struct(total, template)) AS most"))
-        .selectExpr("k1", "k2", "most.template", "most.total")
+        .agg(F.expr("max(struct(total, template)).template AS template")),
+        "line-recurring",
     )
 
 
@@ -253,7 +255,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     )
     # Lines without others in a recurring template recur on their own count.
     alone = f"if(n > {LONG}, {min(2, min_docs)}, {min_docs})"
-    general = _generalised(docs, keys, lines, min_docs).where(f"total >= {min_docs}")
+    general = _generalised(docs, keys, lines, min_docs)
     placed = keys.join(general, ["k1", "k2"], "left").select("k1", "k2", "n", "docs", "first", "template")
     shared = placed.where("template IS NOT NULL").groupBy("template").agg(F.min("first").alias("kept"))
     recurring = (
