@@ -104,3 +104,9 @@ def test_ties_go_to_the_lower_station_and_columns_stay(spark):
     out = attach_nearest(acts, obs)
     assert out.columns == [*acts.columns, "temp", "rhum"]
     assert (out.first().temp, out.first().rhum) == (3.0, 30.0)
+
+
+def test_every_width_is_searched_once(spark):
+    activities, stations = world(5, 6, (-90, 90, -180, 180))
+    plan = attach_nearest(*frames(spark, activities, stations))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 2  # one for each width; each was planned again by wider ones

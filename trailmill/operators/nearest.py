@@ -10,7 +10,6 @@ not be unique.
 from __future__ import annotations
 
 import math
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame
@@ -26,6 +25,7 @@ DIRECT_STATIONS = 64  # Up to here a whole hour's stations fit one row's array.
 BROADCAST_OBSERVATIONS = 1_000_000  # About 50 bytes each.
 CELL = 1 / 64  # Cube edge on the unit sphere, about 100 km.
 REACHES = (1 / 16, 1 / 4)  # Search edges, about 400 and 1,600 km.
+PAST = 1_000_000  # Beyond any cube number on the unit sphere.
 SLACK = 1e-8  # Covers the 1 mm grain distances are compared with.
 
 _POINT = ("_x", "_y", "_z")
@@ -116,45 +116,46 @@ def cell_candidates(cells: DataFrame, hourly: DataFrame) -> DataFrame:
     within one cube edge; a cell is settled once that edge covers the bound.
     Unsettled cells try wider cubes and at last the whole hour, so the result
     is exact however sparse the stations are.
+
+    Observations are packed per (hour, cube), so a cell meets one row at each
+    width and narrows its array in place: no pair of cell and observation is a
+    row. Settled cells pass the wider searches by, so each is planned once.
     """
     spread = CELL * math.sqrt(3) + SLACK  # 2 * radius
     centre = tuple(f"((_c{a} + 0.5D) * {CELL!r}D)" for a in "xyz")
-    distance = chord(centre, _POINT)
-    packed = ", ".join(f"'{c}', {c}" for c in _OBSERVATION)
-    unpacked = ", ".join(f"'{c}', o.{c}" for c in _OBSERVATION)
+    middle = ("_mx", "_my", "_mz")
+    packed = F.expr(f"collect_list(struct({', '.join(_OBSERVATION)})) AS _list")
+    squares = " + ".join(f"({m} - o.{p}) * ({m} - o.{p})" for m, p in zip(middle, _POINT))
+    near = f"filter(_list, (o, i) -> get(_squares, i) <= (_d + {spread!r}D) * (_d + {spread!r}D))"
 
-    open_cells = (
+    found = (
         cells.dropna()
         .distinct()
         .join(hourly.select("_hour").distinct(), ["_hour"], "left_semi")
     )
-    settled: list[DataFrame] = []
-    for edge in (*REACHES, None):
+    for k, edge in enumerate((*REACHES, None)):
+        settled = "_near IS NOT NULL" if k else "false"
         if edge is None:
-            pairs = open_cells.join(hourly, ["_hour"])
+            lists, keys = hourly.groupBy("_hour").agg(packed), ["_hour"]
         else:
-            probes = open_cells.selectExpr("*", *_cells(centre, edge, "_b"))
+            keys = ["_hour", "_bx", "_by", "_bz"]
+            lists = _neighbourhood(hourly, edge).groupBy(*keys).agg(packed)
+            # A settled cell asks for a cube that does not exist.
+            past = f"if({settled}, {PAST} + _cx, _bx)"
+            cubes = found.selectExpr("*", *_cells(centre, edge, "_b"))
+            found = cubes.withColumn("_bx", F.expr(past))
+        met = (
             # Merge: size estimates do not see the 27 copies, so left alone
             # Spark may broadcast far more than its threshold.
-            around = _neighbourhood(hourly, edge).hint("merge")
-            pairs = probes.join(around, ["_hour", "_bx", "_by", "_bz"], "left")
-        found = (
-            pairs.selectExpr(
-                *_CELL_KEYS,
-                f"if(station_id IS NULL, NULL, named_struct('d', {distance}, {packed})) AS _o",
-            )
-            .groupBy(*_CELL_KEYS)
-            .agg(F.expr("min(_o.d) AS _d"), F.expr("collect_list(_o) AS _all"))
+            found.join(lists.hint("merge"), keys, "left")
+            .selectExpr("*", *_aliased(centre, middle))
+            .selectExpr("*", f"if({settled}, NULL, transform(_list, o -> {squares})) AS _squares")
+            .selectExpr("*", "sqrt(array_min(_squares)) AS _d")
         )
-        narrowed = f"filter(_all, o -> o.d <= _d + {spread!r}D)"
-        near = f"transform({narrowed}, o -> named_struct({unpacked})) AS _near"
-        if edge is None:
-            settled.append(found.selectExpr(*_CELL_KEYS, near))
-        else:
-            done = f"coalesce(_d + {spread!r}D <= {edge!r}D, false)"
-            settled.append(found.where(done).selectExpr(*_CELL_KEYS, near))
-            open_cells = found.where(f"NOT {done}").select(*_CELL_KEYS)
-    return reduce(DataFrame.unionByName, settled)
+        done = "true" if edge is None else f"coalesce(_d + {spread!r}D <= {edge!r}D, false)"
+        chosen = f"if({done}, {near}, NULL)"
+        found = met.selectExpr(*_CELL_KEYS, f"coalesce(_near, {chosen}) AS _near" if k else f"{chosen} AS _near")
+    return found
 
 
 def _neighbourhood(hourly: DataFrame, edge: float) -> DataFrame:
