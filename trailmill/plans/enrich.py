@@ -79,11 +79,13 @@ def calendar(df: DataFrame, month_mode: str = "calendar") -> DataFrame:
 
 def stamp(df: DataFrame, refreshed: Column | str = t.UTC_NOW) -> DataFrame:
     """Add ``refresh_date``, from the naive UTC time of the snapshot: an
-    expression as text, or a column such as a scalar subquery."""
+    expression as text, or a column that no row decides, such as a scalar
+    subquery. Its label is made once, in a subquery of its own."""
     if isinstance(refreshed, str):
         return derive(df, {"refresh_date": t.refresh_stamp(refreshed)})
-    timed = df.withColumn("_refreshed", refreshed)
-    return derive(timed, {"refresh_date": t.refresh_stamp("_refreshed")}).drop("_refreshed")
+    timed = df.sparkSession.range(1).select(refreshed.alias("_refreshed"))
+    label = timed.selectExpr(f"{t.refresh_stamp('_refreshed')} AS label").scalar()
+    return df.withColumn("refresh_date", label)
 
 
 def enrich(
