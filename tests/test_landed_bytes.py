@@ -6,9 +6,12 @@ import json
 import os
 import re
 
+import pytest
 from conftest import SMALL
 
 from trailmill.plans import catalogue, enrich
+from trailmill.plans import refresh as refresh_plan
+from trailmill.plans.refresh import refresh
 from trailmill.sources import samples, table
 
 
@@ -68,3 +71,59 @@ def test_refresh_moves_no_calendar_text(spark, tmp_path):
     path = f"{tmp_path}/t"
     table.full_refresh(early, path, rebalance=False)
     assert table.read_table(spark, path).count() == samples.activities(spark, SMALL).count()
+
+
+def test_refresh_copies_no_accepted_record(spark, tmp_path):
+    pages, gear, path = (str(tmp_path / n) for n in ("pages.json", "gear.json", "table"))
+    records = [{"id": i, "gear_id": f"g{i % 2}", "name": "n", "start_date_local": "2024-03-01T10:30:00Z"} for i in range(5)]
+    with open(pages, "w") as out:
+        json.dump([*records, {"message": "Rate limit", "errors": ["exceeded"]}], out)
+    with open(gear, "w") as out:
+        json.dump([{"id": "g0", "name": "shoe"}], out)
+    table_rows = refresh(spark, pages, gear, path)
+    assert sorted(r.name_gear or "" for r in table_rows.collect()) == ["", "", "shoe", "shoe", "shoe"]
+    (copied,) = os.listdir(f"{path}/{table.LANDED}")
+    seen = [r.asDict() for r in spark.read.parquet(f"{path}/{table.LANDED}/{copied}").collect()]
+    held = [{k for k, v in r.items() if v is not None} for r in seen if r["status"] == "accepted"]
+    assert held == [{"gear_id", "status"}] * 5
+    (reject,) = (r for r in seen if r["status"] != "accepted")
+    assert "exceeded" in reject["errors"]
+
+
+def test_page_lost_between_the_two_reads_keeps_the_table(spark, tmp_path, monkeypatch):
+    pages, gear, path = (str(tmp_path / n) for n in ("pages.json", "gear.json", "table"))
+
+    def land(*ids):
+        with open(pages, "w") as out:
+            json.dump([{"id": i, "start_date_local": "2024-03-01T10:30:00Z"} for i in ids], out)
+
+    def spoil(df):
+        with open(pages, "w") as out:
+            out.write('"not a list"')
+        return True
+
+    with open(gear, "w") as out:
+        out.write("[]")
+    land(1, 2)
+    assert refresh(spark, pages, gear, path).count() == 2
+    land(3)
+    with monkeypatch.context() as patched:
+        patched.setattr(refresh_plan, "fits_broadcast", spoil)
+        with pytest.raises(Exception, match="became unreadable"):
+            refresh(spark, pages, gear, path)
+    kept = table.read_table(spark, path)
+    assert sorted(r.id_activity for r in kept.collect()) == [1, 2]
+
+
+def test_large_gear_moves_activities_once(spark):
+    s = catalogue.Samples(spark, SMALL)
+    keys = s.raw().select("gear_id")
+    spread = enrich.enrich(s.raw(), s.gear(), gear_rows_at_most=10**9, gear_keys=keys, rebalance=True)
+    logical = spread._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" not in logical
+    # The activities are read whole once; their keys come from ``gear_keys``.
+    assert len(re.findall(r"FileScan parquet \[[^\]]*l_extendedprice", plan(spread))) == 1
+    plain = enrich.enrich(s.raw(), s.gear())
+    shown = [f"`{c}`" for c in plain.columns if c != "refresh_date"]
+    assert spread.selectExpr(*shown).exceptAll(plain.selectExpr(*shown)).isEmpty()
+    assert spread.count() == plain.count()
