@@ -127,3 +127,18 @@ def test_large_gear_moves_activities_once(spark):
     shown = [f"`{c}`" for c in plain.columns if c != "refresh_date"]
     assert spread.selectExpr(*shown).exceptAll(plain.selectExpr(*shown)).isEmpty()
     assert spread.count() == plain.count()
+
+
+def test_fallback_lands_its_activities_once(spark, monkeypatch):
+    calls, made = [], catalogue._page_files
+
+    def counted(*args, **options):
+        calls.append(made(*args, **options))
+        return calls[-1]
+
+    monkeypatch.setattr(catalogue, "_page_files", counted)
+    s = catalogue.Samples(spark, SMALL)
+    kept = catalogue._fallback_table(s)
+    assert kept.count() == s.raw().count() and len(calls) == 1
+    # Closer packed than at the fastest level.
+    assert size(calls[0]) < 0.9 * size(made(s))
